@@ -421,14 +421,18 @@ def kinetic_validity(
     centre = plates.groupBy(*keys, "plate").agg(
         F.first(F.lower("side")).alias("side"),
         *[F.avg(c).alias(f"c{c}") for c in "xyz"],
-        F.collect_list(F.struct("x", "y")).alias("_corners"),
+        *[F.min(c).alias(f"lo_{c}") for c in "xy"],
+        *[F.max(c).alias(f"hi_{c}") for c in "xy"],
     )
+    # the corner farthest from the centre along an axis is its minimum or maximum
     centre = centre.withColumns(
         {
-            "half_x": F.array_max(F.transform("_corners", lambda p: F.abs(p["x"] - F.col("cx")))),
-            "half_y": F.array_max(F.transform("_corners", lambda p: F.abs(p["y"] - F.col("cy")))),
+            f"half_{c}": F.greatest(
+                F.col(f"hi_{c}") - F.col(f"c{c}"), F.col(f"c{c}") - F.col(f"lo_{c}")
+            )
+            for c in "xy"
         }
-    ).drop("_corners")
+    )
     hit = at.join(centre, [*keys, "side"]).where(
         (F.abs(F.col("x") - F.col("cx")) <= F.col("half_x") + F.col("dx"))
         & (F.abs(F.col("y") - F.col("cy")) <= F.col("half_y") + F.col("dy"))

@@ -206,32 +206,34 @@ def exact_or_prefix(
     right_key: str,
     right_cols: Sequence[str],
     *,
-    min_prefix: int,
     per: Sequence[str] = (),
 ) -> DataFrame:
     """Exact match on a key; a left key with no exact match at all takes the
     first right row whose key starts with its base.
 
-    The prefix join is an equi-join on the first ``min_prefix`` characters with
-    the full prefix as residual, so it is never a nested loop. Bases shorter
-    than that are matched by the exact form only. ``per`` picks one fallback
-    for each value of those right columns.
+    The prefix join is an equi-join: each right key is cut to every length a
+    base has, so its cost is linear in the right side whatever the names share.
+    ``per`` picks one fallback for each value of those right columns.
     """
     rc = [right_key, *[c for c in right_cols if c != right_key]]
     r = right.select(*rc)
     exact = left.join(r, left[left_key] == r[right_key]).withColumn("match", F.lit("exact"))
     rest = left.join(r.select(right_key).distinct(), left[left_key] == F.col(right_key), "left_anti")
-    head = F.substring(F.col(left_base), 1, min_prefix)
-    cand = (
-        rest.where(F.length(left_base) >= min_prefix)
-        .withColumn("_h", head)
-        .join(r.withColumn("_h", F.substring(right_key, 1, min_prefix)), "_h")
-        .where(F.col(right_key).startswith(F.col(left_base)))
-        .drop("_h")
+    lengths = rest.agg(F.collect_set(F.length(left_base))).scalar()
+    heads = r.withColumn("_lens", lengths).select(
+        *rc,
+        F.explode(
+            F.transform(
+                F.filter("_lens", lambda n: n <= F.length(right_key)),
+                lambda n: F.substring(F.col(right_key), F.lit(1), n),
+            )
+        ).alias("_head"),
     )
     grp = list(dict.fromkeys([*left.columns, *per]))
     others = [c for c in rc if c not in grp]
-    best = cand.groupBy(*grp).agg(F.min(F.struct(*others)).alias("_b"))
+    # one candidate per head suffices, which keeps a popular head small
+    heads = heads.groupBy("_head", *per).agg(F.min(F.struct(*others)).alias("_b"))
+    best = rest.join(heads, F.col(left_base) == F.col("_head"))
     best = best.select(*grp, "_b.*").withColumn("match", F.lit("prefix"))
     return exact.select(*left.columns, *rc, "match").unionByName(
         best.select(*left.columns, *rc, "match")

@@ -1,4 +1,4 @@
-from . import events  # noqa: F401
+from . import catalog, events  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

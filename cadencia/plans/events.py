@@ -539,7 +539,7 @@ def prefix_fallback(spark, d):
     left = p.where("p_partkey % 10 = 0").select(
         F.col("p_partkey").alias("lid"), F.col("k").alias("lkey"), F.col("p_name").alias("lbase")
     )
-    return J.exact_or_prefix(left, right, "lkey", "lbase", "rkey", ["rid"], min_prefix=6).drop("lbase")
+    return J.exact_or_prefix(left, right, "lkey", "lbase", "rkey", ["rid"]).drop("lbase")
 
 
 @query(
