@@ -1,4 +1,4 @@
-from . import catalog, events, quality, stats  # noqa: F401
+from . import catalog, events, quality, signal, stats  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
