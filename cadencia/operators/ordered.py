@@ -28,20 +28,26 @@ def time_cell(t: str | Column, width: float) -> Column:
     return F.floor(t / F.lit(float(width))).cast("bigint")
 
 
-def value_cells(df: DataFrame, keys: Sequence[str], value: str, bins: int = 512) -> DataFrame:
-    """Add equal-width value cells between the minimum and maximum per key."""
-    lim = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+def value_cells(
+    df: DataFrame, keys: Sequence[str], value: str, bins: int = 512, *, total: tuple[str, str] | None = None
+) -> DataFrame:
+    """Add equal-width value cells between the minimum and maximum per key.
+
+    ``total`` is (column, name): the sum of a column per key, added in the same
+    pass.
+    """
+    aggs = [F.min(value).alias("_lo"), F.max(value).alias("_hi")]
+    if total:
+        aggs.append(F.sum(total[0]).alias(total[1]))
     step = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     cell = F.when(
         step > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / step), F.lit(bins - 1))
     ).otherwise(F.lit(0))
     if keys:
-        df = df.join(lim, list(keys))
+        df = df.join(df.groupBy(*keys).agg(*aggs), list(keys))
     else:
-        one = lim.select(F.struct("_lo", "_hi")).scalar()
-        df = df.withColumn("_l", one).withColumns(
-            {"_lo": F.col("_l._lo"), "_hi": F.col("_l._hi")}
-        ).drop("_l")
+        one = df.agg(F.struct(*aggs)).scalar()
+        df = df.withColumn("_l", one).select("*", "_l.*").drop("_l")
     return df.withColumn(CELL, cell.cast("bigint")).drop("_lo", "_hi")
 
 
@@ -183,17 +189,16 @@ def exact_quantiles(
     v = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     v = v.select(*keys, F.col(value).cast("double").alias("_v"))
     v = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    v = value_cells(v, keys, "_v", bins)
-    cells = v.groupBy(*keys, CELL).agg(F.sum("_n").alias("_cn"))
+    # all three uses of the counts read the same columns, so that Spark can reuse
+    # their shuffle instead of running what lies before it again
+    v = value_cells(v, keys, "_v", bins, total=("_n", "_total"))
+    cells = v.groupBy(*keys, CELL).agg(F.sum("_n").alias("_cn"), F.max("_total").alias("_total"))
     gw = Window.partitionBy(*keys)
-    cells = cells.withColumns(
-        {
-            "_start": F.coalesce(
-                F.sum("_cn").over(gw.orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0),
-            ),
-            "_total": F.sum("_cn").over(gw),
-        }
+    cells = cells.withColumn(
+        "_start",
+        F.coalesce(
+            F.sum("_cn").over(gw.orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ),
     )
     ranks = []
     for name, p in probs.items():

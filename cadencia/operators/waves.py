@@ -318,15 +318,18 @@ def bootstrap_waves(traces: DataFrame, by: Sequence[str], ident: str, *, n_boot:
     return _ordered_array(g, by, ["mean", "sd", "p2_5", "p50", "p97_5"])
 
 
-def leave_one_out(traces: DataFrame, by: Sequence[str], ident: str, *, per_task: int = 1000) -> DataFrame:
-    """Each trace against the first component of the other traces of its group:
-    correlation at lag 0, mean absolute difference, and that component.
-
-    The group's cross products are worked out once; a task takes them and about
-    ``per_task`` traces, and subtracts one trace at a time.
+def leave_one_out(
+    traces: DataFrame, by: Sequence[str], ident: str, *, pool: DataFrame | None = None, per_task: int = 1000
+) -> DataFrame:
+    """Each trace against the first component of the group's traces of all other
+    ids: correlation at lag 0, mean absolute difference, and that component.
+
+    ``pool`` holds the traces to take the component of when they are more than
+    ``traces``. The group's cross products are worked out once; a task takes them
+    and about ``per_task`` traces, and subtracts one id at a time.
     """
     by = list(by)
-    parts = component_parts(traces, by)
+    parts = component_parts(traces if pool is None else pool, by)
     salts = F.ceil(F.col("n") / per_task).cast("bigint")
     n = parts.select(*by, salts.alias("_s"))
     left = traces.select(*by, ident, "wave").join(n, by).withColumn("_salt", F.pmod(F.xxhash64(ident), F.col("_s"))).drop("_s")
@@ -336,17 +339,25 @@ def leave_one_out(traces: DataFrame, by: Sequence[str], ident: str, *, per_task:
         + [T.StructField(c, T.DoubleType()) for c in ("corr", "mad")]
         + [T.StructField("loo_wave", DOUBLES)]
     )
+    names = [*by, ident, "corr", "mad", "loo_wave"]
 
     def run(tr: pd.DataFrame, pt: pd.DataFrame) -> pd.DataFrame:
-        names = [*by, ident, "corr", "mad", "loo_wave"]
-        if tr.empty or pt.empty or pt["n"].iloc[0] < 2:
-            return pd.DataFrame(columns=names)
-        r = np.stack(pt["rows"].iloc[0])
-        gram, total, n = r.T @ r, np.asarray(pt["total"].iloc[0]), pt["n"].iloc[0]
-        w = np.stack(tr["wave"].to_numpy())
-        loo = np.stack([N.first_component(gram - np.outer(x, x), (total - x) / (n - 1)) for x in w])
-        _, c = N.xcorr_rows(w, loo, 0)
-        return tr[[*by, ident]].assign(corr=c[:, 0], mad=N.mad_rows(w, loo), loo_wave=list(loo))[names]
+        out = []
+        if len(tr) and len(pt):
+            r = np.stack(pt["rows"].iloc[0])
+            gram, total, n = r.T @ r, np.asarray(pt["total"].iloc[0]), pt["n"].iloc[0]
+            for _, g in tr.groupby(ident, sort=False):
+                w = np.stack(g["wave"].to_numpy())
+                if n - len(w) < 1:
+                    continue
+                rest = N.first_component(gram - w.T @ w, (total - w.sum(axis=0)) / (n - len(w)))
+                loo = np.broadcast_to(rest, w.shape)
+                out.append(
+                    g[[*by, ident]].assign(
+                        corr=N.xcorr_rows(w, loo, 0)[1][:, 0], mad=N.mad_rows(w, loo), loo_wave=[rest] * len(w)
+                    )
+                )
+        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
 
     k = [*by, "_salt"]
     return left.groupBy(*k).cogroup(right.groupBy(*k)).applyInPandas(run, schema)

@@ -9,6 +9,7 @@ from ..operators import cycles as C
 from ..operators import quality as Q
 from ..operators import stats as S
 from ..operators.ordered import ordered_scan, time_cell
+from ..session import cut_lineage
 from .events import VISIT_SQL, WEEK, visits
 from .registry import WAVES, n64, query, r6, r6s
 
@@ -29,11 +30,13 @@ RULES = Q.QcRules(so_ms_tol=100.0, moment_rms_max=60.0, moment_max_max=90.0)
 
 
 def _so(spark, d):
+    """Samples of each cycle with their index, written once: the checks below
+    read them several times."""
     ev = A.events(spark, d).select("trial_id", "t", "event_id", "label", "value")
     so = C.slice_cycles(ev, visits(spark, d).select(*CK, "t_start", "t_end"), ["trial_id"], cell_width=WEEK)
     so = ordered_scan(so, CK, ["t", "event_id"], row_no="idx", cell=time_cell("t", WEEK))
     v, k = F.col("value"), (F.col("event_id") % 100).cast("double")
-    return so.select(
+    so = so.select(
         *CK,
         "t",
         (F.col("idx") - 1).alias("idx"),
@@ -47,6 +50,7 @@ def _so(spark, d):
         "value",
         "event_id",
     )
+    return cut_lineage(so)
 
 
 def _windows(spark, d, so):

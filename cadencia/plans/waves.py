@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..functions import arrays as X
 from ..operators import waves as V
+from ..session import cut_lineage
 from .registry import WAVES, n64, query, r6, r6s
 
 N = 64
@@ -266,7 +267,7 @@ def pca_wave(spark, d):
 
 def _traces(spark, d):
     """One trace per subject and label."""
-    return V.pca_wave(A.waves(spark, d), ["subject", "label"]).withColumnRenamed("n", "n_cycles")
+    return cut_lineage(V.pca_wave(A.waves(spark, d), ["subject", "label"]).withColumnRenamed("n", "n_cycles"))
 
 
 @query("global_wave")
@@ -289,7 +290,8 @@ def loo(spark, d):
 
 @query("loo_outliers")
 def loo_outliers(spark, d):
-    out = V.loo_outliers(V.leave_one_out(_traces(spark, d), ["label"], "subject"), ["label"], "subject", top_fraction=0.1)
+    loo = cut_lineage(V.leave_one_out(_traces(spark, d), ["label"], "subject"))
+    out = V.loo_outliers(loo, ["label"], "subject", top_fraction=0.1)
     return out.select("label", "subject", *[r6(c).alias(c) for c in ("corr", "mad", "dissim")])
 
 
