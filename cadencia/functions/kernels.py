@@ -301,36 +301,59 @@ def first_component(gram: np.ndarray, mean: np.ndarray) -> np.ndarray:
 
 def _warp(x: np.ndarray, y: np.ndarray, combine) -> np.ndarray:
     """Cost of the best path for pairs of rows, antidiagonal by antidiagonal.
-    x is (pairs, n, features), y (pairs, m, features)."""
-    p, n, _ = x.shape
+
+    x is (pairs, n, features), y (pairs, m, features). Points come first in
+    memory and y is reversed, so a diagonal is a plain slice of both. Cell (i, j)
+    sits at i + 1 of its diagonal; position 0 and all cells outside are infinite.
+    ``combine(left, up, corner, out)`` writes the soft or hard minimum.
+    """
+    p, n, f = x.shape
     m = y.shape[1]
-    inf = np.full((p, n + 1), np.inf)
-    prev2, prev1 = inf.copy(), inf.copy()
-    prev2[:, 0] = 0.0  # border cell before both waves
+    xs = np.ascontiguousarray(x.transpose(2, 1, 0))
+    ys = np.ascontiguousarray(y.transpose(2, 1, 0)[:, ::-1])
+    two, one, cur = (np.full((n + 1, p), np.inf) for _ in range(3))
+    two[0] = 0.0
+    cost, part = np.empty((n, p)), np.empty((n, p))
     for s in range(n + m - 1):
         lo, hi = max(0, s - m + 1), min(n - 1, s)
-        i = np.arange(lo, hi + 1)
-        d = x[:, i] - y[:, s - i]
-        cost = np.einsum("pkf,pkf->pk", d, d)
-        cur = inf.copy()
-        cur[:, i + 1] = cost + combine(prev1[:, i], prev1[:, i + 1], prev2[:, i])
-        prev2, prev1 = prev1, cur
-    return prev1[:, n]
+        k, off = hi - lo + 1, m - 1 - s
+        c = cost[:k]
+        for q in range(f):
+            d = c if q == 0 else part[:k]
+            np.subtract(xs[q, lo : hi + 1], ys[q, off + lo : off + hi + 1], out=d)
+            np.multiply(d, d, out=d)
+            if q:
+                c += d
+        out = cur[lo + 1 : hi + 2]
+        combine(one[lo : hi + 1], one[lo + 1 : hi + 2], two[lo : hi + 1], out)
+        out += c
+        cur[: lo + 1] = np.inf
+        cur[hi + 2 :] = np.inf
+        two, one, cur = one, cur, two
+    return one[n].copy()
+
+
+def _hard(a, b, c, out):
+    np.minimum(a, b, out=out)
+    np.minimum(out, c, out=out)
 
 
 def dtw(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(_warp(x, y, lambda a, b, c: np.minimum(np.minimum(a, b), c)))
+    return np.sqrt(_warp(x, y, _hard))
 
 
 def soft_dtw(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
-    def soft_min(a, b, c):
+    def soft(a, b, c, out):
         low = np.minimum(np.minimum(a, b), c)
         base = np.where(np.isfinite(low), low, 0.0)
-        s = sum(np.exp(-(v - base) / gamma) for v in (a, b, c))
+        s = np.exp((base - a) / gamma)
+        s += np.exp((base - b) / gamma)
+        s += np.exp((base - c) / gamma)
         with np.errstate(divide="ignore"):
-            return base - gamma * np.log(s)
+            np.log(s, out=s)
+        np.subtract(base, gamma * s, out=out)
 
-    return _warp(x, y, soft_min)
+    return _warp(x, y, soft)
 
 
 def euclidean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -338,7 +361,7 @@ def euclidean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt((d * d).sum(axis=1))
 
 
-def distance(metric: str, x: np.ndarray, y: np.ndarray, gamma: float = 1.0, batch: int = 4096) -> np.ndarray:
-    """Distances of paired waves, a bounded number of pairs at a time."""
+def distance(metric: str, x: np.ndarray, y: np.ndarray, gamma: float = 1.0, batch: int = 256) -> np.ndarray:
+    """Distances of paired waves, as many pairs at a time as stay in the cache."""
     fn = {"dtw": dtw, "softdtw": lambda a, b: soft_dtw(a, b, gamma), "euclidean": euclidean}[metric]
     return np.concatenate([fn(x[k : k + batch], y[k : k + batch]) for k in range(0, len(x), batch)] or [np.zeros(0)])

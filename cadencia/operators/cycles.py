@@ -105,7 +105,7 @@ def extract_cycles(
             cell=cell,
         )
         if central:
-            t_end, t_central = F.col("_mid._end.t"), F.col("_mid.p")
+            t_end, t_central = F.col("_mid._end.t"), F.col("_mid.at")
         else:
             t_end, t_central = F.col("_end.t"), F.lit(None).cast("double")
         cyc = ev.where((F.col("label") == start) & t_end.isNotNull()).withColumns(

@@ -31,18 +31,26 @@ def time_cell(t: str | Column, width: float) -> Column:
 def value_cells(
     df: DataFrame, keys: Sequence[str], value: str, bins: int = 512, *, total: tuple[str, str] | None = None
 ) -> DataFrame:
-    """Add equal-width value cells between the minimum and maximum per key.
+    """Add order-preserving cells of a numeric value per key.
 
-    ``total`` is (column, name): the sum of a column per key, added in the same
-    pass.
+    Cells are logarithmic in the distance to the nearer of minimum and maximum,
+    ``bins`` to an octave: a far outlier on one side leaves the bulk of the
+    values, next to the other end, spread over many cells. ``total`` is (column,
+    name): the sum of a column per key, added in the same pass.
     """
     aggs = [F.min(value).alias("_lo"), F.max(value).alias("_hi")]
     if total:
         aggs.append(F.sum(total[0]).alias(total[1]))
-    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    cell = F.when(
-        step > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / step), F.lit(bins - 1))
-    ).otherwise(F.lit(0))
+    span = F.col("_hi") - F.col("_lo")
+    tiny = F.lit(2.0**-60)
+    low = F.log2(F.greatest((F.col(value) - F.col("_lo")) / span, tiny))
+    high = F.log2(F.greatest((F.col("_hi") - F.col(value)) / span, tiny))
+    cell = (
+        F.when(span <= 0, 0.0)
+        .when((F.col(value) - F.col("_lo")) / span < 0.5, low * bins)
+        .otherwise(-high * bins)
+    )
+    cell = F.floor(cell)
     if keys:
         df = df.join(df.groupBy(*keys).agg(*aggs), list(keys))
     else:
@@ -70,7 +78,7 @@ def ordered_scan(
     ``totals``           sum of an expression over the rows strictly before it;
     ``row_no``           1-based position in the series;
     ``chained``          name -> (payload, links): the next row whose payload is
-                         not null, as ``struct(p, <links>)`` where each link is
+                         not null, as ``struct(at, <links>)`` where each link is
                          what that row itself sees under a ``prevs``/``nexts``
                          name.
 
@@ -109,7 +117,7 @@ def ordered_scan(
             )
     out = df.withColumns(local)
     for n, (_, links) in chained.items():
-        seen = F.struct(F.col(f"_e_{n}").alias("p"), *[F.col(f"_l_{x}").alias(x) for x in links])
+        seen = F.struct(F.col(f"_e_{n}").alias("at"), *[F.col(f"_l_{x}").alias(x) for x in links])
         out = out.withColumn(f"_x_{n}", F.when(F.col(f"_e_{n}").isNotNull(), seen))
         out = out.withColumn(f"_l_{n}", F.last(f"_x_{n}", ignorenulls=True).over(after))
 
@@ -117,7 +125,7 @@ def ordered_scan(
         """Fill a chained struct's open links from the carry of its own cell."""
         c = F.col(struct_col)
         fields = [F.coalesce(c[x], F.col(f"_c_{x}")).alias(x) for x in links]
-        return F.when(c.isNotNull(), F.struct(c["p"].alias("p"), *fields))
+        return F.when(c.isNotNull(), F.struct(c["at"].alias("at"), *fields))
 
     if split:
         pos = F.struct(*order)
@@ -176,12 +184,12 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     *,
-    bins: int = 4096,
+    bins: int = 1024,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of groups of any size.
 
     The built-in exact ``percentile`` keeps every distinct value of a group in
-    one buffer. Here values are counted per equal-width cell, the cells that
+    one buffer. Here values are counted per value cell, the cells that
     hold the wanted ranks are found from the counts, and only those cells are
     ordered. One row per group; a group without a value is absent.
     """

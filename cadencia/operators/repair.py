@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as N
 from ..functions.text import canonical_muscle, channel_info, close_group
+from ..session import cut_lineage
 from .ordered import exact_quantiles
 from .rows import struct_kernel
 from .waves import aggregate_waves, central_interval, circular_best, leave_one_out, quantile_threshold
@@ -46,29 +47,34 @@ def compare_to_global(traces: DataFrame, globals_: DataFrame, *, max_lag: int) -
     )
 
 
+def _limit(rows: DataFrame, value: str, *, upper: bool = False) -> float | None:
+    got = quantile_threshold(rows, value, upper=upper).first()
+    return None if got is None else got[0]
+
+
 def validate_channels(stats: DataFrame, *, within_lag_max: int, two_pass: bool = True) -> DataFrame:
     """Status of every channel.
 
     ``stats`` is (sid, label, snr, corr, lag) against the global trace over all
     lags, (corr_med, lag_abs_med_lim, homogeneity_flag, within_corr_low) from
     within the subject, and (base_corr, base_lag, base_mad) within the lag limit.
-    Each empirical limit is one aggregate that is read back as a scalar.
+    Each empirical limit is a barrier: one number that is read before the next
+    step can be planned.
     """
-    snr_low = quantile_threshold(stats, "snr").scalar()
-    s = stats.withColumn("_snr_low", snr_low).withColumn("_alag", F.abs("lag"))
-    good = s.where(F.col("snr").isNull() | (F.col("snr") >= F.col("_snr_low")))
-    c1 = quantile_threshold(good, "corr").scalar()
-    l1 = quantile_threshold(good, "_alag", upper=True).scalar()
-    s = s.withColumns({"_c": c1, "_l": l1})
-    if two_pass:
-        kept = good.withColumns({"_c": c1, "_l": l1}).where((F.col("corr") >= F.col("_c")) & (F.col("_alag") <= F.col("_l")))
-        c2 = quantile_threshold(kept, "corr").scalar()
-        l2 = quantile_threshold(kept, "_alag", upper=True).scalar()
-        s = s.withColumns({"_c": F.coalesce(c2, "_c"), "_l": F.coalesce(l2, "_l")})
+    s = stats.withColumn("_alag", F.abs("lag"))
+    snr_low = _limit(s, "snr")
+    good = s if snr_low is None else s.where(F.col("snr").isNull() | (F.col("snr") >= snr_low))
+    c, a = _limit(good, "corr"), _limit(good, "_alag", upper=True)
+    if two_pass and c is not None and a is not None:
+        kept = good.where((F.col("corr") >= c) & (F.col("_alag") <= a))
+        c2, a2 = _limit(kept, "corr"), _limit(kept, "_alag", upper=True)
+        c, a = (c, a) if c2 is None else (c2, a2)
+    known = c is not None and a is not None
+    low_snr = F.lit(False) if snr_low is None else F.col("snr") < snr_low
     first = (
-        F.when(F.col("snr") < F.col("_snr_low"), "low_snr")
-        .when(F.col("_c").isNull() | F.col("_l").isNull(), "unknown")
-        .when((F.col("corr") < F.col("_c")) | (F.col("_alag") > F.col("_l")), "flagged")
+        F.when(low_snr, "low_snr")
+        .when(F.lit(not known), "unknown")
+        .when((F.col("corr") < F.lit(c)) | (F.col("_alag") > F.lit(a)), "flagged")
         .otherwise("validated")
     )
     reasons = F.array_compact(
@@ -85,7 +91,7 @@ def validate_channels(stats: DataFrame, *, within_lag_max: int, two_pass: bool =
         .when(F.col("reasons") != "", "flagged_within")
         .otherwise(F.col("_first"))
     )
-    s = s.withColumn("_second", second)
+    s = cut_lineage(s.withColumn("_second", second))
     ok = s.where("_second = 'validated'").select("label", "base_corr", "base_lag", "base_mad")
     ci = None
     for c in ("corr", "lag", "mad"):

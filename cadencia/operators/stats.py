@@ -176,8 +176,8 @@ def compare_two_groups(long: DataFrame, by: Sequence[str], group: str, value: st
             for n, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop), ("min", F.min), ("max", F.max))
         ]
     )
-    med = exact_quantiles(v, [*by, "_g"], "_v", {"m": 0.5})
-    med = med.groupBy(*by).agg(*[F.max(F.when(F.col("_g") == g, F.col("m"))).alias(f"median_{g}") for g in (0, 1)])
+    med = exact_quantiles(v, [*by, "_g"], "_v", {"_med": 0.5})
+    med = med.groupBy(*by).agg(*[F.max(F.when(F.col("_g") == g, F.col("_med"))).alias(f"median_{g}") for g in (0, 1)])
 
     ties = v.groupBy(*by, "_v").agg(
         F.count(F.lit(1)).alias("_t"), F.count_if(F.col("_g") == 0).alias("_t0")

@@ -8,6 +8,7 @@ from .. import adapters as A
 from ..functions import text as X
 from ..operators import catalog as K
 from ..operators import labels as L
+from ..operators.ordered import ordered_scan
 from .registry import n64, query, r6, r6s
 
 # file names in the engine's naming scheme, composed from orders; one in seven is malformed
@@ -392,12 +393,11 @@ g AS (SELECT b.*, row_number() OVER (PARTITION BY b.trial ORDER BY block, pos) -
 
 
 def _blocks(spark, d):
-    from pyspark.sql import Window
-
     b = A.table(spark, d, "orders").select(
         F.col("o_custkey").alias("trial"), (F.col("o_orderkey") % 3 + 1).alias("block"), F.col("o_orderkey").alias("id")
     )
-    return b.withColumn("pos", n64(F.row_number().over(Window.partitionBy("trial", "block").orderBy("id")) - 1))
+    b = ordered_scan(b, ["trial", "block"], ["id"], row_no="_k", cell=F.floor(F.col("id") / 100_000).cast("bigint"))
+    return b.withColumn("pos", F.col("_k") - 1).drop("_k")
 
 
 @query("condense_blocks", f"WITH {BLOCKS_SQL} SELECT trial, id, CASE WHEN nb > 1 AND total <= 12 THEN 1 ELSE block END AS block, CASE WHEN nb > 1 AND total <= 12 THEN gpos ELSE pos END AS pos, nb > 1 AND total <= 12 AS merged FROM g")
