@@ -80,19 +80,34 @@ def _run(sections: tuple, x: np.ndarray) -> np.ndarray:
 
 
 def zero_phase(sections: tuple, x: np.ndarray) -> np.ndarray:
-    """Forward and backward filtering with odd extension at both ends."""
-    n = x.shape[1]
+    """Forward and backward filtering of rows of one length."""
+    return np.stack(zero_phase_ragged(sections, list(x))) if len(x) else x
+
+
+def zero_phase_ragged(sections: tuple, rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Forward and backward filtering with odd extension at both ends. Rows of
+    different lengths are filtered together: each starts at the left of a common
+    stack, and is turned round at its own end for the way back."""
     taps = 2 * len(sections) + 1
     if all(s[2] == 0.0 and s[4] == 0.0 for s in sections):
         taps -= 1
-    pad = min(3 * taps, n - 1)
-    if pad > 0:
-        head = 2 * x[:, :1] - x[:, pad:0:-1]
-        tail = 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]
-        x = np.concatenate([head, x, tail], axis=1)
-    y = _run(sections, x)
-    y = _run(sections, y[:, ::-1])[:, ::-1]
-    return y[:, pad : pad + n] if pad > 0 else y
+    out, ext = [], []
+    for x in rows:
+        pad = min(3 * taps, x.size - 1)
+        if pad > 0:
+            x = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+        ext.append((x, pad))
+    size = np.array([x.size for x, _ in ext])
+    stack = np.zeros((len(ext), size.max()))
+    for i, (x, _) in enumerate(ext):
+        stack[i, : x.size] = x
+    # position k of a turned row is its own last position minus k
+    turn = np.clip(size[:, None] - 1 - np.arange(size.max())[None, :], 0, None)
+    y = np.take_along_axis(_run(sections, stack), turn, axis=1)
+    y = np.take_along_axis(_run(sections, y), turn, axis=1)
+    for i, (x, pad) in enumerate(ext):
+        out.append(y[i, pad : x.size - pad])
+    return out
 
 
 def bandpass_sections(fs: float, low: float, high: float, order: int = 4, floor: float = 1e-6) -> tuple:
@@ -109,19 +124,21 @@ def lowpass_sections(fs: float, cutoff: float, order: int = 2, corrected: bool =
     return butterworth(order, "low", 0.0, float(c), float(fs))
 
 
-def lowpass_nonzero_span(sections: tuple, x: np.ndarray) -> np.ndarray:
+def lowpass_nonzero_span(sections: tuple, x) -> np.ndarray | list[np.ndarray]:
     """Low-pass only between the first and last non-zero point of each wave, and
     only where enough points are non-zero; the rest is returned as it is."""
-    out = x.copy()
-    nz = x != 0
     need = 3 * 3 - 1
-    enough = nz.sum(axis=1) > need
-    first = nz.argmax(axis=1)
-    last = x.shape[1] - 1 - nz[:, ::-1].argmax(axis=1)
-    for a, b in {(int(a), int(b)) for a, b in zip(first[enough], last[enough])}:
-        rows = enough & (first == a) & (last == b)
-        out[rows, a : b + 1] = zero_phase(sections, x[rows, a : b + 1])
-    return out
+    out = [np.array(r) for r in x]
+    spans = []
+    for i, r in enumerate(out):
+        nz = np.flatnonzero(r)
+        if nz.size > need:
+            spans.append((i, nz[0], nz[-1] + 1))
+    if spans:
+        done = zero_phase_ragged(sections, [out[i][a:b] for i, a, b in spans])
+        for (i, a, b), y in zip(spans, done):
+            out[i][a:b] = y
+    return np.stack(out) if isinstance(x, np.ndarray) else out
 
 
 def fir_taps(n: int, cutoff: float, fs: float) -> np.ndarray:
@@ -299,20 +316,21 @@ def first_component(gram: np.ndarray, mean: np.ndarray) -> np.ndarray:
 # --- warping distances --------------------------------------------------------
 
 
-def _warp(x: np.ndarray, y: np.ndarray, combine) -> np.ndarray:
-    """Cost of the best path for pairs of rows, antidiagonal by antidiagonal.
+def _warp(x: np.ndarray, y: np.ndarray, step, outside: float = np.inf, start: float = 0.0) -> np.ndarray:
+    """Last cell of the warping table for pairs of rows, antidiagonal by
+    antidiagonal.
 
     x is (pairs, n, features), y (pairs, m, features). Points come first in
     memory and y is reversed, so a diagonal is a plain slice of both. Cell (i, j)
-    sits at i + 1 of its diagonal; position 0 and all cells outside are infinite.
-    ``combine(left, up, corner, out)`` writes the soft or hard minimum.
+    sits at i + 1 of its diagonal; position 0 and all cells outside hold
+    ``outside``. ``step(left, up, corner, cost, out)`` writes a cell.
     """
     p, n, f = x.shape
     m = y.shape[1]
     xs = np.ascontiguousarray(x.transpose(2, 1, 0))
     ys = np.ascontiguousarray(y.transpose(2, 1, 0)[:, ::-1])
-    two, one, cur = (np.full((n + 1, p), np.inf) for _ in range(3))
-    two[0] = 0.0
+    two, one, cur = (np.full((n + 1, p), outside) for _ in range(3))
+    two[0] = start
     cost, part = np.empty((n, p)), np.empty((n, p))
     for s in range(n + m - 1):
         lo, hi = max(0, s - m + 1), min(n - 1, s)
@@ -324,34 +342,67 @@ def _warp(x: np.ndarray, y: np.ndarray, combine) -> np.ndarray:
             np.multiply(d, d, out=d)
             if q:
                 c += d
-        out = cur[lo + 1 : hi + 2]
-        combine(one[lo : hi + 1], one[lo + 1 : hi + 2], two[lo : hi + 1], out)
-        out += c
-        cur[: lo + 1] = np.inf
-        cur[hi + 2 :] = np.inf
+        step(one[lo : hi + 1], one[lo + 1 : hi + 2], two[lo : hi + 1], c, cur[lo + 1 : hi + 2])
+        cur[: lo + 1] = outside
+        cur[hi + 2 :] = outside
         two, one, cur = one, cur, two
     return one[n].copy()
 
 
-def _hard(a, b, c, out):
-    np.minimum(a, b, out=out)
-    np.minimum(out, c, out=out)
-
-
 def dtw(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(_warp(x, y, _hard))
+    def step(a, b, c, cost, out):
+        np.minimum(a, b, out=out)
+        np.minimum(out, c, out=out)
+        out += cost
+
+    return np.sqrt(_warp(x, y, step))
 
 
 def soft_dtw(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
-    def soft(a, b, c, out):
-        low = np.minimum(np.minimum(a, b), c)
-        base = np.where(np.isfinite(low), low, 0.0)
-        s = np.exp((base - a) / gamma)
-        s += np.exp((base - b) / gamma)
-        s += np.exp((base - c) / gamma)
-        with np.errstate(divide="ignore"):
-            np.log(s, out=s)
-        np.subtract(base, gamma * s, out=out)
+    """Soft-DTW. For pairs where no path can cost more than 650 gamma the table is
+    kept as exp(-cost / gamma), which needs one exponential per cell and cannot
+    leave the range of a double; else as costs with a smooth minimum."""
+    ends = [f(v, axis=(1, 2)) for v in (x, y) for f in (np.max, np.min)]
+    span = np.maximum(ends[0] - ends[3], ends[2] - ends[1])
+    safe = span**2 * x.shape[2] * (x.shape[1] + y.shape[1]) < 650.0 * gamma
+    out = np.empty(len(x))
+    for rows, fn in ((safe, _soft_product), (~safe, _soft_costs)):
+        if rows.any():
+            out[rows] = fn(x[rows], y[rows], gamma)
+    return out
+
+
+def _soft_product(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    def product(a, b, c, cost, out):
+        np.add(a, b, out=out)
+        out += c
+        cost *= -1.0 / gamma
+        np.exp(cost, out=cost)
+        out *= cost
+
+    return -gamma * np.log(_warp(x, y, product, 0.0, 1.0))
+
+
+def _soft_costs(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    def soft(a, b, c, cost, out):
+        # two exponentials: the third is that of zero
+        few, many = np.minimum(a, b), np.maximum(a, b)
+        low = np.minimum(few, c)
+        mid = np.maximum(few, np.minimum(many, c))
+        top = np.maximum(many, c)
+        with np.errstate(invalid="ignore"):
+            np.subtract(low, mid, out=mid)
+            mid *= 1.0 / gamma
+            np.exp(mid, out=mid)
+            np.subtract(low, top, out=top)
+            top *= 1.0 / gamma
+            np.exp(top, out=top)
+        mid += top
+        mid += 1.0
+        np.log(mid, out=mid)
+        mid *= gamma
+        np.subtract(low, mid, out=out)
+        out += cost
 
     return _warp(x, y, soft)
 

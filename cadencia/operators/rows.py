@@ -44,6 +44,25 @@ def row_kernel(fn: Callable[..., np.ndarray], *columns: str | Column, min_points
     return run(*columns)
 
 
+def ragged_kernel(fn: Callable[[list[np.ndarray]], list[np.ndarray]], column: str | Column) -> Column:
+    """array<double> column from a kernel that takes rows of different lengths
+    together. Rows are sorted by length and handed over in groups of similar
+    ones, so that little is padded."""
+
+    @F.pandas_udf(DOUBLES)
+    def run(col: pd.Series) -> pd.Series:
+        rows = {i: np.asarray(v, dtype=float) for i, v in enumerate(col) if v is not None and len(v)}
+        order = sorted(rows, key=lambda i: rows[i].size)
+        out = np.empty(len(col), dtype=object)
+        for k in range(0, len(order), 256):
+            some = order[k : k + 256]
+            for i, r in zip(some, fn([rows[i] for i in some])):
+                out[i] = r
+        return pd.Series(out)
+
+    return run(column)
+
+
 def struct_kernel(fn: Callable[..., tuple], schema: str, *columns: str | Column) -> Column:
     """Struct column from ``fn(stack, ...) -> tuple of vectors``."""
     st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema

@@ -17,7 +17,7 @@ from ..functions import arrays as X
 from ..functions import kernels as N
 from .joins import interpolate_at
 from .ordered import ordered_scan
-from .rows import chunks_to_long, long_to_chunks, row_kernel
+from .rows import chunks_to_long, long_to_chunks, ragged_kernel, row_kernel
 
 
 @dataclass(frozen=True)
@@ -126,14 +126,14 @@ def envelope_long(
     s = s.withColumn("_x", F.col("_x") - F.col("_mean") if settings.demean else F.col("_x"))
     chunks = long_to_chunks(s, keys, "_x", chunk=chunk, halo=halo)
 
-    def run(x: np.ndarray) -> np.ndarray:
-        y = N.zero_phase(bp, x)
-        y = np.abs(y) if settings.rectify else y
+    def run(rows: list[np.ndarray]) -> list[np.ndarray]:
+        y = N.zero_phase_ragged(bp, rows)
+        y = [np.abs(r) for r in y] if settings.rectify else y
         y = N.lowpass_nonzero_span(lp, y)
-        return np.maximum(y, 0.0) if settings.non_negative else y
+        return [np.maximum(r, 0.0) for r in y] if settings.non_negative else y
 
     return chunks_to_long(
-        chunks.withColumn("_y", row_kernel(run, "vs")), keys, "_y", chunk=chunk, out=value
+        chunks.withColumn("_y", ragged_kernel(run, "vs")), keys, "_y", chunk=chunk, out=value
     )
 
 

@@ -9,6 +9,7 @@ from ..functions import arrays as X
 from ..functions import kernels as N
 from ..operators import signal as S
 from ..operators.ordered import ordered_scan, time_cell
+from ..session import cut_lineage
 from .registry import EV, WAVES, n64, query, r6, r6s
 
 FS = 1000.0
@@ -146,7 +147,7 @@ def envelope_series(spark, d):
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     month = F.expr("year(l_shipdate) * 12 + month(l_shipdate)").cast("bigint")
     s = ordered_scan(li, ["trial_id"], order, row_no="_k", cell=month)
-    s = s.select("trial_id", F.lit("EMG 1").alias("channel"), (F.col("_k") - 1).alias("idx"), "v")
+    s = cut_lineage(s.select("trial_id", F.lit("EMG 1").alias("channel"), (F.col("_k") - 1).alias("idx"), "v"))
     rates = s.select("trial_id").distinct().withColumn("rate", F.when(F.col("trial_id") % 5 == 0, F.lit(None)).otherwise(F.lit(FS)))
     out = S.preprocess_before_split(s, rates, ["trial_id", "channel"], "v", known_rates=[FS])
     return out.select("trial_id", "idx", r6("v").alias("v"))

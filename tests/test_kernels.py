@@ -100,7 +100,8 @@ def test_warping_distances(features):
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=(5, 9, features)), rng.normal(size=(5, 7, features))
     assert np.allclose(N.distance("dtw", x, y), [naive_dtw(a, b) ** 0.5 for a, b in zip(x, y)])
-    assert np.allclose(N.distance("softdtw", x, y, 0.3, batch=2), [naive_dtw(a, b, 0.3) for a, b in zip(x, y)])
+    for gamma in (0.3, 1e3):  # both forms of the table
+        assert np.allclose(N.distance("softdtw", x, y, gamma, batch=2), [naive_dtw(a, b, gamma) for a, b in zip(x, y)])
     assert np.allclose(N.distance("dtw", x, x), 0)
 
 
