@@ -260,8 +260,19 @@ def strip_exercise_prefix(events: DataFrame, scheme: str, cycle_type: str, event
     )
 
 
-def derive_columns(df: DataFrame, *, weight: str, height_mm: str, ident: str, cluster: str, path: str, roots: Mapping[str, str]) -> DataFrame:
-    """BMI, centimetres, upper-case ids, replaced path roots, cluster letters."""
+def derive_columns(
+    df: DataFrame,
+    *,
+    weight: str,
+    height_mm: str,
+    ident: str,
+    cluster: str,
+    path: str,
+    roots: Mapping[str, str],
+    hundredfold: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """BMI, upper-case ids, replaced path roots, cluster letters, and columns
+    times 100 (metres to centimetres, shares to percent) under new names."""
     p = F.col(path)
     for old, new in roots.items():
         p = F.replace(p, F.lit(old), F.lit(new))
@@ -269,10 +280,10 @@ def derive_columns(df: DataFrame, *, weight: str, height_mm: str, ident: str, cl
     return df.withColumns(
         {
             "bmi": F.col(weight) / (h * h),
-            "height_cm": F.col(height_mm) / 10.0,
             ident: F.upper(ident),
             path: p,
             "cluster_letter": F.char(F.lit(65) + F.col(cluster)),
+            **{new: F.col(old) * 100 for old, new in (hundredfold or {}).items()},
         }
     )
 

@@ -568,20 +568,21 @@ def exercise_prefix(spark, d):
 
 @query(
     "derive_columns",
-    f"""SELECT c_custkey, {r6s('(60 + c_custkey % 40) / ((1500.0 + c_custkey % 400) / 1000.0 * (1500.0 + c_custkey % 400) / 1000.0)')} AS bmi, {r6s('(1500.0 + c_custkey % 400) / 10.0')} AS height_cm,
+    f"""SELECT c_custkey, {r6s('(60 + c_custkey % 40) / ((1500.0 + c_custkey % 400) / 1000.0 * (1500.0 + c_custkey % 400) / 1000.0)')} AS bmi, {r6s('c_acctbal * 100')} AS acctbal_pc,
 upper(c_name) AS c_name, replace('/old/' || c_mktsegment, '/old', '/new') AS path, chr(CAST(65 + c_nationkey AS INTEGER)) AS cluster_letter FROM customer""",
 )
 def derive_columns(spark, d):
     c = A.table(spark, d, "customer").select(
         "c_custkey",
         "c_name",
+        "c_acctbal",
         (F.lit(60) + F.col("c_custkey") % 40).alias("w"),
         (F.lit(1500.0) + F.col("c_custkey") % 400).alias("h"),
         F.col("c_nationkey").alias("cl"),
         F.concat(F.lit("/old/"), "c_mktsegment").alias("path"),
     )
-    out = L.derive_columns(c, weight="w", height_mm="h", ident="c_name", cluster="cl", path="path", roots={"/old": "/new"})
-    return out.select("c_custkey", r6("bmi").alias("bmi"), r6("height_cm").alias("height_cm"), "c_name", "path", "cluster_letter")
+    out = L.derive_columns(c, weight="w", height_mm="h", ident="c_name", cluster="cl", path="path", roots={"/old": "/new"}, hundredfold={"c_acctbal": "acctbal_pc"})
+    return out.select("c_custkey", r6("bmi").alias("bmi"), r6("acctbal_pc").alias("acctbal_pc"), "c_name", "path", "cluster_letter")
 
 
 @query(

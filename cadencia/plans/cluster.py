@@ -8,7 +8,7 @@ from .. import adapters as A
 from ..operators import cluster as C
 from ..operators import pairwise as P
 from ..session import cut_lineage
-from .registry import n64, query, r6, r6s
+from .registry import query, r6, r6s
 
 D_SQL = """e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS w FROM embeddings),
 pr AS (SELECT a.id, a.label, b.label AS other, b.id AS id2, list_distance(a.w, b.w) AS d FROM e a JOIN e b ON a.id <> b.id),

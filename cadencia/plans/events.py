@@ -9,7 +9,7 @@ from ..operators import cycles as C
 from ..operators import joins as J
 from ..operators import patching as P
 from ..operators.ordered import time_cell
-from .registry import EV, n64, query, r6, r6s
+from .registry import EV, query, r6, r6s
 
 WEEK = 7 * A.DAY
 KEY = ["trial_id"]

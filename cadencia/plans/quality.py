@@ -11,7 +11,7 @@ from ..operators import stats as S
 from ..operators.ordered import ordered_scan, time_cell
 from ..session import cut_lineage
 from .events import VISIT_SQL, WEEK, visits
-from .registry import WAVES, n64, query, r6, r6s
+from .registry import WAVES, query, r6, r6s
 
 CK = ["trial_id", "cycle_no"]
 

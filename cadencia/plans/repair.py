@@ -9,7 +9,7 @@ from .. import adapters as A
 from ..operators import repair as R
 from ..operators import waves as V
 from ..session import cut_lineage
-from .registry import WAVES, n64, query, r6, r6s
+from .registry import WAVES, query, r6, r6s
 
 LAG = 3
 

@@ -1,7 +1,5 @@
 """Waves, distances, clustering and repair on small planted data."""
 
-import itertools
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
