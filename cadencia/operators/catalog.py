@@ -43,18 +43,20 @@ SIM_KEYS = {
 def parse_trial_names(files: DataFrame, name: str) -> DataFrame:
     """Name parts as columns; names of another form are dropped."""
     n = F.col(name)
-    part = lambda i: F.regexp_extract(n, TRIAL_NAME, i)
-    return files.where(n.rlike(TRIAL_NAME)).withColumns(
+    # the pattern has been met, so the first six underscores part the fields
+    f = files.where(n.rlike(TRIAL_NAME)).withColumn("_p", F.split(n, "_", 7))
+    part = lambda i: F.get("_p", F.lit(i))
+    return f.withColumns(
         {
-            "pid": part(1),
-            "pid2": part(2),
-            "datetime": F.concat_ws("_", part(3), part(4)),
-            "session": part(5),
-            "trial_full": part(6),
-            "trial_base": F.regexp_replace(part(6), r"\d+$", ""),
-            "rest": part(7),
+            "pid": part(0),
+            "pid2": part(1),
+            "datetime": F.concat_ws("_", part(2), part(3)),
+            "session": part(4),
+            "trial_full": part(5),
+            "trial_base": F.regexp_replace(part(5), r"\d+$", ""),
+            "rest": part(6),
         }
-    )
+    ).drop("_p")
 
 
 def trial_core(stem: str | Column) -> tuple[Column, Column]:
