@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, sharding, tokens
+from . import minhash, packing, sharding, tokens
 from .registry import query, table
 
 
@@ -20,6 +20,23 @@ def op2_bpe(spark, sf_dir):
     )
 
 
+NEAR_SQL = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS sh FROM w),
+one AS (SELECT doc_id, unnest(sh) AS g FROM sh),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM common JOIN sh a ON a.doc_id = x JOIN sh b ON b.doc_id = y WHERE 100 * n >= 80 * (len(a.sh) + len(b.sh) - n)),
+sides AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id, doc_id AS r FROM sh UNION SELECT reach.doc_id, sides.y FROM reach JOIN sides ON sides.x = reach.r)
+SELECT sh.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(r) AS component_id, min(r) = sh.doc_id AS kept
+FROM sh JOIN reach USING (doc_id) GROUP BY sh.doc_id, sh"""
+
+
+@query("op3_minhash", NEAR_SQL)
+def op3_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 @query("op4_sharding", sharding.placed_sql())
 def op4_sharding(spark, sf_dir):
     return sharding.placed(table(spark, sf_dir, "documents"))

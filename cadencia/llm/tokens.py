@@ -260,7 +260,7 @@ def tree_encoded(texts: DataFrame, vocab, leaf_chars: int) -> DataFrame:
         for b in batches:
             for key, text in zip(b.column("_text_key").to_pylist(), b.column("_text").to_pylist()):
                 for i, part in enumerate(halves(text, leaf_chars)):
-                    yield pa.RecordBatch.from_pydict({"_text_key": [key], "leaf": [i], "part": [part]})
+                    yield pa.RecordBatch.from_pydict({"_text_key": [key], "leaf": pa.array([i], pa.int32()), "part": [part]})
 
     def leaf(batches):
         c = codec(vocab.value)
