@@ -150,10 +150,12 @@ class Codec:
         if not left or not right:
             return left + right, np.concatenate([x, y])
         text = left + right
-        if any(s in left[-len(s) + 1 :] + right[: len(s) - 1] for s in self.special if len(s) > 1):
-            return text, self.whole(text)  # a special token lies across the join
+        wide = max(map(len, self.special), default=0)
         while True:
             i, j = max(0, len(left) - reach), min(len(right), reach)
+            around = left[max(0, i - 1 - wide) :] + right[: j + 1 + wide]
+            if any(s in around for s in self.special):
+                return text, self.whole(text)  # a special token has boundaries of its own
             # one more character on each outer side, which the pattern may look at
             seen_l, seen_r = left[max(0, i - 1) :], right[: j + 1]
             skip = 1 if i > 0 else 0
