@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import stored
+from .common import slices, stored
 from .components import components
 
 #: at a similarity of 0.8, 40 bands of 6 slots miss a pair with probability 5e-6
@@ -130,8 +130,7 @@ def sign(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                yield one(batch.slice(at, 2_000))
+            yield from map(one, slices(batch, 1, 4 << 20))
 
     def one(b):
         ids = b.column(0).to_pylist()
@@ -168,8 +167,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, doc_id: s
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 2_000):
-                part = b.slice(at, 2_000)
+            for part in slices(b, 1, 4 << 20):
                 sets = shingle_sets(part.column(1).to_pylist(), k)
                 low = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
                 node = [NO_ID | (a & (NO_ID - 1)) if d is None else d for d, a in zip(part.column(0).to_pylist(), low)]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, hex_number
+from .common import gapless_rank, hex_number, slices
 from .tokens import codec, tree_encoded, vocabulary
 
 PLAN = "length long, rank_from long, rank_to long, per_sequence long, sequence_from long, offset_from long"
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, size: int = 2048, path: str | None = None, end_id: i
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab.value)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             ids, at = c.batch(b.column(1))
             yield cut(b.column(0).to_pylist(), (ids[i:j] for i, j in zip(at[:-1], at[1:])))
 

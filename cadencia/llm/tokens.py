@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import process_cache
+from .common import process_cache, slices
 
 # fixed value: the splitting pattern of the vocabulary, in an equivalent possessive form
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -241,7 +241,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | No
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab.value)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, where)):
             ids, at = c.batch(b.column(where))
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, out])
