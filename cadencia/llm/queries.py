@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import minhash, packing, sharding, tokens
+from . import minhash, packing, secret_scan, sharding, spans, tokens
 from .registry import query, table
 
 
@@ -47,3 +47,16 @@ def op6_packing(spark, sf_dir):
     cut = packing.pieces(table(spark, sf_dir, "documents"))
     cut = cut.withColumn("ids_crc32", F.crc32("ids").cast("long")).drop("ids")
     return packing.pack(cut, carry=("ids_crc32",))
+
+
+@query("op7_secrets")
+def op7_secrets(spark, sf_dir):
+    kinds = [r.kind for r in secret_scan.RULES]
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] < secret_scan.BASE)
+    return found.select(
+        "doc_id",
+        *[spans.counted(F.col("spans"), i).alias(f"n_{k}") for i, k in enumerate(kinds[: secret_scan.BASE])],
+        F.sha2(spans.written(base, kinds, by_kind=False), 256).alias("base_sha256"),
+        spans.written(F.col("spans"), kinds, by_kind=False).alias("spans"),
+    )
