@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import minhash, packing, secret_scan, sharding, spans, tokens
+from . import minhash, packing, pii, secret_scan, sharding, spans, tokens
 from .registry import query, table
 
 
@@ -60,3 +60,15 @@ def op7_secrets(spark, sf_dir):
         F.sha2(spans.written(base, kinds, by_kind=False), 256).alias("base_sha256"),
         spans.written(F.col("spans"), kinds, by_kind=False).alias("spans"),
     )
+
+
+@query("op1_pii")
+def op1_pii(spark, sf_dir):
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] < pii.BASE)
+    return found.select(
+        "doc_id",
+        *[spans.counted(F.col("spans"), i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS[: pii.BASE])],
+        F.sha2(spans.written(base, pii.KINDS, by_kind=True), 256).alias("base_sha256"),
+        spans.written(F.col("spans"), pii.KINDS, by_kind=True).alias("spans"),
+    )
