@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import minhash, packing, pii, secret_scan, sharding, spans, tokens
+from . import ann, exact_topk, minhash, packing, pii, secret_scan, sharding, spans, tokens
 from .registry import query, table
 
 
@@ -72,3 +72,21 @@ def op1_pii(spark, sf_dir):
         F.sha2(spans.written(base, pii.KINDS, by_kind=True), 256).alias("base_sha256"),
         spans.written(F.col("spans"), pii.KINDS, by_kind=True).alias("spans"),
     )
+
+
+@query("op5_ann")
+def op5_ann(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+TOP_SQL = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20"""
+
+
+@query("op9_exact_topk", TOP_SQL)
+def op9_exact_topk(spark, sf_dir):
+    return exact_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
