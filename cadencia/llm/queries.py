@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, exact_topk, minhash, packing, pii, secret_scan, sharding, spans, tokens
+from . import ann, exact_topk, langid, minhash, packing, pii, secret_scan, sharding, spans, tokens
 from .registry import query, table
 
 
@@ -90,3 +90,11 @@ FROM s QUALIFY rank <= 20"""
 @query("op9_exact_topk", TOP_SQL)
 def op9_exact_topk(spark, sf_dir):
     return exact_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op8_langid")
+def op8_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs)
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(~langid.in_training("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
