@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, exact_topk, langid, minhash, packing, pii, secret_scan, sharding, spans, tokens
+from . import ann, exact_topk, langid, minhash, packing, pii, quality, secret_scan, sharding, spans, tokens
 from .registry import query, table
 
 
@@ -98,3 +98,10 @@ def op8_langid(spark, sf_dir):
     model = langid.learn(docs)
     found = langid.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", F.coalesce(~langid.in_training("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_quality")
+def op10_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "p_text", "p_page", "quality_score", "keep")
