@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import slices, stored
 from .components import components
+from .secret_scan import keyed
 
 #: at a similarity of 0.8, 40 bands of 6 slots miss a pair with probability 5e-6
 BANDS, ROWS = 40, 6
@@ -122,11 +123,11 @@ def _signed(sets: list[np.ndarray], m: int) -> np.ndarray:
     return table
 
 
-SIGNED = "doc_id long, node long, n long, a long, b long, bands array<long>, bits array<long>"
+SIGNED = "doc_id long, k1 long, k2 long, node long, n long, a long, b long, bands array<long>, bits array<long>"
 
 
 def sign(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """SIGNED rows, one per document; (a, b) is a 128-bit hash of its set."""
+    """SIGNED rows, one per document; (k1, k2) hashes its text and (a, b) its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,10 +150,11 @@ def sign(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") ->
             packed = np.packbits(np.pad((h & np.uint64(1)).astype(np.uint8), ((0, 0), (0, 256 - SLOTS))), axis=1).view(np.int64)
             for i, key, bit in zip(full, keys.astype(np.int64), packed):
                 bands[i], bits[i] = key, bit
-        cols = [pa.array(ids, pa.int64()), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(low), pa.array(high), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "n", "a", "b", "bands", "bits"])
+        cols = [pa.array(ids, pa.int64()), b.column(2), b.column(3), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(low), pa.array(high), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "k1", "k2", "node", "n", "a", "b", "bands", "bits"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, SIGNED)
+    body = F.col(text).cast("string")
+    return docs.select(F.col(doc_id).cast("long"), body.alias("_text"), *keyed(body)).mapInArrow(run, SIGNED)
 
 
 def differing(x: str, y: str) -> Column:
@@ -183,18 +185,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, doc_id: s
     return joined.where(enough).select("x", "y")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document.
-
-    Documents are linked if their sets of ``k``-word shingles share ``percent``
-    per cent of their union; component_id is the smallest doc_id reachable and
-    ``kept`` marks the document that has it. Null texts and texts without words
-    are linked with nothing and kept. Repeated rows share their component; rows
-    that share a doc_id count as one document. Rows without a doc_id take part,
-    but lend no component_id: a component of such rows alone has a null one and
-    all rows of its smallest set are kept. Other columns are dropped; no rows
-    give none.
-    """
+def linked(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, k1, k2, node, n and root of every document; nodes of a component share its root."""
     signed = stored(sign(docs, k, doc_id, text))
     some = signed.where("n > 0")
     classes = cut_lineage(some.groupBy("a", "b").agg(F.min("node").alias("node")))
@@ -222,11 +214,48 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     found = components(links.union(more).toDF("a", "b"))
 
     of_class = classes.join(found, "node", "left").select("a", "b", F.coalesce("root", "node").alias("root"))
-    done = signed.select("doc_id", "node", "n", "a", "b").join(of_class, ["a", "b"], "left")
-    root = F.coalesce("root", "node")
-    return done.select(
+    done = signed.drop("bands", "bits").join(of_class, ["a", "b"], "left")
+    return done.withColumn("root", F.coalesce("root", "node"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document.
+
+    Documents are linked if their sets of ``k``-word shingles share ``percent``
+    per cent of their union; component_id is the smallest doc_id reachable and
+    ``kept`` marks the document that has it. Null texts and texts without words
+    are linked with nothing and kept. Repeated rows share their component; rows
+    that share a doc_id count as one document. Rows without a doc_id take part,
+    but lend no component_id: a component of such rows alone has a null one and
+    all rows of its smallest set are kept. Other columns are dropped; no rows
+    give none.
+    """
+    return linked(docs, k, percent, doc_id, text).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(root < NO_ID, root).alias("component_id"),
-        (F.col("node") == root).alias("kept"),
+        F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"),
+        (F.col("node") == F.col("root")).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component of near duplicates, all columns kept.
+
+    It is the one that ``near_duplicates`` keeps; of repeated rows, and of rows
+    without a doc_id, one stays. Texts without words are no duplicates, and all
+    of their rows stay.
+    """
+    found = stored(linked(docs, k, percent, doc_id, text))
+    key = F.struct("doc_id", "k1", "k2")
+    one = found.where((F.col("n") > 0) & (F.col("node") == F.col("root"))).groupBy("root").agg(F.min(key).alias("key")).select("key.*")
+    repeated = found.where("n > 0").groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    bare = found.where("n = 0").select("doc_id", "k1", "k2").distinct()
+    one = one.union(bare).toDF("_id", "_o1", "_o2")
+    k1, k2 = keyed(F.col(text).cast("string"))
+    keyed_docs = docs.withColumn("_k1", k1).withColumn("_k2", k2)
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_k1") == F.col("_o1")) & (F.col("_k2") == F.col("_o2"))
+    kept = keyed_docs.join(one, same, "left_semi")
+    if not repeated.isEmpty():
+        wordless = ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        kept = kept.where(wordless).union(kept.where(~wordless).dropDuplicates([doc_id, "_k1", "_k2"]))
+    return kept.select(*docs.columns)
