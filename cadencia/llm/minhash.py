@@ -2,10 +2,11 @@
 
 Each distinct set of shingles is signed once. Signatures share a value per slot
 with the probability of their sets' similarity; a band of slots is a bucket. In
-a bucket every set is compared with its smallest member first, and only sets
-that are still in different components after that are compared with one
-another, so a bucket of near copies costs as many checks as it has members.
-Links are confirmed on full sets.
+a bucket every set is compared with its smallest member first, so a bucket of
+near copies costs as many checks as it has members. Sets of buckets that still
+hold different components are then compared across these, if they share a
+shingle among their rarest ones, as similar sets must. Links are confirmed on
+full sets.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SLOTS = BANDS * ROWS
 MAX_BITS = 54
 #: elements signed at once
 CHUNK = 20_000
+#: buckets in which shingles are counted to tell rare ones, a power of two
+RARITY = 1 << 18
 #: nodes without a doc_id are numbered from here, from their set
 NO_ID = 1 << 62
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -163,9 +166,8 @@ def differing(x: str, y: str) -> Column:
     return words[0] + words[1] + words[2] + words[3]
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """The (x, y) of ``pairs`` whose full sets are similar enough."""
-    wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
+def full_sets(docs: DataFrame, nodes: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
+    """(node, shingles) of the documents of ``nodes`` (node long)."""
 
     def run(batches):
         for b in batches:
@@ -176,15 +178,67 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, doc_id: s
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     d = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
-    named = d.where("_id IS NOT NULL").join(wanted, F.col("_id") == F.col("node"), "left_semi")
-    sets = named.union(d.where("_id IS NULL")).mapInArrow(run, "node long, shingles array<long>")
-    x, y = sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy"))
-    both = F.size(F.array_intersect("sx", "sy"))
-    joined = pairs.join(x, "x").join(y, "y").withColumn("_both", both)
+    named = d.where("_id IS NOT NULL").join(nodes, F.col("_id") == F.col("node"), "left_semi")
+    return named.union(d.where("_id IS NULL")).mapInArrow(run, "node long, shingles array<long>")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (x, y) of ``pairs`` whose full sets are similar enough."""
+    x, y = sets.toDF("x", "sx"), sets.toDF("y", "sy")
+    joined = pairs.join(x, "x").join(y, "y").withColumn("_both", F.size(F.array_intersect("sx", "sy")))
     enough = 100 * F.col("_both") >= percent * (F.size("sx") + F.size("sy") - F.col("_both"))
     return joined.where(enough).select("x", "y")
 
 
+def across(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(x, y) of different components that may be similar enough; no such pair is missed.
+
+    Sets with at least T shingles in common share one among the first n - T + 1
+    of each, whatever the order of shingles, here the rarer first. Rarity is
+    counted in hashed buckets, so the counts are of fixed size. In a shingle's
+    group, members of its most frequent component are not compared with one
+    another.
+    """
+
+    def count(batches):
+        seen = np.zeros(RARITY, np.int64)
+        for b in batches:
+            flat = b.column(0).flatten().to_numpy(zero_copy_only=False)
+            seen += np.bincount(flat & (RARITY - 1), minlength=RARITY)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bucket", "n"])
+
+    counted = sets.select("shingles").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rarity = np.zeros(RARITY, np.int64)
+    rarity[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(rarity)
+
+    def lead(batches):
+        rank = shared.value
+        for b in batches:
+            cols = ([], [], [], [])
+            for node, values in zip(b.column("node").to_pylist(), b.column("shingles")):
+                own = values.values.to_numpy(zero_copy_only=False)
+                n = len(own)
+                first = own[np.lexsort((own, rank[own & (RARITY - 1)]))][: n - -(-percent * n // 100) + 1]
+                for c, v in zip(cols, (np.full(len(first), node), np.full(len(first), n), np.arange(len(first)), first)):
+                    c.append(v)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], names=["node", "n", "place", "shingle"])
+
+    heads = sets.mapInArrow(lead, "node long, n long, place long, shingle long").join(roots, "node")
+    per_root = heads.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
+    groups = per_root.groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    groups = groups.where("lo < hi").select("shingle", F.col("top.root").alias("top"))
+    heads = stored(heads.join(groups, "shingle").withColumn("main", F.col("root") == F.col("top")).drop("top"))
+    x, y = heads.where("NOT main").toDF(*[f"{c}_x" for c in heads.columns]), heads.toDF(*[f"{c}_y" for c in heads.columns])
+    least = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / F.lit(100.0 + percent) - 1e-9)
+    near = (F.col("place_x") <= F.col("n_x") - least) & (F.col("place_y") <= F.col("n_y") - least)
+    once = F.col("main_y") | (F.col("node_x") < F.col("node_y"))
+    pairs = x.join(y, (F.col("shingle_x") == F.col("shingle_y")) & (F.col("root_x") != F.col("root_y")) & once & near)
+    return pairs.select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct()
+
+
 def linked(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, k1, k2, node, n and root of every document; nodes of a component share its root."""
     signed = stored(sign(docs, k, doc_id, text))
@@ -200,17 +254,16 @@ def linked(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> Dat
 
     star = shared.where("node > first").select(F.col("first").alias("x"), F.col("node").alias("y")).distinct()
     star = cut_lineage(star.join(sx, "x").join(sy, "y").where(sized).select("x", "y").distinct())
-    links = cut_lineage(confirmed(docs, star, k, percent, doc_id, text).distinct())
+    ends = star.select(F.col("x").alias("node")).union(star.select("y")).distinct()
+    links = cut_lineage(confirmed(star, full_sets(docs, ends, k, doc_id, text), percent).distinct())
     found = components(links.toDF("a", "b"))
 
-    rooted = shared.join(found, "node", "left").select("band", "node", "first", F.coalesce("root", "node").alias("root"))
+    rooted = shared.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     open_bands = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    apart = stored(rooted.where("node > first").join(open_bands, "band", "left_semi").join(sketch, "node"))
-    px = apart.select("band", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
-    py = apart.select(F.col("band").alias("_band"), F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("bits").alias("by"))
-    rest = px.join(py, (F.col("band") == F.col("_band")) & (F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & sized)
-    rest = cut_lineage(rest.select("x", "y").distinct())
-    more = cut_lineage(confirmed(docs, rest, k, percent, doc_id, text).distinct())
+    apart = stored(rooted.join(open_bands, "band", "left_semi").select("node", "root").distinct())
+    sets = stored(full_sets(docs, apart.select("node"), k, doc_id, text).join(apart.select("node"), "node", "left_semi"))
+    rest = cut_lineage(across(sets, apart, percent))
+    more = cut_lineage(confirmed(rest, sets, percent).distinct())
     found = components(links.union(more).toDF("a", "b"))
 
     of_class = classes.join(found, "node", "left").select("a", "b", F.coalesce("root", "node").alias("root"))
