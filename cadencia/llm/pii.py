@@ -52,8 +52,7 @@ def luhn(number: Column) -> Column:
 
 
 def _card(hit: Column) -> Column:
-    n = digits(hit)
-    return F.when(F.length(n).between(13, 19), luhn(n)).otherwise(F.lit(False))
+    return S.let(digits(hit), lambda n: F.when(F.length(n).between(13, 19), luhn(n)).otherwise(F.lit(False)))
 
 
 def base_spans(text: Column) -> Column:
@@ -67,44 +66,52 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[F.coalesce(x, S.no_spans()) for x in found])
 
 
-def masked(text: Column) -> Column:
-    """The text with all that looks like an entity blanked, places kept."""
-    for pattern in (EMAIL, IP, PHONE, CARD):
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        gaps = F.split(text, pattern, -1)
-        text = F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(F.repeat(F.lit(" "), F.length(h)), F.lit("")))), "")
-    return text
+def masked(text: Column, then, patterns: tuple[str, ...] = (EMAIL, IP, PHONE, CARD)) -> Column:
+    """``then`` of the text with all that looks like an entity blanked, places kept."""
+    if not patterns:
+        return then(text)
+
+    def blank(t, hits):
+        gaps = F.split(t, patterns[0], -1)
+        return F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(F.repeat(F.lit(" "), F.length(h)), F.lit("")))), "")
+
+    hits = F.regexp_extract_all(text, F.lit(patterns[0]), F.lit(0))
+    return S.let(blank(text, hits), lambda t: masked(t, then, patterns[1:]))
 
 
 def near_terms(text: Column, spans: Column, window: int) -> Column:
     """array<struct<ent, term, start, end>>: the terms within ``window`` characters of each entity."""
-    padded = F.concat(F.lit(" "), masked(text), F.lit(" "))
 
-    def around(s):
+    def around(padded, s):
         first = F.greatest(s["start"] - window, F.lit(-1))
-        context = F.substr(padded, first + 2, s["end"] + window - first)
         ent = F.xxhash64(s["kind"], F.lower(F.substr(text, s["start"] + 1, s["end"] - s["start"])))
+        context = F.substr(padded, first + 2, s["end"] + window - first)
+        bound = F.struct(ent.alias("ent"), first.alias("first"), context.alias("context"))
         # a term counts if the context shows where it starts and ends
-        whole = S.matches(context, r"(?<=[^\p{L}\p{N}])" + TERM + r"(?=[^\p{L}\p{N}])", 0)
-        return F.transform(
-            whole,
-            lambda m: F.struct(
-                ent.alias("ent"),
-                F.xxhash64(F.lower(F.substr(context, m["start"] + 1, m["end"] - m["start"]))).alias("term"),
-                (m["start"] + first).alias("start"),
-                (m["end"] + first).alias("end"),
+        whole = r"(?<=[^\p{L}\p{N}])" + TERM + r"(?=[^\p{L}\p{N}])"
+        return S.let(
+            bound,
+            lambda c: F.transform(
+                S.matches(c["context"], whole, 0),
+                lambda m: F.struct(
+                    c["ent"].alias("ent"),
+                    F.xxhash64(F.lower(F.substr(c["context"], m["start"] + 1, m["end"] - m["start"]))).alias("term"),
+                    (m["start"] + c["first"]).alias("start"),
+                    (m["end"] + c["first"]).alias("end"),
+                ),
             ),
         )
 
-    return F.flatten(F.transform(spans, around))
+    return masked(text, lambda t: S.let(F.concat(F.lit(" "), t, F.lit(" ")), lambda p: F.flatten(F.transform(spans, lambda s: around(p, s)))))
 
 
 def entities(docs: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
     """doc_id, k1, k2, spans, near of every document, stored."""
     body = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    found = body.select("doc_id", "_text", *keyed(F.col("_text")), base_spans(F.col("_text")).alias("spans"))
-    near = F.when(F.size("spans") > 0, near_terms(F.col("_text"), F.col("spans"), window))
-    return stored(found.select("doc_id", "k1", "k2", "spans", near.alias("near")))
+    t = F.col("_text")
+    both = S.let(base_spans(t), lambda s: F.struct(s.alias("spans"), F.when(F.size(s) > 0, near_terms(t, s, window)).alias("near")))
+    found = body.select("doc_id", *keyed(t), both.alias("both"))
+    return stored(found.select("doc_id", "k1", "k2", "both.spans", "both.near"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text: str, support: int, remove: float, generalise: float) -> DataFrame:
@@ -176,5 +183,6 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     k1, k2 = keyed(body)
     joined = docs.withColumn("_h1", k1).withColumn("_h2", k2)
     joined = joined.join(more, (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")), "left")
-    joined = joined.withColumn("_spans", F.concat(base_spans(body), F.coalesce("_more", S.no_spans())))
-    return joined.withColumn(text, replaced(F.col(text), F.col("_spans"))).select(*docs.columns)
+    every = F.concat(base_spans(body), F.coalesce("_more", S.no_spans()))
+    clean = S.let(every, lambda spans: replaced(F.col(text), spans))
+    return joined.withColumn(text, clean).select(*docs.columns)

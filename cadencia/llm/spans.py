@@ -16,6 +16,11 @@ def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def matches(text: Column, pattern: str, kind: int, keep: Callable[[Column], Column] | None = None) -> Column:
     """array<SPAN> of the leftmost non-overlapping matches; code points, end exclusive.
 
@@ -25,8 +30,12 @@ def matches(text: Column, pattern: str, kind: int, keep: Callable[[Column], Colu
     since growing one array by each match would copy it as often.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("l")))
+    return let(hits, lambda h: F.when(F.size(h) == 0, no_spans()).otherwise(_placed(text, pattern, kind, keep, h)))
+
+
+def _placed(text: Column, pattern: str, kind: int, keep: Callable[[Column], Column] | None, hits: Column) -> Column:
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+    lengths = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("l")))
     empty = F.array().cast("array<struct<s:int,e:int>>")
 
     def step(acc, x):
@@ -34,21 +43,19 @@ def matches(text: Column, pattern: str, kind: int, keep: Callable[[Column], Colu
         e = s + x["l"]
         return F.struct(e.alias("pos"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-    blocks = F.sequence(F.lit(0), ((F.size(hits) - 1) / BLOCK).cast("int"))
-    summed = F.transform(blocks, lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)), zero, step))
-
     def chain(acc, c):
         moved = F.transform(c["out"], lambda x: F.struct((x["s"] + acc["base"]).alias("s"), (x["e"] + acc["base"]).alias("e")))
         return F.struct((acc["base"] + c["pos"]).alias("base"), F.concat(acc["outs"], F.array(moved)).alias("outs"))
 
+    zero = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
     start = F.struct(F.lit(0).alias("base"), F.array().cast("array<array<struct<s:int,e:int>>>").alias("outs"))
+    blocks = F.sequence(F.lit(0), ((F.size(hits) - 1) / BLOCK).cast("int"))
+    summed = let(lengths, lambda n: F.transform(blocks, lambda b: F.aggregate(F.slice(n, b * BLOCK + 1, F.lit(BLOCK)), zero, step)))
     places = F.flatten(F.aggregate(summed, start, chain, lambda acc: acc["outs"]))
     found = F.zip_with(places, hits, lambda p, h: F.struct(p["s"].alias("start"), F.lit(kind).alias("kind"), p["e"].alias("end"), h.alias("hit")))
     if keep is not None:
         found = F.filter(found, lambda x: keep(x["hit"]))
-    found = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    return F.when(F.size(hits) == 0, no_spans()).otherwise(found)
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
 
 def written(spans: Column, kinds: list[str], by_kind: bool) -> Column:
