@@ -174,10 +174,16 @@ def key_for_side(key: str | Column, left: Column) -> Column:
     )
 
 
-def natural_key(s: str | Column, width: int = 20) -> Column:
-    """Sort key with runs of digits compared as numbers."""
-    padded = F.regexp_replace(F.lower(_c(s)), r"(\d+)", "0" * width + "$1")
-    return F.regexp_replace(padded, rf"\d*(\d{{{width}}})(?!\d)", "$1")
+def natural_key(s: str | Column) -> Column:
+    """Sort key with runs of digits, of any length, compared as numbers: a run
+    becomes the count of its digits without leading zeros, and these digits."""
+    runs = F.regexp_extract_all(F.lower(_c(s)), F.lit(r"\d+|\D+"), F.lit(0))
+
+    def ordered(run: Column) -> Column:
+        number = F.regexp_replace(run, r"^0+(?=\d)", "")
+        return F.when(run.rlike(r"^\d"), F.concat(F.lpad(F.length(number).cast("string"), 10, "0"), number)).otherwise(run)
+
+    return F.array_join(F.transform(runs, ordered), "")
 
 
 def slug(s: str | Column) -> Column:

@@ -178,7 +178,7 @@ def index_sim_files(files: DataFrame, name: str, path: str) -> DataFrame:
     n = F.col(name)
     options = []
     for key, (prefix, body, tail) in SIM_KEYS.items():
-        core = F.regexp_replace(F.substring(n, len(prefix) + 1, 10_000), tail, "")
+        core = F.regexp_replace(F.substr(n, F.lit(len(prefix) + 1)), tail, "")
         options.append(
             F.when(n.rlike(f"(?i)^{prefix}{body}$"), F.struct(F.lit(key).alias("key"), F.lower(core).alias("core")))
         )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,21 +13,28 @@ from pyspark.sql import functions as F
 from ..functions.text import alias_key, natural_key, safe_name, short_label, side_free_key
 
 
-def _number_collisions(names: list[str], limit: int) -> list[str]:
-    used: set[str] = set()
-    out = []
-    for base in names:
-        name, k = base, 0
-        while name in used or len(name) > limit:
-            k += 1
-            tail = f"_{k}"
-            name = base[: limit - len(tail)] + tail
-        used.add(name)
-        out.append(name)
-    return out
+class _Namer:
+    """Names of one trial. A taken stem is numbered, from a counter of its own;
+    a number that would pass ``limit`` replaces the end of the stem. With
+    ``strict``, a stem longer than the limit is numbered too."""
+
+    def __init__(self, limit: int, strict: bool):
+        self.limit, self.strict = limit, strict
+        self.taken: set[str] = set()
+        self.turns: dict[str, count] = {}
+
+    def __call__(self, stem: str) -> str:
+        free = stem not in self.taken and not (self.strict and len(stem) > self.limit)
+        turns = self.turns.setdefault(stem, count(1))
+        name = stem if free else next(n for n in map(partial(self.numbered, stem), turns) if n not in self.taken)
+        self.taken.add(name)
+        return name
+
+    def numbered(self, stem: str, k: int) -> str:
+        return f"{stem[: self.limit - len(str(k)) - 1]}_{k}"
 
 
-def _unique(df: DataFrame, trial: str, order: str, candidate: Column, limit: int, out: str) -> DataFrame:
+def _unique(df: DataFrame, trial: str, order: str, candidate: Column, limit: int, out: str, strict: bool) -> DataFrame:
     """Number equal candidates of a trial. Only trials where a numbered name
     meets another name go through the step-by-step rule; a trial's channel list
     is bounded by the recording format."""
@@ -41,7 +50,7 @@ def _unique(df: DataFrame, trial: str, order: str, candidate: Column, limit: int
     clash = (
         tried.groupBy(trial, out)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .where((F.col("_n") > 1) | (F.length(out) > limit))
+        .where((F.col("_n") > 1) | (F.lit(strict) & (F.length(out) > limit)))
         .select(trial)
         .distinct()
     )
@@ -50,7 +59,7 @@ def _unique(df: DataFrame, trial: str, order: str, candidate: Column, limit: int
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        pdf[out] = _number_collisions(pdf["_cand"].tolist(), limit)
+        pdf[out] = pdf["_cand"].map(_Namer(limit, strict))
         return pdf
 
     schema = redo.withColumn(out, F.lit("")).schema
@@ -59,7 +68,9 @@ def _unique(df: DataFrame, trial: str, order: str, candidate: Column, limit: int
 
 
 def unique_labels(df: DataFrame, trial: str, label: str, order: str, *, limit: int = 31, out: str = "channel") -> DataFrame:
-    return _unique(df, trial, order, short_label(label, limit), limit, out)
+    """Short labels; equal ones of a trial are numbered. A label whose tokens
+    are cut may still be longer than ``limit``; only a number has to fit."""
+    return _unique(df, trial, order, short_label(label, limit), limit, out, strict=False)
 
 
 def safe_field_names(
@@ -67,10 +78,10 @@ def safe_field_names(
 ) -> DataFrame:
     """Safe names from an optional (label, short) translation table."""
     if translation is None:
-        return _unique(df, trial, order, safe_name(label, limit), limit, out)
+        return _unique(df, trial, order, safe_name(label, limit), limit, out, strict=True)
     t = translation.select(F.col("label").alias(label), F.col("short").alias("_short"))
     df = df.join(t, label, "left").withColumn("_short", F.coalesce("_short", label))
-    return _unique(df, trial, order, safe_name("_short", limit), limit, out).drop("_short")
+    return _unique(df, trial, order, safe_name("_short", limit), limit, out, strict=True).drop("_short")
 
 
 def whitelist_points(df: DataFrame, label: str, wanted: Sequence[str], targets: Sequence[str] = ()) -> DataFrame:

@@ -33,23 +33,21 @@ def value_cells(
 ) -> DataFrame:
     """Add order-preserving cells of a numeric value per key.
 
-    Cells are logarithmic in the distance to the nearer of minimum and maximum,
-    ``bins`` to an octave: a far outlier on one side leaves the bulk of the
-    values, next to the other end, spread over many cells. ``total`` is (column,
-    name): the sum of a column per key, added in the same pass.
+    Cells are even around the median, ``bins`` to an interquartile range, and
+    logarithmic far from it: outliers on either side, infinite ones too, leave
+    the bulk of the values spread over many cells. Median and range need not be
+    exact. ``total`` is (column, name): the sum of a column per key, added in
+    the same pass.
     """
-    aggs = [F.min(value).alias("_lo"), F.max(value).alias("_hi")]
+    x = F.col(value).cast("double")
+    aggs = [F.percentile_approx(x, [0.25, 0.5, 0.75]).alias("_lo"), (F.max(x) - F.min(x)).alias("_hi")]
     if total:
         aggs.append(F.sum(total[0]).alias(total[1]))
-    span = F.col("_hi") - F.col("_lo")
-    tiny = F.lit(2.0**-60)
-    low = F.log2(F.greatest((F.col(value) - F.col("_lo")) / span, tiny))
-    high = F.log2(F.greatest((F.col("_hi") - F.col(value)) / span, tiny))
-    cell = (
-        F.when(span <= 0, 0.0)
-        .when((F.col(value) - F.col("_lo")) / span < 0.5, low * bins)
-        .otherwise(-high * bins)
-    )
+    quartiles = F.col("_lo")
+    spread = quartiles[2] - quartiles[0]
+    # most values are equal: logarithmic from the median on
+    spread = F.when((spread > 0) & (spread < float("inf")), spread).otherwise(F.least("_hi", F.lit(1e300)) * 2.0**-40)
+    cell = F.when(spread > 0, F.asinh((x - quartiles[1]) / spread) * bins).otherwise(0.0)
     cell = F.floor(cell)
     if keys:
         df = df.join(df.groupBy(*keys).agg(*aggs), list(keys))
@@ -186,7 +184,7 @@ def exact_quantiles(
     *,
     bins: int = 1024,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles of groups of any size.
+    """Exact linearly interpolated quantiles of the finite values of groups of any size.
 
     The built-in exact ``percentile`` keeps every distinct value of a group in
     one buffer. Here values are counted per value cell, the cells that
@@ -194,7 +192,7 @@ def exact_quantiles(
     ordered. One row per group; a group without a value is absent.
     """
     keys = list(keys)
-    v = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    v = df.where(F.abs(F.col(value).cast("double")) < float("inf"))
     v = v.select(*keys, F.col(value).cast("double").alias("_v"))
     v = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     # all three uses of the counts read the same columns, so that Spark can reuse

@@ -63,7 +63,8 @@ def fir_lowpass(wave: str | Column, fs: float, cutoff: float, n_taps: int = 13)
     def at(i: Column) -> Column:
         out = None
         for k, h in enumerate(taps):
-            j = F.abs(i + (half - k))
+            # mirrored at both ends, again and again for waves shorter than the taps
+            j = F.when(last > 0, F.pmod(i + (half - k), F.greatest(2 * last, F.lit(1)))).otherwise(0)
             term = F.get(a, F.when(j > last, 2 * last - j).otherwise(j)) * h
             out = term if out is None else out + term
         return out

@@ -285,15 +285,16 @@ def normalise_label(spark, d):
 
 @query(
     "unique_labels",
-    f"""WITH x AS (SELECT p_partkey, p_partkey // 20 AS trial, replace(p_name || '_' || p_type, ' ', '_') AS c FROM part),
+    f"""WITH r AS (SELECT p_partkey, p_partkey // 20 AS trial, replace(p_name || '_' || p_type || CASE WHEN p_partkey % 5 = 0 THEN repeat('_x_' || p_name || '_' || p_type, 4) ELSE '' END, ' ', '_') AS n FROM part),
+x AS (SELECT p_partkey, trial, CASE WHEN length(n) > 31 THEN array_to_string(list_transform(string_split(n, '_'), lambda t: left(t, 3)), '_') ELSE n END AS c FROM r),
 k AS (SELECT *, row_number() OVER (PARTITION BY trial, c ORDER BY p_partkey) - 1 AS k FROM x)
-SELECT trial, p_partkey, CASE WHEN k = 0 THEN c ELSE c || '_' || CAST(k AS VARCHAR) END AS channel FROM k""",
+SELECT trial, p_partkey, CASE WHEN k = 0 THEN c ELSE left(c, 30 - length(CAST(k AS VARCHAR))) || '_' || CAST(k AS VARCHAR) END AS channel FROM k""",
 )
 def unique_labels(spark, d):
     p = A.table(spark, d, "part").select(
         F.floor(F.col("p_partkey") / 20).cast("bigint").alias("trial"),
         "p_partkey",
-        F.concat_ws(" ", "p_name", "p_type").alias("raw"),
+        F.concat(F.concat_ws(" ", "p_name", "p_type"), F.when(F.col("p_partkey") % 5 == 0, F.repeat(F.concat(F.lit(" x "), F.concat_ws(" ", "p_name", "p_type")), F.lit(4))).otherwise("")).alias("raw"),
     )
     return L.unique_labels(p, "trial", "raw", "p_partkey").drop("raw")
 
@@ -587,7 +588,7 @@ def derive_columns(spark, d):
 
 @query(
     "natural_sort",
-    """WITH x AS (SELECT DISTINCT p_brand, TRY_CAST(split_part(p_brand, '#', 2) AS INTEGER) AS n FROM part) SELECT p_brand, 'brand#' || lpad(CAST(n AS VARCHAR), 20, '0') AS sort_key FROM x""",
+    """WITH x AS (SELECT DISTINCT p_brand, TRY_CAST(split_part(p_brand, '#', 2) AS INTEGER) AS n FROM part) SELECT p_brand, 'brand#' || lpad(CAST(length(CAST(n AS VARCHAR)) AS VARCHAR), 10, '0') || CAST(n AS VARCHAR) AS sort_key FROM x""",
 )
 def natural_sort(spark, d):
     p = A.table(spark, d, "part").select("p_brand").distinct()

@@ -120,7 +120,7 @@ def score_clustering(spark, d):
 
 @query("kmedoids")
 def kmedoids(spark, d):
-    k = C.kmedoids(A.waves(spark, d), 3, "dtw", n_init=1, max_iter=2)
+    k = C.kmedoids(A.waves(spark, d), 3, "dtw")
     return k.select("sample_id", "label", r6("d").alias("d"))
 
 
@@ -131,7 +131,7 @@ def bisecting(spark, d):
 
 @query("grid")
 def grid(spark, d):
-    return C.grid_search(A.waves(spark, d), [2, 3], [0.1], n_init=1, max_iter=1)
+    return C.grid_search(A.waves(spark, d), [2, 3], [0.1], refine=2)
 
 
 @query("result_tables")

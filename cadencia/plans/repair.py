@@ -66,12 +66,10 @@ def candidates(spark, d):
 
 @query(
     "score_candidates",
-    f"WITH {SCORE_SQL} SELECT sid, label, candidate, stage, {r6s('corr_up')} AS corr_up, {r6s('mad_down')} AS mad_down, {r6s('corr_up + mad_down')} AS score FROM sc WHERE stage <> 'lr' OR abs(b[2]) <> 32",
+    f"WITH {SCORE_SQL} SELECT sid, label, candidate, stage, {r6s('corr_up')} AS corr_up, {r6s('mad_down')} AS mad_down, {r6s('corr_up + mad_down')} AS score FROM sc",
 )
 def score_candidates(spark, d):
-    """Lags 32 and -32 are one rotation of 64 points, so their rows are left out
-    of the comparison: either sign may win by rounding."""
-    sc = _scored(spark, d)[1].where("stage <> 'lr' or abs(lag) <> 32")
+    sc = _scored(spark, d)[1]
     return sc.select("sid", "label", "candidate", "stage", r6("corr_up").alias("corr_up"), r6("mad_down").alias("mad_down"), r6("score").alias("score"))
 
 

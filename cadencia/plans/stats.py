@@ -126,7 +126,7 @@ def bonferroni_family(spark, d):
     "crosstab",
     """WITH e AS (SELECT CAST(vec_id % 20 AS BIGINT) AS subject, CASE WHEN vec_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, label FROM embeddings),
 g AS (SELECT DISTINCT subject, s.side FROM e, (VALUES ('L'), ('R')) s(side))
-SELECT g.subject, g.side, count(*) FILTER (WHERE label = 0) AS cluster_0, count(*) FILTER (WHERE label = 1) AS cluster_1, count(*) FILTER (WHERE label = 2) AS cluster_2 FROM g LEFT JOIN e ON e.subject = g.subject AND e.side = g.side GROUP BY g.subject, g.side""",
+SELECT g.subject, g.side, """ + ", ".join(f"count(*) FILTER (WHERE label = {c}) AS cluster_{c}" for c in range(10)) + " FROM g LEFT JOIN e ON e.subject = g.subject AND e.side = g.side GROUP BY g.subject, g.side",
 )
 def crosstab(spark, d):
-    return S.cluster_crosstab(A.waves(spark, d), "cluster", "subject", "side", [0, 1, 2])
+    return S.cluster_crosstab(A.waves(spark, d), "cluster", "subject", "side", range(10))

@@ -257,7 +257,7 @@ def curve_intervals(spark, d):
 
 @query("curve_significance")
 def curve_significance(spark, d):
-    return V.curve_significance(A.waves(spark, d), "cluster", 0, 1, "sample_id", alpha=0.6, n_perm=200, n_points=N)
+    return V.curve_significance(A.waves(spark, d), "cluster", 0, 1, "sample_id", alpha=0.05, n_perm=200, n_points=N)
 
 
 @query("pca_wave")

@@ -65,7 +65,7 @@ def sidecar_facts(kv: DataFrame) -> DataFrame:
 def read_dollar_params(spark: SparkSession, paths: Sequence[str] | str, *, glob: str | None = None) -> DataFrame:
     """(path, key, value) of the $KEY=VALUE lines of subject parameter files."""
     kv = read_key_values(spark, paths, glob=glob)
-    return kv.where(F.col("key").startswith("$")).select("path", F.substring("key", 2, 10_000).alias("key"), "value")
+    return kv.where(F.col("key").startswith("$")).select("path", F.substr("key", F.lit(2)).alias("key"), "value")
 
 
 def _lines(spark: SparkSession, paths: Sequence[str] | str, glob: str | None) -> DataFrame:

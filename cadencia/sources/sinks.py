@@ -42,7 +42,7 @@ def stage_name(name: str | Column, suffix: str) -> Column:
 def mirrored_path(path: str | Column, source_root: str, target_root: str) -> Column:
     """The same relative folder under another root."""
     p = F.col(path) if isinstance(path, str) else path
-    rel = F.substring(p, len(source_root.rstrip("/")) + 1, 10_000)
+    rel = F.substr(p, F.lit(len(source_root.rstrip("/")) + 1))
     return F.when(p.startswith(source_root.rstrip("/") + "/"), F.concat(F.lit(target_root.rstrip("/")), rel))
 
 

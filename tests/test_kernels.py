@@ -115,3 +115,30 @@ def test_first_component():
     v = np.linalg.svd(y, full_matrices=False)[2][0]
     got = N.first_component(y.T @ y, y.mean(axis=0))
     assert abs(np.dot(got, v)) == pytest.approx(np.linalg.norm(got))
+
+
+def test_fir_of_short_waves(spark):
+    from cadencia.functions.kernels import fir_taps
+    from cadencia.operators.signal import fir_lowpass
+
+    for n in (1, 2, 5, 6, 7, 30):
+        x = np.arange(n, dtype=float) ** 2
+        got = spark.createDataFrame([(x.tolist(),)], "wave array<double>").select(fir_lowpass("wave", 100.0, 10.0)).first()[0]
+        taps = fir_taps(13, 10.0, 100.0)
+        padded = np.pad(x, 6, mode="reflect") if n > 1 else np.full(13, x[0])
+        assert np.allclose(got, [padded[i : i + 13] @ taps[::-1] for i in range(n)])
+
+
+def test_quantiles_leave_out_infinities_and_spread_outliers(spark):
+    from pyspark.sql import functions as F
+
+    from cadencia.operators.ordered import CELL, exact_quantiles, value_cells
+
+    v = np.random.default_rng(0).standard_normal(20_000)
+    rows = [(float(x),) for x in v] + [(1e12,), (-1e12,)]
+    df = spark.createDataFrame(rows, "v double")
+    most = value_cells(df, [], "v").groupBy(CELL).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert most < 0.01 * len(rows)
+    some = spark.createDataFrame([(float(i),) for i in range(10)] + [(float("inf"),)] * 3 + [(float("-inf"),)], "v double")
+    got = exact_quantiles(some, [], "v", {"hi": 0.975, "lo": 0.0}).first()
+    assert abs(got["hi"] - 8.775) < 1e-12 and got["lo"] == 0.0

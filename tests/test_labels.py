@@ -99,3 +99,25 @@ def test_sample_is_stable(spark):
     a = [r.id for r in K.sample_ids(ids, "id", 10, 1).collect()]
     assert a == [r.id for r in K.sample_ids(ids.repartition(7), "id", 10, 1).collect()] and len(set(a)) == 10
     assert K.sample_ids(spark.range(3), "id", 10, 1).count() == 3
+
+
+def test_long_labels_keep_their_cut(spark):
+    from cadencia.operators import labels as L
+
+    long = " ".join(f"token{i}{c}" for i, c in enumerate("abcdefghijkl"))
+    rows = [("t", long, 1), ("t", long, 2), ("t", "short", 3), ("t", "short", 4), ("t", "short_1", 5), ("t", "short", 6)]
+    df = spark.createDataFrame(rows, "trial string, label string, pos int")
+    got = [r["channel"] for r in L.unique_labels(df, "trial", "label", "pos").orderBy("pos").collect()]
+    cut = "_".join(["tok"] * 12)
+    assert got == [cut, cut[:29] + "_1", "short", "short_1", "short_1_1", "short_2"]
+    strict = [r["field"] for r in L.safe_field_names(df, "trial", "label", "pos", limit=20).orderBy("pos").collect()]
+    assert len(set(strict)) == 6 and all(len(x) <= 20 for x in strict)
+
+
+def test_natural_key_of_long_numbers(spark):
+    from cadencia.functions.text import natural_key
+
+    names = ["a5", "a1" + "0" * 24, "a007", "b", "a10b2", "a10b10"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r["n"] for r in df.orderBy(natural_key("n")).collect()]
+    assert got == ["a5", "a007", "a10b2", "a10b10", "a1" + "0" * 24, "b"]

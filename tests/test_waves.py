@@ -78,12 +78,12 @@ def test_cluster_of_one(spark):
 
 def test_clusterings_find_planted_groups(spark, planted):
     w = frame(spark, planted)
-    k = C.kmedoids(w, 2, "dtw", n_init=2, max_iter=3).select("sample_id", "label")
+    k = C.kmedoids(w, 2, "dtw", n_init=2).select("sample_id", "label")
     b = C.bisecting(w, [2]).select("sample_id", "label")
     for got in (k, b):
         lab = {r.sample_id: r.label for r in got.collect()}
         assert len({lab[i] for i in range(0, 24, 2)}) == 1 and len({lab[i] for i in range(24)}) == 2
-    scores = C.grid_search(w, [2, 3], [0.05], max_iter=2)
+    scores = C.grid_search(w, [2, 3], [0.05], n_init=1)
     assert C.choose_best(scores).first().k == 2
 
 
