@@ -88,16 +88,16 @@ def match_sidecars(spark, d):
     return K.match_sidecars(rec, one.unionByName(two)).select("dir", "stem", "sidecar")
 
 
-DESC_SQL = "replace(trim(lower(split_part(text, chr(10), 1))), ' ', '_')"
+DESC_SQL = "replace(trim(lower(text)), ' ', '_')"
 
 
 def _docs(spark, d):
     return A.table(spark, d, "documents").select(
-        "doc_id", F.col("source").alias("name"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("description")
+        "doc_id", F.col("source").alias("name"), F.col("text").alias("description")
     )
 
 
-@query("keyword_filter", f"SELECT doc_id, 'enf' AS mode FROM documents WHERE (starts_with({DESC_SQL}, 'the') OR starts_with({DESC_SQL}, 'is_a')) AND NOT contains(lower(split_part(text, chr(10), 1)), 'static') UNION ALL SELECT doc_id, 'filename' FROM documents WHERE contains(lower(source), 'rc1') UNION ALL SELECT doc_id, 'all' FROM documents")
+@query("keyword_filter", f"SELECT doc_id, 'enf' AS mode FROM documents WHERE (starts_with({DESC_SQL}, 'the') OR starts_with({DESC_SQL}, 'is_a')) AND NOT contains(lower(text), 'static') UNION ALL SELECT doc_id, 'filename' FROM documents WHERE contains(lower(source), 'rc1') UNION ALL SELECT doc_id, 'all' FROM documents")
 def keyword_filter(spark, d):
     docs = _docs(spark, d)
     a = K.filter_trials(docs, "enf", ["The", "is_a"], static="static").select("doc_id", F.lit("enf").alias("mode"))
@@ -105,12 +105,12 @@ def keyword_filter(spark, d):
     return a.unionByName(b).unionByName(docs.select("doc_id", F.lit("all").alias("mode")))
 
 
-@query("match_task", "SELECT doc_id FROM documents WHERE contains(lower(split_part(text, chr(10), 1)), 'ing')")
+@query("match_task", "SELECT doc_id FROM documents WHERE contains(lower(text), 'ing')")
 def match_task(spark, d):
     return K.match_task(_docs(spark, d), "ING").select("doc_id")
 
 
-@query("limit_matched", "SELECT doc_id, source FROM documents WHERE contains(lower(split_part(text, chr(10), 1)), 'ing') ORDER BY doc_id LIMIT 25")
+@query("limit_matched", "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'ing') ORDER BY doc_id LIMIT 25")
 def limit_matched(spark, d):
     docs = _docs(spark, d).withColumnRenamed("name", "source")
     return K.limit_matched(docs, "ing", 25, path="doc_id").select("doc_id", "source")
@@ -118,7 +118,7 @@ def limit_matched(spark, d):
 
 @query(
     "check_reason",
-    """WITH x AS (SELECT d.doc_id, l.doc_id AS sidecar, CASE WHEN d.doc_id % 11 <> 0 THEN lower(split_part(d.text, chr(10), 1)) END AS description, d.n_chars < 5000 AS loadable
+    """WITH x AS (SELECT d.doc_id, l.doc_id AS sidecar, CASE WHEN d.doc_id % 11 <> 0 THEN lower(d.text) END AS description, d.n_chars < 5000 AS loadable
 FROM documents d LEFT JOIN labels l USING (doc_id))
 SELECT doc_id, CASE WHEN sidecar IS NULL THEN 'no_sidecar' WHEN description IS NULL THEN 'no_description'
 WHEN NOT (starts_with(description, 't') OR starts_with(description, 'a')) THEN 'keyword_miss' WHEN contains(description, 'ed') THEN 'static'
@@ -131,7 +131,7 @@ def check_reason(spark, d):
     files = docs.select(
         "doc_id",
         "sidecar",
-        F.when(F.col("doc_id") % 11 != 0, F.split_part("text", F.lit("\n"), F.lit(1))).alias("description"),
+        F.when(F.col("doc_id") % 11 != 0, F.col("text")).alias("description"),
         (F.col("n_chars") < 5000).alias("loadable"),
     )
     return K.check_reasons(files, ["T", "A"], "ED").select("doc_id", "reason")
@@ -139,7 +139,7 @@ def check_reason(spark, d):
 
 @query(
     "subject_params",
-    """WITH t AS (SELECT c_custkey AS trial_id, c_custkey // 12 AS folder, right(c_name, 1) AS subject FROM customer WHERE c_custkey % 3 = 1),
+    """WITH t AS (SELECT c_custkey AS trial_id, c_custkey // 12 AS folder, right(c_name, 1) AS subject FROM customer),
 s AS (SELECT c_custkey // 12 AS folder, CASE WHEN c_custkey % 36 = 0 THEN 'kiste' ELSE lower(c_name) END AS base FROM customer WHERE c_custkey % 6 = 0),
 j AS (SELECT t.trial_id, s.base, contains(s.base, t.subject) AS hit FROM t JOIN s USING (folder)),
 c AS (SELECT trial_id, count(DISTINCT base) AS every, min(base) AS a, count(DISTINCT base) FILTER (WHERE hit) AS hits, count(DISTINCT base) FILTER (WHERE hit AND base <> 'kiste') AS named,
@@ -149,9 +149,10 @@ SELECT t.trial_id, r.base, CASE WHEN r.trial_id IS NULL THEN 'none' WHEN r.base
 )
 def subject_params(spark, d):
     c = A.table(spark, d, "customer").withColumn("folder", F.floor(F.col("c_custkey") / 12).cast("bigint"))
-    trials = c.where("c_custkey % 3 = 1").select(
+    trials = c.select(
         F.col("c_custkey").alias("trial_id"), "folder", F.array(F.expr("right(c_name, 1)")).alias("subjects")
     )
+    # one customer in six stands for a parameter set
     sets = c.where("c_custkey % 6 = 0").select(
         "folder", F.when(F.col("c_custkey") % 36 == 0, "kiste").otherwise(F.lower("c_name")).alias("base")
     )
@@ -179,14 +180,13 @@ def sim_index(spark, d):
     return _sim_index(spark, d)
 
 
-TRIALS_SQL = f"""tr AS (SELECT o_orderkey AS trial_id, lower({CORE}) AS core, regexp_replace(lower({CORE}), '_fp0$', '') AS base FROM orders WHERE o_orderkey % 5 = 0)"""
+TRIALS_SQL = f"""tr AS (SELECT o_orderkey AS trial_id, lower({CORE}) AS core, regexp_replace(lower({CORE}), '_fp0$', '') AS base FROM orders)"""
 
 
 def _core_trials(spark, d):
     core = F.lower(F.expr(CORE))
     return (
         A.table(spark, d, "orders")
-        .where("o_orderkey % 5 = 0")
         .select(F.col("o_orderkey").alias("trial_id"), core.alias("core"), F.regexp_replace(core, "_fp0$", "").alias("base"))
     )
 
@@ -214,7 +214,7 @@ def missing_log(spark, d):
 
 @query(
     "missing_columns",
-    """WITH h AS (SELECT doc_id, list_transform(string_split(split_part(text, chr(10), 1), ' '), lambda s: lower(s)) AS cols FROM documents),
+    """WITH h AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda s: lower(s)) AS cols FROM documents),
 w AS (SELECT unnest(['AND', 'Of', 'the']) AS c), x AS (SELECT h.doc_id, w.c FROM h, w WHERE NOT list_contains(h.cols, lower(w.c)))
 SELECT doc_id, string_agg(c, ',' ORDER BY c) AS missing FROM x GROUP BY doc_id""",
 )
@@ -225,13 +225,13 @@ def missing_columns(spark, d):
 
 @query(
     "stitch_sources",
-    f"""WITH t AS (SELECT o_orderkey AS trial_id, CAST(o_custkey AS VARCHAR) || 'w' || CAST(o_orderkey % 4 AS VARCHAR) AS stem FROM orders WHERE o_orderkey % 2 = 0),
+    f"""WITH t AS (SELECT o_orderkey AS trial_id, CAST(o_custkey AS VARCHAR) || 'w' || CAST(o_orderkey % 4 AS VARCHAR) AS stem FROM orders),
 c AS (SELECT CAST(o_custkey AS VARCHAR) || 'w' || CAST(o_orderkey % 4 AS VARCHAR) AS stem, min(lpad(CAST(o_orderkey AS VARCHAR), 9, '0')) AS source FROM orders
- WHERE o_orderkey % 2 = 0 AND o_orderstatus <> 'P' AND o_orderkey % 3 > 0 GROUP BY 1)
+ WHERE o_orderstatus <> 'P' AND o_orderkey % 3 > 0 GROUP BY 1)
 SELECT t.trial_id, t.stem, c.source FROM t LEFT JOIN c USING (stem)""",
 )
 def stitch_sources(spark, d):
-    o = A.table(spark, d, "orders").where("o_orderkey % 2 = 0")
+    o = A.table(spark, d, "orders")
     stem = F.concat(F.col("o_custkey").cast("string"), F.lit("w"), (F.col("o_orderkey") % 4).cast("string"))
     t = o.select(F.col("o_orderkey").alias("trial_id"), F.concat(stem, F.lit("_splitCycles_osim.mat")).alias("name"))
     c = o.select(
@@ -497,12 +497,12 @@ def resolve_channel(spark, d):
     return L.resolve_channel(x, ["l_orderkey", "channel"], "grp", "l_quantity")
 
 
-SWAPS_SQL = """mp AS (SELECT DISTINCT CAST(vec_id % 20 AS BIGINT) AS sid, 'm' || CAST(label AS VARCHAR) AS src, 'm' || CAST((label * 3) % 10 AS VARCHAR) AS dst FROM embeddings WHERE label < 8),
+SWAPS_SQL = """mp AS (SELECT DISTINCT CAST(vec_id % 20 AS BIGINT) AS sid, 'm' || CAST(label AS VARCHAR) AS src, 'm' || CAST((label * 3) % 10 AS VARCHAR) AS dst FROM embeddings),
 np AS (SELECT m.* FROM mp m LEFT JOIN mp b ON b.sid = m.sid AND b.src = m.dst AND b.dst = m.src WHERE m.src <> m.dst AND (b.sid IS NULL OR m.src < m.dst))"""
 
 
 def _swaps(spark, d):
-    return A.waves(spark, d).where("cluster < 8").select(
+    return A.waves(spark, d).select(
         F.col("subject").alias("sid"),
         F.col("label").alias("src"),
         F.concat(F.lit("m"), ((F.col("cluster") * 3) % 10).cast("string")).alias("dst"),

@@ -264,14 +264,14 @@ def missing_events(spark, d):
 
 @query(
     "missing_sections",
-    """WITH s AS (SELECT DISTINCT conv_id, role FROM conversations WHERE turn < 2), t AS (SELECT DISTINCT conv_id FROM conversations),
+    """WITH s AS (SELECT DISTINCT conv_id, role FROM conversations), t AS (SELECT DISTINCT conv_id FROM conversations),
 x AS (SELECT unnest(['assistant', 'system', 'user']) AS role)
 SELECT t.conv_id, string_agg(x.role, ',' ORDER BY x.role) AS missing FROM t, x
 WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.conv_id = t.conv_id AND s.role = x.role) GROUP BY t.conv_id""",
 )
 def missing_sections(spark, d):
     conv = A.table(spark, d, "conversations")
-    sections = conv.where("turn < 2").select("conv_id", F.col("role").alias("section"))
+    sections = conv.select("conv_id", F.col("role").alias("section"))
     out = C.missing_sections(
         sections, conv.select("conv_id").distinct(), "conv_id", ["assistant", "system", "user"]
     )
@@ -506,7 +506,7 @@ def outer_counts(spark, d):
 @query(
     "outer_merge",
     f"""WITH w AS (SELECT vec_id, label, list_sum(CAST(embedding AS DOUBLE[])) AS s FROM embeddings),
-l AS (SELECT vec_id - vec_id % 2 AS sample, s AS left_sum FROM w WHERE vec_id % 2 = 0 AND label < 7),
+l AS (SELECT vec_id - vec_id % 2 AS sample, s AS left_sum FROM w WHERE vec_id % 2 = 0),
 r AS (SELECT vec_id - vec_id % 2 AS sample, s AS right_sum FROM w WHERE vec_id % 2 = 1 AND label > 2)
 SELECT sample, {r6s('left_sum')} AS left_sum, {r6s('right_sum')} AS right_sum FROM l FULL OUTER JOIN r USING (sample)""",
 )
@@ -517,7 +517,7 @@ def outer_merge(spark, d):
         "cluster",
         F.aggregate("wave", F.lit(0.0), lambda a, x: a + x).alias("s"),
     )
-    left = w.where("side = 'L' and cluster < 7").select("sample", r6("s").alias("left_sum"))
+    left = w.where("side = 'L'").select("sample", r6("s").alias("left_sum"))
     right = w.where("side = 'R' and cluster > 2").select("sample", r6("s").alias("right_sum"))
     return left.join(right, "sample", "full_outer")
 
@@ -525,7 +525,7 @@ def outer_merge(spark, d):
 @query(
     "prefix_fallback",
     """WITH r AS (SELECT p_partkey AS rid, p_name || ' ' || p_brand AS rkey FROM part WHERE p_partkey % 2 = 1),
-l AS (SELECT p_partkey AS lid, p_name || ' ' || p_brand AS lkey, p_name AS lbase FROM part WHERE p_partkey % 10 = 0),
+l AS (SELECT p_partkey AS lid, p_name || ' ' || p_brand AS lkey, p_name AS lbase FROM part),
 x AS (SELECT l.lid, l.lkey, r.rid, r.rkey, 'exact' AS match FROM l JOIN r ON l.lkey = r.rkey),
 f AS (SELECT l.lid, l.lkey, min((r.rkey, r.rid)) AS b FROM l JOIN r ON starts_with(r.rkey, l.lbase)
   WHERE l.lkey NOT IN (SELECT rkey FROM r) GROUP BY l.lid, l.lkey)
@@ -535,8 +535,9 @@ def prefix_fallback(spark, d):
     p = A.table(spark, d, "part").select(
         "p_partkey", "p_name", F.concat_ws(" ", "p_name", "p_brand").alias("k")
     )
+    # every second part has a counterpart, the others fall back
     right = p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("rid"), F.col("k").alias("rkey"))
-    left = p.where("p_partkey % 10 = 0").select(
+    left = p.select(
         F.col("p_partkey").alias("lid"), F.col("k").alias("lkey"), F.col("p_name").alias("lbase")
     )
     return J.exact_or_prefix(left, right, "lkey", "lbase", "rkey", ["rid"]).drop("lbase")

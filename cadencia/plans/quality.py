@@ -287,10 +287,10 @@ def merge_flags(spark, d):
 
 @query(
     "valid_id_counts",
-    "SELECT CAST(vec_id % 20 AS BIGINT) AS subject, CASE WHEN vec_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, count(*) AS n_valid FROM embeddings WHERE label <> 0 GROUP BY 1, 2 UNION ALL SELECT CAST(vec_id % 20 AS BIGINT), NULL, count(*) FROM embeddings WHERE label <> 0 GROUP BY 1",
+    "SELECT CAST(vec_id % 20 AS BIGINT) AS subject, CASE WHEN vec_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, count(*) AS n_valid FROM embeddings GROUP BY 1, 2 UNION ALL SELECT CAST(vec_id % 20 AS BIGINT), NULL, count(*) FROM embeddings GROUP BY 1",
 )
 def valid_id_counts(spark, d):
-    return Q.valid_id_counts(A.waves(spark, d).where("cluster <> 0"))
+    return Q.valid_id_counts(A.waves(spark, d))
 
 
 @query(
