@@ -39,6 +39,8 @@ HEADLINE = [
     "curve_f",
     "silhouette",
     "dtw_cluster_stats",
+    "score_clustering",
+    "kmedoids",
     "remap",
 ]
 

@@ -44,23 +44,25 @@ def row_kernel(fn: Callable[..., np.ndarray], *columns: str | Column, min_points
     return run(*columns)
 
 
-def ragged_kernel(fn: Callable[[list[np.ndarray]], list[np.ndarray]], column: str | Column) -> Column:
+def ragged_kernel(fn: Callable[..., list[np.ndarray]], column: str | Column, by: str | Column | None = None) -> Column:
     """array<double> column from a kernel that takes rows of different lengths
     together. Rows are sorted by length and handed over in groups of similar
-    ones, so that little is padded."""
+    ones, so that little is padded. With ``by``, a number per row, a group has
+    one such number, and the kernel gets it too."""
 
     @F.pandas_udf(DOUBLES)
-    def run(col: pd.Series) -> pd.Series:
+    def run(col: pd.Series, number: pd.Series) -> pd.Series:
         rows = {i: np.asarray(v, dtype=float) for i, v in enumerate(col) if v is not None and len(v)}
-        order = sorted(rows, key=lambda i: rows[i].size)
         out = np.empty(len(col), dtype=object)
-        for k in range(0, len(order), 256):
-            some = order[k : k + 256]
-            for i, r in zip(some, fn([rows[i] for i in some])):
-                out[i] = r
+        for n in sorted({number.iat[i] for i in rows}):
+            order = sorted((i for i in rows if number.iat[i] == n), key=lambda i: rows[i].size)
+            for k in range(0, len(order), 256):
+                some = order[k : k + 256]
+                for i, r in zip(some, fn([rows[i] for i in some], *([] if by is None else [n]))):
+                    out[i] = r
         return pd.Series(out)
 
-    return run(column)
+    return run(column, F.lit(0.0) if by is None else by)
 
 
 def struct_kernel(fn: Callable[..., tuple], schema: str, *columns: str | Column) -> Column:

@@ -110,52 +110,58 @@ def legacy_envelope(wave: str | Column, fs: float) -> Column:
 
 
 def envelope_long(
-    samples: DataFrame, keys: Sequence[str], value: str, fs: float, settings: EnvelopeSettings = EnvelopeSettings(), *, chunk: int = 20_000
+    samples: DataFrame, keys: Sequence[str], value: str, fs: float | str, settings: EnvelopeSettings = EnvelopeSettings(), *, chunk: int = 20_000
 ) -> DataFrame:
     """Envelope of long series (keys, idx, value), to be taken before cycles are
-    cut. The mean and the non-zero span are those of the whole series; the
-    filters run per chunk with a halo in which they settle to 1e-14.
+    cut. ``fs`` is the rate of all series or the column that has each one's. The
+    mean and the non-zero span are those of the whole series; the filters run per
+    chunk with a halo in which they settle to 1e-14 at the largest rate.
     """
     keys = list(keys)
-    bp = N.bandpass_sections(fs, settings.bp_low, settings.bp_high)
-    lp = N.lowpass_sections(fs, settings.lp_cut)
-    halo = N.settle_samples(bp) + N.settle_samples(lp)
+    rate = F.lit(float(fs)) if isinstance(fs, (int, float)) else F.col(fs).cast("double")
+    samples = samples.withColumn("_rate", rate)
+    largest = float(fs) if isinstance(fs, (int, float)) else samples.agg(F.max("_rate")).first()[0]
+    if largest is None:
+        return samples.select(*keys, "idx", F.col(value).cast("double").alias(value)).limit(0)
+
+    def filters(r: float) -> tuple:
+        return N.bandpass_sections(r, settings.bp_low, settings.bp_high), N.lowpass_sections(r, settings.lp_cut)
+
+    halo = sum(N.settle_samples(f) for f in filters(largest))
     chunk = max(chunk, halo)
+    own = [*keys, "_rate"]
     fin = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
-    stat = samples.groupBy(*keys).agg(F.avg(fin).alias("_mean"), F.count(F.lit(1)).alias("_n"))
-    s = samples.select(*keys, "idx", F.col(value).cast("double").alias("_x")).join(stat, keys).where("_n >= 5")
+    stat = samples.groupBy(*own).agg(F.avg(fin).alias("_mean"), F.count(F.lit(1)).alias("_n"))
+    s = samples.select(*own, "idx", F.col(value).cast("double").alias("_x")).join(stat, own).where("_n >= 5")
     s = s.withColumn("_x", F.col("_x") - F.col("_mean") if settings.demean else F.col("_x"))
-    chunks = long_to_chunks(s, keys, "_x", chunk=chunk, halo=halo)
+    chunks = long_to_chunks(s, own, "_x", chunk=chunk, halo=halo)
 
-    def run(rows: list[np.ndarray]) -> list[np.ndarray]:
+    def run(rows: list[np.ndarray], r: float) -> list[np.ndarray]:
+        bp, lp = filters(r)
         y = N.zero_phase_ragged(bp, rows)
-        y = [np.abs(r) for r in y] if settings.rectify else y
+        y = [np.abs(v) for v in y] if settings.rectify else y
         y = N.lowpass_nonzero_span(lp, y)
-        return [np.maximum(r, 0.0) for r in y] if settings.non_negative else y
+        return [np.maximum(v, 0.0) for v in y] if settings.non_negative else y
 
     return chunks_to_long(
-        chunks.withColumn("_y", ragged_kernel(run, "vs")), keys, "_y", chunk=chunk, out=value
+        chunks.withColumn("_y", ragged_kernel(run, "vs", "_rate")), keys, "_y", chunk=chunk, out=value
     )
 
 
-def preprocess_before_split(samples: DataFrame, rates: DataFrame, keys: Sequence[str], value: str, settings: EnvelopeSettings = EnvelopeSettings(), *, known_rates: Sequence[float]) -> DataFrame:
+def preprocess_before_split(samples: DataFrame, rates: DataFrame, keys: Sequence[str], value: str, settings: EnvelopeSettings = EnvelopeSettings()) -> DataFrame:
     """Envelope for muscle channels of whole trials before they are cut; other
-    channels and trials of unknown rate pass through unchanged.
+    channels and trials without a rate pass through unchanged, as do those whose
+    rate leaves no room for the band.
 
-    ``rates`` is (trial_id, rate). The filter design needs the rate when the plan
-    is built, so the rates that occur are named by the caller; a trial whose rate
-    is none of them counts as unknown.
+    ``rates`` is (trial_id, rate); any number of rates takes one pass.
     """
     keys = list(keys)
     ch = F.lower("channel")
     muscle = ch.contains("emg") & ~ch.contains("nfu")
     s = samples.join(rates, "trial_id", "left")
-    hit = muscle & F.coalesce(F.col("rate").isin(*[float(r) for r in known_rates]), F.lit(False))
-    out = s.where(~hit).select(*keys, "idx", F.col(value).cast("double").alias(value))
-    for r in known_rates:
-        part = s.where(hit & (F.col("rate") == float(r)))
-        out = out.unionByName(envelope_long(part, keys, value, float(r), settings))
-    return out
+    hit = F.coalesce(muscle & (0.95 * 0.5 * F.col("rate") > settings.bp_low), F.lit(False))
+    rest = s.where(~hit).select(*keys, "idx", F.col(value).cast("double").alias(value))
+    return rest.unionByName(envelope_long(s.where(hit), keys, value, "rate", settings))
 
 
 def spline_101(wave: str | Column) -> Column:

@@ -149,7 +149,7 @@ def envelope_series(spark, d):
     s = ordered_scan(li, ["trial_id"], order, row_no="_k", cell=month)
     s = cut_lineage(s.select("trial_id", F.lit("EMG 1").alias("channel"), (F.col("_k") - 1).alias("idx"), "v"))
     rates = s.select("trial_id").distinct().withColumn("rate", F.when(F.col("trial_id") % 5 == 0, F.lit(None)).otherwise(F.lit(FS)))
-    out = S.preprocess_before_split(s, rates, ["trial_id", "channel"], "v", known_rates=[FS])
+    out = S.preprocess_before_split(s, rates, ["trial_id", "channel"], "v")
     return out.select("trial_id", "idx", r6("v").alias("v"))
 
 

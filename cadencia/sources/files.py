@@ -75,25 +75,34 @@ def _lines(spark: SparkSession, paths: Sequence[str] | str, glob: str | None) ->
     return r.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
 
 
-def read_sim_tables(spark: SparkSession, paths: Sequence[str] | str, columns: Sequence[str] | None = None, *, glob: str | None = None) -> DataFrame:
+def read_sim_tables(spark: SparkSession, paths: Sequence[str] | str, columns: Sequence[str] | None = None, *, glob: str | None = None, with_status: bool = False) -> DataFrame:
     """Simulation tables as rows (path, t, column, v).
 
     The header row is the one that starts with ``time``; a data row starts with a
     number and has as many fields. Neither needs the order of lines, so a large
-    file is read in splits. Wanted columns are compared without case.
+    file is read in splits. Wanted columns are compared without case. A row of
+    another number of fields has no values; ``with_status`` keeps it, with its
+    time, and adds ``status``: ok or field_count.
     """
     tok = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
     rows = _lines(spark, paths, glob).select("path", tok.alias("tok"))
     head = rows.where(F.lower(F.get("tok", F.lit(0))) == "time").groupBy("path").agg(F.first("tok").alias("names"))
     data = rows.where(F.get("tok", F.lit(0)).try_cast("double").isNotNull() & (F.size("tok") > 1))
-    j = data.join(head, "path").where(F.size("tok") == F.size("names"))
-    long = j.select(
+    fits = F.size("tok") == F.size("names")
+    none = F.array(F.struct(F.lit(None).cast("string").alias("n"), F.lit(None).cast("string").alias("v")))
+    j = data.join(head, "path").select(
         "path",
         F.get("tok", F.lit(0)).try_cast("double").alias("t"),
-        F.explode(F.arrays_zip(F.col("names").alias("n"), F.col("tok").alias("v"))).alias("_z"),
-    ).select("path", "t", F.col("_z.n").alias("column"), F.col("_z.v").try_cast("double").alias("v"))
-    long = long.where(F.lower("column") != "time")
-    return long if columns is None else long.where(F.lower("column").isin(*[c.lower() for c in columns]))
+        F.when(fits, "ok").otherwise("field_count").alias("status"),
+        F.explode(F.when(fits, F.arrays_zip(F.col("names").alias("n"), F.col("tok").alias("v"))).otherwise(none)).alias("_z"),
+    )
+    long = j.select("path", "t", F.col("_z.n").alias("column"), F.col("_z.v").try_cast("double").alias("v"), "status")
+    wanted = F.lower("column") != "time"
+    if columns is not None:
+        wanted = wanted & F.lower("column").isin(*[c.lower() for c in columns])
+    if with_status:
+        return long.where(wanted | (F.col("status") != "ok"))
+    return long.where(wanted).drop("status")
 
 
 def sim_headers(spark: SparkSession, paths: Sequence[str] | str, *, glob: str | None = None) -> DataFrame:

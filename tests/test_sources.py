@@ -43,6 +43,13 @@ def test_sim_table(spark, folder):
     assert S.sim_headers(spark, folder, glob="*.mot").first().columns == ["time", "hip_R", "knee"]
 
 
+def test_sim_rows_of_another_width(spark, tmp_path):
+    (tmp_path / "x.sto").write_text("h\nendheader\ntime\ta\tb\n0.0\t1\t2\n0.1\t3\n0.2\t5\t6\n")
+    got = S.read_sim_tables(spark, str(tmp_path), ["a"], with_status=True).orderBy("t").collect()
+    assert [(r.t, r.column, r.v, r.status) for r in got] == [(0.0, "a", 1.0, "ok"), (0.1, None, None, "field_count"), (0.2, "a", 5.0, "ok")]
+    assert S.read_sim_tables(spark, str(tmp_path)).count() == 4
+
+
 def test_marker_table(spark, folder):
     got = S.read_marker_tables(spark, folder, glob="*.trc").where("frame = 2").collect()
     assert sorted((r.marker, r.comp, r.v) for r in got) == [("LHEE", "x", 7), ("LHEE", "y", 8), ("LHEE", "z", 9), ("RHEE", "x", 10), ("RHEE", "z", 12)]

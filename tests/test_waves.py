@@ -173,7 +173,7 @@ def test_unknown_rate_and_other_channels_pass_through(spark):
     rows = [(t, ch, i, float(i % 7)) for t, ch in (("a", "EMG 1"), ("a", "Force"), ("b", "EMG 1")) for i in range(60)]
     s = spark.createDataFrame(rows, "trial_id string, channel string, idx long, v double")
     rates = spark.createDataFrame([("a", 1000.0), ("b", None)], "trial_id string, rate double")
-    out = S.preprocess_before_split(s, rates, ["trial_id", "channel"], "v", known_rates=[1000.0])
+    out = S.preprocess_before_split(s, rates, ["trial_id", "channel"], "v")
     j = out.join(s.withColumnRenamed("v", "old"), ["trial_id", "channel", "idx"])
     same = {(r.trial_id, r.channel): r.same for r in j.groupBy("trial_id", "channel").agg(F.bool_and(F.col("v") == F.col("old")).alias("same")).collect()}
     assert same == {("a", "EMG 1"): False, ("a", "Force"): True, ("b", "EMG 1"): True}
@@ -216,3 +216,19 @@ def test_a_target_is_used_once(spark):
     )
     got = {r.sid: r.decision for r in R.suggest_remap(sc, fl).collect()}
     assert got == {1: "suggest_close", 2: "unsure_target_used"}
+
+
+def test_envelopes_of_several_rates_in_one_pass(spark):
+    from cadencia.operators import signal as S
+
+    rng = np.random.default_rng(3)
+    fast, slow = rng.standard_normal(3000), rng.standard_normal(2000)
+    rows = [("f", "EMG a", i, float(v)) for i, v in enumerate(fast)] + [("s", "EMG a", i, float(v)) for i, v in enumerate(slow)] + [("n", "EMG a", i, 1.0 + i) for i in range(8)]
+    df = spark.createDataFrame(rows, "trial_id string, channel string, idx long, v double")
+    rates = spark.createDataFrame([("f", 2000.0), ("s", 800.0), ("n", None)], "trial_id string, rate double")
+    got = S.preprocess_before_split(df, rates, ["trial_id", "channel"], "v").toPandas().sort_values(["trial_id", "idx"])
+    for trial, x, rate in (("f", fast, 2000.0), ("s", slow, 800.0)):
+        one = spark.createDataFrame([(trial, i, float(v)) for i, v in enumerate(x)], "k string, idx long, v double")
+        want = S.envelope_long(one, ["k"], "v", rate, chunk=10_000).toPandas().sort_values("idx")
+        assert np.allclose(got[got["trial_id"] == trial]["v"], want["v"], atol=1e-9)
+    assert got[got["trial_id"] == "n"]["v"].tolist() == [1.0 + i for i in range(8)]
