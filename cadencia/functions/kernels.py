@@ -286,6 +286,21 @@ def circular_best_rows(a: np.ndarray, b: np.ndarray, lags) -> tuple[np.ndarray,
     return c[np.arange(a.shape[0]), k], lags[k]
 
 
+def convolution_best_rows(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(largest value, its lag) of the full convolution of two centred rows,
+    divided by the product of their norms; NaN and 0 if a row is flat."""
+    n = a.shape[1]
+    x, y = (v - v.mean(axis=1, keepdims=True) for v in (a, b))
+    size = 2 * n
+    full = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)
+    lags = np.arange(1 - n, n)
+    norm = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+    good = norm > 0
+    c = full[:, lags] / np.where(good, norm, 1.0)[:, None]
+    k = c.argmax(axis=1)
+    return np.where(good, c[np.arange(len(c)), k], np.nan), np.where(good, lags[k], 0)
+
+
 def roll_rows(a: np.ndarray, lags: np.ndarray) -> np.ndarray:
     """Rows rolled right, each by its own lag."""
     n = a.shape[1]

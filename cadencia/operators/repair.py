@@ -312,9 +312,9 @@ def leave_one_subject_out(
     own = t.select(*by, "sid", "label", "wave")
     b = base.select("label", "wave")
     if by:
-        # grid points are few, labels are few: the base is repeated per grid point
-        named = base.agg(F.collect_list(F.struct("label", "wave")).alias("_b")).scalar()
-        b = traces.select(*by).distinct().withColumn("_b", named).select(*by, F.inline("_b"))
+        # the base is repeated per grid point; both carry one constant key
+        points = traces.select(*by).distinct().withColumn("_one", F.lit(1))
+        b = points.join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
     pool = own.select(*by, "label", "wave").unionByName(b.select(*by, "label", "wave"))
     loo = leave_one_out(own, [*by, "label"], "sid", pool=pool)
     loo = loo.groupBy(*by, "sid", "label").agg(F.first("loo_wave").alias("wave"))
@@ -332,12 +332,19 @@ def tune_thresholds(
     *,
     max_lag: int,
     lr_lags: tuple[int, int] = LR_LAGS,
-    iterations: int = 1,
+    iterations: int = 2,
+    metric: str = "score",
+    expected_weight: float = 1.0,
+    feedback_weight: float = 1.0,
 ) -> DataFrame:
     """Score every pair of gains: remap all subjects against global traces that
     leave them out, as often as asked, then compare with the expected cases
     (sid, mode lr|ok) and with reviewers' answers.
 
+    ``combined`` is what ``metric`` names: ``score``, the weighted sum of the
+    subjects' expected shares and the feedback accuracy; ``f1_expected``, which
+    takes flips as positives; ``f1_feedback``; or ``f1_combined``, their mean.
+
     Candidate scores do not depend on the gains, so the first round is worked out
     once and the grid is joined to its few rows per channel. Within a round all
     subjects are remapped together.
@@ -372,8 +379,16 @@ def tune_thresholds(
     flipped = (F.col("stage") == "lr") & (F.col("_mk") == F.col("_pm")) & (F.col("_side") != F.col("_ps"))
     right = F.when(F.col("mode") == "lr", F.coalesce(flipped, F.lit(False))).otherwise(F.col("pred") == F.col("label"))
     grp = ["grid_id", "corr_gain", "mad_gain"]
-    acc = p.groupBy(*grp, "sid").agg(F.avg(F.when(right, 1.0).otherwise(0.0)).alias("_a"))
-    acc = acc.groupBy(*grp).agg(F.sum("_a").alias("expected_score"), F.count(F.lit(1)).alias("n_subjects"))
+    lr, found, moved = F.col("mode") == "lr", F.coalesce(flipped, F.lit(False)), F.col("pred") != F.col("label")
+    acc = p.groupBy(*grp, "sid").agg(
+        F.avg(F.when(right, 1.0).otherwise(0.0)).alias("_a"),
+        F.count_if(lr & found).alias("_tp"),
+        F.count_if(moved & ~(lr & found)).alias("_fp"),
+        F.count_if(lr & ~found).alias("_fn"),
+    )
+    acc = acc.groupBy(*grp).agg(
+        F.sum("_a").alias("expected_score"), F.count(F.lit(1)).alias("n_subjects"), *[F.sum(c).alias(c) for c in ("_tp", "_fp", "_fn")]
+    )
 
     f0 = traces.join(feedback.select("sid", "label").distinct(), ["sid", "label"], "left_semi")
     fl, sc = _scored(f0.select("sid", "label", "wave"), None, base.select("label", "wave"), cand, [], max_lag, lr_lags)
@@ -389,17 +404,25 @@ def tune_thresholds(
         F.count_if((swap & ~hit & ~kept) | (ok & ~kept)).alias("fp"),
         F.count_if(swap & ~hit).alias("fn"),
     )
-    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2.0 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
-    out = acc.join(n, grp, "left")
-    return out.select(
+
+    def f1(tp: str, fp: str, fn: str) -> Column:
+        return F.coalesce(F.try_divide(2.0 * F.col(tp), 2.0 * F.col(tp) + F.col(fp) + F.col(fn)), F.lit(0.0))
+
+    out = acc.join(n, grp, "left").select(
         *grp,
         "expected_score",
         "n_subjects",
+        f1("_tp", "_fp", "_fn").alias("expected_f1"),
         F.coalesce(F.try_divide(F.col("_ok").cast("double"), F.col("_tot")), F.lit(0.0)).alias("feedback_accuracy"),
-        F.coalesce(f1, F.lit(0.0)).alias("feedback_f1"),
-    ).withColumn(
-        "combined", F.col("expected_score") / F.col("n_subjects") + F.col("feedback_accuracy") + F.col("feedback_f1")
+        f1("tp", "fp", "fn").alias("feedback_f1"),
     )
+    choice = {
+        "score": expected_weight * F.col("expected_score") + feedback_weight * F.col("feedback_accuracy"),
+        "f1_expected": F.col("expected_f1"),
+        "f1_feedback": F.col("feedback_f1"),
+        "f1_combined": (F.col("expected_f1") + F.col("feedback_f1")) / 2,
+    }
+    return out.withColumn("combined", choice[metric])
 
 
 def best_thresholds(scores: DataFrame) -> DataFrame:

@@ -156,6 +156,11 @@ def xcorr_best(a: str, b: str, max_lag: int | None = None) -> Column:
     )
 
 
+def convolution_best(a: str, b: str) -> Column:
+    """struct(corr, lag): the best normalised full convolution of two wave columns."""
+    return struct_kernel(N.convolution_best_rows, "corr double, lag double", a, b)
+
+
 def xcorr_series(a: str, b: str, max_lag: int | None = None) -> Column:
     """Correlation at every lag."""
     return row_kernel(lambda x, y: N.xcorr_rows(x, y, max_lag)[1], a, b)
@@ -411,15 +416,16 @@ def boundary_summary(waves: DataFrame, by: Sequence[str], wave: str = "wave") ->
     return mean.join(exact_quantiles(long, [*by, "metric"], "v", {"median": 0.5, "p90": 0.9}), [*by, "metric"])
 
 
-def agreement(a: DataFrame, b: DataFrame, by: Sequence[str], *, max_lag: int | None = None) -> DataFrame:
-    """Mean waves of two sources compared: counts, best correlation and lag."""
+def agreement(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Mean waves of two sources compared: counts, best normalised convolution
+    and its lag, positive where the first source is later."""
     by = list(by)
     na = a.groupBy(*by).agg(F.count(F.lit(1)).alias("n_a"))
     nb = b.groupBy(*by).agg(F.count(F.lit(1)).alias("n_b"))
     j = na.join(nb, by, "full_outer")
     j = j.join(mean_wave(a, by).withColumnRenamed("wave", "_a"), by, "left")
     j = j.join(mean_wave(b, by).withColumnRenamed("wave", "_b"), by, "left")
-    j = j.withColumn("_x", xcorr_best("_a", "_b", max_lag))
+    j = j.withColumn("_x", convolution_best("_a", "_b"))
     return j.select(
         *by,
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_b")],

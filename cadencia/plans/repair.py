@@ -176,5 +176,5 @@ def tune(spark, d):
         "sid", "label", F.lit("m1").alias("candidate"), F.when(F.col("sid") % 2 == 0, "swap").otherwise("ok").alias("response")
     )
     return R.tune_thresholds(
-        traces, base, facts(spark, d), expected, feedback, [0.05, 0.1], [0.1, 0.2], max_lag=LAG, lr_lags=(28, 36)
+        traces, base, facts(spark, d), expected, feedback, [0.0, 0.02, 0.05, 0.08, 0.1], [0.0, 0.1, 0.2, 0.3], max_lag=LAG, lr_lags=(28, 36)
     )

@@ -203,15 +203,16 @@ def top_share(spark, d):
 @query(
     "agreement",
     f"""WITH {WAVES}, mw AS (SELECT label, side, idx, avg(v) AS m, count(*) AS n FROM pt WHERE NOT (side = 'L' AND label = 'm3') GROUP BY ALL),
-xl AS (SELECT a.label, l.lag, count(*) AS n, covar_pop(a.m, b.m) / (stddev_pop(a.m) * stddev_pop(b.m) + 1e-8) AS c FROM mw a JOIN (SELECT unnest(range(-10, 11)) AS lag) l ON true
- JOIN mw b ON b.label = a.label AND b.side = 'R' AND b.idx = a.idx + l.lag WHERE a.side = 'L' GROUP BY a.label, l.lag),
+ce AS (SELECT label, side, idx, m - avg(m) OVER (PARTITION BY label, side) AS m FROM mw),
+no AS (SELECT label, sqrt(sum(m * m) FILTER (WHERE side = 'L') * sum(m * m) FILTER (WHERE side = 'R')) AS q FROM ce GROUP BY label),
+xl AS (SELECT a.label, a.idx - b.idx AS lag, sum(a.m * b.m) / any_value(q) AS c FROM ce a JOIN ce b ON b.label = a.label AND b.side = 'R' JOIN no ON no.label = a.label WHERE a.side = 'L' GROUP BY a.label, a.idx - b.idx),
 g AS (SELECT label, arg_max((c, lag), (c, -lag)) AS b FROM xl GROUP BY label),
 n AS (SELECT label, count(*) FILTER (WHERE side = 'L' AND label <> 'm3') AS n_a, count(*) FILTER (WHERE side = 'R') AS n_b FROM w GROUP BY label)
 SELECT n.label, n_a, n_b, {r6s('b[1]')} AS corr, b[2] AS lag FROM n LEFT JOIN g USING (label)""",
 )
 def agreement(spark, d):
     w = A.waves(spark, d)
-    out = V.agreement(w.where("side = 'L' and label <> 'm3'"), w.where("side = 'R'"), ["label"], max_lag=10)
+    out = V.agreement(w.where("side = 'L' and label <> 'm3'"), w.where("side = 'R'"), ["label"])
     return out.select("label", "n_a", "n_b", r6("corr").alias("corr"), n64("lag").alias("lag"))
 
 

@@ -7,7 +7,7 @@ from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
 # minutes even on these tables; their operators run on smaller fixtures in test_waves
-SLOW = {"grid", "soft_dtw_cluster_stats"}
+SLOW = {"grid", "soft_dtw_cluster_stats", "tune"}
 
 
 @pytest.fixture(scope="module")
