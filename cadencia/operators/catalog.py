@@ -259,7 +259,8 @@ def resolve_ids(ids: DataFrame, column: str, requests: Sequence[str]) -> DataFra
 
 def sample_ids(ids: DataFrame, column: str, n: int, seed: int) -> DataFrame:
     """A repeatable sample of n ids (all when fewer), ordered by a seeded hash."""
-    return ids.select(column).distinct().orderBy(F.xxhash64(F.col(column), F.lit(seed)), column).limit(n)
+    drawn = F.md5(F.concat_ws(":", F.col(column).cast("string"), F.lit(seed)))
+    return ids.select(column).distinct().orderBy(drawn, column).limit(n)
 
 
 def limit_matched(files: DataFrame, task: str, n: int, *, description: str = "description", path: str = "path") -> DataFrame:

@@ -265,7 +265,7 @@ def review_sample(items: DataFrame, done: DataFrame, *, n: int, per_subject: int
     """A seeded random sample of items not yet reviewed, at most ``per_subject``
     of one subject and n in all."""
     todo = items.join(done.select("sid", "label"), ["sid", "label"], "left_anti")
-    h = F.xxhash64("sid", "label", F.lit(seed))
+    h = F.md5(F.concat_ws(":", F.col("sid").cast("string"), "label", F.lit(seed)))
     w = Window.partitionBy("sid").orderBy(h, "label")
     capped = todo.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_subject).drop("_r")
     return capped.orderBy(h, "sid", "label").limit(n)

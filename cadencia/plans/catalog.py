@@ -256,7 +256,7 @@ def resolve_ids(spark, d):
     return K.resolve_ids(A.table(spark, d, "customer"), "c_name", IDS)
 
 
-@query("sample_ids")
+@query("sample_ids", "SELECT c_custkey FROM customer GROUP BY c_custkey ORDER BY md5(CAST(c_custkey AS VARCHAR) || ':42'), c_custkey LIMIT 50")
 def sample_ids(spark, d):
     return K.sample_ids(A.table(spark, d, "customer"), "c_custkey", 50, 42)
 

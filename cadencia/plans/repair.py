@@ -98,7 +98,10 @@ def review_queue(spark, d):
     return R.review_queue(_decisions(spark, d), corr_gain=0.05, mad_gain=0.02)
 
 
-@query("review_sample")
+@query(
+    "review_sample",
+    f"WITH {DEC_SQL}, td AS (SELECT sid, label, target, md5(CAST(sid AS VARCHAR) || ':' || label || ':7') AS h FROM dc WHERE sid <> 0), cp AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY h, label) AS r FROM td) SELECT sid, label, target FROM cp WHERE r <= 3 ORDER BY h, sid, label LIMIT 25",
+)
 def review_sample(spark, d):
     dec = _decisions(spark, d)
     done = dec.where("sid = 0").select("sid", "label")

@@ -158,7 +158,18 @@ def spline(spark, d):
     return _long(A.waves(spark, d).select("sample_id", S.spline_101("wave").alias("wave")))
 
 
-@query("akima")
+@query(
+    "akima",
+    f"""WITH {WAVES}, w0 AS (SELECT sample_id, wave AS x, len(wave) AS k FROM w),
+e0 AS (SELECT *, list_transform(range(1, k), lambda i: x[i + 1] - x[i]) AS m FROM w0),
+e1 AS (SELECT *, 2 * m[1] - m[2] AS l1, 2 * m[k - 1] - m[k - 2] AS r1 FROM e0),
+e2 AS (SELECT sample_id, x, k, m, list_concat([2 * l1 - m[1], l1], m, [r1, 2 * r1 - m[k - 1]]) AS e FROM e1),
+s0 AS (SELECT *, list_transform(range(1, k + 1), lambda i: {{'a': abs(e[i + 3] - e[i + 2]), 'b': abs(e[i + 1] - e[i]), 'p': e[i + 1], 'q': e[i + 2]}}) AS z FROM e2),
+s1 AS (SELECT *, list_transform(z, lambda t: CASE WHEN t.a + t.b > 0 THEN (t.a * t.p + t.b * t.q) / (t.a + t.b) ELSE 0.5 * (t.p + t.q) END) AS sl FROM s0),
+g AS (SELECT sample_id, j, x, m, sl, k, least(CAST(floor(j * (k - 1) / 100.0) AS BIGINT), k - 2) AS i FROM s1, (SELECT unnest(range(0, 101)) AS j)),
+h AS (SELECT sample_id, j, j * (k - 1) / 100.0 - i AS d, x[i + 1] AS x0, m[i + 1] AS dm, sl[i + 1] AS s0, sl[i + 2] AS s1 FROM g)
+SELECT sample_id, j AS idx, {r6s('x0 + d * (s0 + d * ((3 * dm - 2 * s0 - s1) + d * (s0 + s1 - 2 * dm)))')} AS v FROM h""",
+)
 def akima(spark, d):
     return _long(A.waves(spark, d).select("sample_id", S.akima_101("wave").alias("wave")))
 
