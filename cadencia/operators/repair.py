@@ -123,7 +123,7 @@ def candidates(facts: DataFrame) -> DataFrame:
     lr = lr.groupBy("label").agg(F.min("candidate").alias("candidate")).withColumn("stage", F.lit("lr"))
     same = facts.join(c, F.col("side") == F.col("_s")).where("label <> candidate")
     close = same.where("close_group = _g").select("label", "candidate", F.lit("close").alias("stage"))
-    general = same.where("muscle_key <> _m").select("label", "candidate", F.lit("general").alias("stage"))
+    general = same.where("coalesce(muscle_key, '') = '' or muscle_key <> coalesce(_m, '')").select("label", "candidate", F.lit("general").alias("stage"))
     return lr.select("label", "candidate", "stage").unionByName(close).unionByName(general)
 
 

@@ -19,6 +19,82 @@ def _long(df, col="wave"):
     return df.select("sample_id", F.posexplode(col).alias("idx", "v")).select("sample_id", n64("idx").alias("idx"), r6("v").alias("v"))
 
 
+def pass_sql(name: str, src: str, sections: tuple) -> str:
+    """CTE ``name`` (sample_id, y): the lists of ``src`` (sample_id, x) through the
+    sections, each started in the steady state of its first value."""
+    n = range(len(sections))
+    sections = [tuple(map(float, s)) for s in sections]
+    gains = [(b0 + b1 + b2) / (1.0 + a1 + a2) for b0, b1, b2, a1, a2 in sections]
+    first, cols, inner, nxt, gain = [], [], f"SELECT *, x[t + 1] AS v0 FROM {name}r WHERE t < len(x)", [], 1.0
+    for i, (b0, b1, b2, a1, a2) in zip(n, sections):
+        g = gains[i]
+        s2 = f"({(b2 - a2 * g) * gain!r}) * x[1]"
+        first += [f"({(b1 - a1 * g) * gain!r}) * x[1] + {s2} AS p{i}", f"{s2} AS q{i}"]
+        cols += [f"p{i}", f"q{i}"]
+        inner = f"SELECT *, ({b0!r}) * v{i} + p{i} AS v{i + 1} FROM ({inner})"
+        nxt += [f"({b1!r}) * v{i} - ({a1!r}) * v{i + 1} + q{i}", f"({b2!r}) * v{i} - ({a2!r}) * v{i + 1}"]
+        gain *= g
+    return (
+        f"{name}r AS (SELECT sample_id, x, 0 AS t, CAST([] AS DOUBLE[]) AS y, {', '.join(first)} FROM {src} UNION ALL "
+        f"SELECT sample_id, x, t + 1, list_append(y, v{len(sections)}), {', '.join(nxt)} FROM ({inner})), "
+        f"{name} AS (SELECT sample_id, y FROM {name}r WHERE t = len(x))"
+    )
+
+
+def zero_phase_sql(name: str, src: str, sections: tuple) -> str:
+    """CTEs up to ``name`` (sample_id, x): both ways with odd extension at the ends."""
+    taps = 2 * len(sections) + 1 - all(s[2] == 0.0 and s[4] == 0.0 for s in sections)
+    pad = f"least({3 * taps}, len(x) - 1)"
+    ext = (
+        f"list_concat(list_transform(range({pad}, 0, -1), lambda i: 2 * x[1] - x[i + 1]), x, "
+        f"list_transform(range(1, {pad} + 1), lambda i: 2 * x[len(x)] - x[len(x) - i]))"
+    )
+    return (
+        f"{name}0 AS (SELECT sample_id, {pad} AS pad, len(x) AS n, {ext} AS x FROM {src}), {pass_sql(name + '1', name + '0', sections)}, "
+        f"{name}2 AS (SELECT sample_id, list_reverse(y) AS x FROM {name}1), {pass_sql(name + '3', name + '2', sections)}, "
+        f"{name} AS (SELECT sample_id, list_slice(list_reverse(y), pad + 1, pad + n) AS x FROM {name}3 JOIN {name}0 USING (sample_id))"
+    )
+
+
+def points_sql(src: str) -> str:
+    return f"SELECT sample_id, unnest(range(0, len(x))) AS idx, {r6s('unnest(x)')} AS v FROM {src}"
+
+
+WAVE_X = f"WITH RECURSIVE {WAVES}, w0 AS (SELECT sample_id, wave AS x FROM w)"
+
+
+def envelope_sql(st: S.EnvelopeSettings, percent: bool = False, start: str | None = None) -> str:
+    """The envelope of the lists in CTE w0 of ``start``. They have no zeros, so the
+    low-pass covers all of a wave."""
+    band, low = N.bandpass_sections(FS, st.bp_low, st.bp_high), N.lowpass_sections(FS, st.lp_cut)
+    flat = "list_transform(x, lambda v: v - list_avg(x))" if st.demean else "x"
+    up = "list_transform(x, lambda v: abs(v))" if st.rectify else "x"
+    top = "list_transform(x, lambda v: greatest(v, 0.0))" if st.non_negative else "x"
+    share = "list_transform(x, lambda v: CASE WHEN list_max(x) > 0 THEN v / list_max(x) * 100.0 ELSE 0.0 END)" if percent else "x"
+    return (
+        f"{start or WAVE_X}, d0 AS (SELECT sample_id, {flat} AS x FROM w0), {zero_phase_sql('bp', 'd0', band)}, "
+        f"ab AS (SELECT sample_id, {up} AS x FROM bp), {zero_phase_sql('lp', 'ab', low)}, "
+        f"cl AS (SELECT sample_id, {top} AS x FROM lp), pc AS (SELECT sample_id, {share} AS x FROM cl) {points_sql('pc')}"
+    )
+
+
+SERIES_X = """WITH RECURSIVE li AS (SELECT l_suppkey AS sample_id, list(CAST(l_quantity AS DOUBLE) ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS x FROM lineitem GROUP BY l_suppkey),
+w0 AS (SELECT * FROM li WHERE sample_id % 5 <> 0 AND len(x) >= 5)"""
+SERIES_SQL = (
+    envelope_sql(S.EnvelopeSettings(), start=SERIES_X).replace("SELECT sample_id, unnest(range(0, len(x))) AS idx", "SELECT sample_id AS trial_id, unnest(range(0, len(x))) AS idx")
+    + f" UNION ALL SELECT sample_id, unnest(range(0, len(x))), {r6s('unnest(x)')} FROM li WHERE sample_id % 5 = 0"
+)
+SPLINE_SQL = f"""{WAVE_X},
+fw AS (SELECT sample_id, x, 1 AS i, CAST([0.25] AS DOUBLE[]) AS c, [6 * (x[3] - 2 * x[2] + x[1]) / 4] AS d FROM w0
+ UNION ALL SELECT sample_id, x, i + 1, list_append(c, 1 / (4 - c[i])), list_append(d, (6 * (x[i + 3] - 2 * x[i + 2] + x[i + 1]) - d[i]) / (4 - c[i])) FROM fw WHERE i < len(x) - 2),
+bw AS (SELECT sample_id, x, c, d, i, CAST([0.0] AS DOUBLE[]) AS m FROM fw WHERE i = len(x) - 2
+ UNION ALL SELECT sample_id, x, c, d, i - 1, list_prepend(d[i] - c[i] * m[1], m) FROM bw WHERE i > 0),
+ms AS (SELECT sample_id, x, list_prepend(0.0, m) AS m, len(x) AS k FROM bw WHERE i = 0),
+g AS (SELECT *, least(CAST(floor(j * (k - 1) / 100.0) AS BIGINT), k - 2) AS i FROM ms, (SELECT unnest(range(0, 101)) AS j)),
+h AS (SELECT sample_id, j, x[i + 1] AS y0, x[i + 2] AS y1, m[i + 1] AS m0, m[i + 2] AS m1, j * (k - 1) / 100.0 - i AS b FROM g)
+SELECT sample_id, j AS idx, {r6s('m0 * (1 - b) ** 3 / 6 + m1 * b ** 3 / 6 + (y0 - m0 / 6) * (1 - b) + (y1 - m1 / 6) * b')} AS v FROM h"""
+
+
 @query("demean", f"WITH {WAVES} SELECT sample_id, idx, {r6s('v - avg(v) OVER (PARTITION BY sample_id)')} AS v FROM pt")
 def demean(spark, d):
     return _long(A.waves(spark, d).select("sample_id", X.demean("wave").alias("wave")))
@@ -118,27 +194,27 @@ def fir(spark, d):
     return _long(A.waves(spark, d).select("sample_id", S.fir_lowpass("wave", 100.0, 6.0).alias("wave")))
 
 
-@query("bandpass")
+@query("bandpass", f"{WAVE_X}, {zero_phase_sql('bp', 'w0', N.bandpass_sections(FS, 10, 490))} {points_sql('bp')}")
 def bandpass(spark, d):
     return _long(A.waves(spark, d).select("sample_id", S.bandpass("wave", FS, 10, 490).alias("wave")))
 
 
-@query("lowpass")
+@query("lowpass", f"{WAVE_X}, {zero_phase_sql('lp', 'w0', N.lowpass_sections(FS, 15))} {points_sql('lp')}")
 def lowpass(spark, d):
     return _long(A.waves(spark, d).select("sample_id", S.lowpass("wave", FS, 15).alias("wave")))
 
 
-@query("envelope")
+@query("envelope", envelope_sql(S.EnvelopeSettings()))
 def envelope(spark, d):
     return _long(A.waves(spark, d).select("sample_id", S.envelope("wave", FS).alias("wave")))
 
 
-@query("legacy_envelope")
+@query("legacy_envelope", envelope_sql(S.LEGACY, percent=True))
 def legacy_envelope(spark, d):
     return _long(A.waves(spark, d).select("sample_id", S.legacy_envelope("wave", FS).alias("wave")))
 
 
-@query("envelope_series")
+@query("envelope_series", SERIES_SQL)
 def envelope_series(spark, d):
     """Every supplier's line items in shipping order as one long series."""
     li = A.table(spark, d, "lineitem").select(
@@ -153,7 +229,7 @@ def envelope_series(spark, d):
     return out.select("trial_id", "idx", r6("v").alias("v"))
 
 
-@query("spline")
+@query("spline", SPLINE_SQL)
 def spline(spark, d):
     return _long(A.waves(spark, d).select("sample_id", S.spline_101("wave").alias("wave")))
 
