@@ -129,8 +129,10 @@ def disclosing(docs: DataFrame, found: DataFrame, text: str, support: int, remov
     pairs = stored(pairs)
     held = met.groupBy("ent", "k1", "k2").agg(F.max("rows").alias("rows")).groupBy("ent").agg(F.sum("rows").alias("n_ent"))
     words = F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(TERM), F.lit(0))
+    # all terms are counted, and only counts are joined: how many rows pass a join
+    # with the terms in question would grow faster than the corpus
     terms = docs.select(F.explode(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("term"))
-    terms = terms.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    terms = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     n = found.agg(F.count(F.lit(1)).alias("n_docs"))
     # one row; the join with it is no product of tables
     weighed = pairs.join(held, "ent").join(terms, "term").withColumn("n_docs", F.lit(n.first()["n_docs"]))
