@@ -18,6 +18,30 @@ def _points(df, *keys, col="wave"):
     return p.select(*keys, n64("idx").alias("idx"), r6("v").alias("v"))
 
 
+def first_sql(name: str, src: str) -> str:
+    """CTE ``name`` (k, n, wave): first right singular vector of the lists xs of each
+    key of ``src`` (k, xs), turned along their mean and as long as it.
+
+    The Gram matrix of the lists is squared until only its first direction is left.
+    """
+    squared = "list_transform(g, lambda r: list_transform(g, lambda q: list_dot_product(r, q)))"
+    trace = "list_sum(list_transform(range(1, n + 1), lambda i: g[i][i]))"
+    return f"""{name}g AS (SELECT k, xs, len(xs) AS n, 0 AS step, list_transform(xs, lambda r: list_transform(xs, lambda q: list_dot_product(r, q))) AS g FROM {src}),
+{name}p AS (SELECT * FROM {name}g UNION ALL SELECT k, xs, n, step + 1, list_transform(g, lambda r: list_transform(r, lambda v: v / tr))
+  FROM (SELECT *, {trace} AS tr FROM (SELECT k, xs, n, step, {squared} AS g FROM {name}p WHERE step < 30))),
+{name}u AS (SELECT k, xs, n, g[list_position(dg, list_max(dg))] AS u FROM (SELECT *, list_transform(range(1, n + 1), lambda i: g[i][i]) AS dg FROM {name}p WHERE step = 30)),
+{name}v AS (SELECT k, n, list_transform(range(1, {N + 1}), lambda j: list_sum(list_transform(range(1, n + 1), lambda i: u[i] * xs[i][j]))) AS w,
+  list_transform(range(1, {N + 1}), lambda j: list_avg(list_transform(xs, lambda x: x[j]))) AS m FROM {name}u),
+{name} AS (SELECT k, n, list_transform(w, lambda v: v * f) AS wave FROM (SELECT k, n, w, sqrt(list_dot_product(m, m) / list_dot_product(w, w))
+  * CASE WHEN list_dot_product(w, list_transform(m, lambda v: v - list_avg(m))) < 0 THEN -1 ELSE 1 END AS f FROM {name}v))"""
+
+
+COMPONENT_SQL = f"""WITH RECURSIVE {WAVES}, ts AS (SELECT {{'subject': subject, 'label': label}} AS k, list(wave ORDER BY sample_id) AS xs FROM w GROUP BY subject, label), {first_sql('tr', 'ts')}"""
+LOO_SQL = f"""{COMPONENT_SQL}, lk AS (SELECT {{'subject': a.k.subject, 'label': a.k.label}} AS k, list(b.wave ORDER BY b.k.subject) AS xs FROM tr a JOIN tr b ON b.k.label = a.k.label AND b.k.subject <> a.k.subject GROUP BY 1), {first_sql('lo', 'lk')},
+lp AS (SELECT tr.k.label AS label, tr.k.subject AS subject, unnest(tr.wave) AS a, unnest(lo.wave) AS b FROM tr JOIN lo ON lo.k.subject = tr.k.subject AND lo.k.label = tr.k.label),
+lc AS (SELECT label, subject, covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b) + 1e-8) AS corr, avg(abs(a - b)) AS mad FROM lp GROUP BY label, subject)"""
+
+
 @query("mean_wave", f"WITH {WAVES} SELECT label, idx, {r6s('avg(v)')} AS v FROM pt GROUP BY label, idx")
 def mean_wave(spark, d):
     return _points(V.aggregate_waves(A.waves(spark, d), ["label"], "mean"), "label")
@@ -261,7 +285,7 @@ def curve_significance(spark, d):
     return V.curve_significance(A.waves(spark, d), "cluster", 0, 1, "sample_id", alpha=0.05, n_perm=200, n_points=N)
 
 
-@query("pca_wave")
+@query("pca_wave", f"{COMPONENT_SQL} SELECT k.subject AS subject, k.label AS label, unnest(range(0, {N})) AS idx, {r6s('unnest(wave)')} AS v FROM tr")
 def pca_wave(spark, d):
     return _points(V.aggregate_waves(A.waves(spark, d), ["subject", "label"], "pca"), "subject", "label")
 
@@ -271,25 +295,46 @@ def _traces(spark, d):
     return cut_lineage(V.pca_wave(A.waves(spark, d), ["subject", "label"]).withColumnRenamed("n", "n_cycles"))
 
 
-@query("global_wave")
+@query(
+    "global_wave",
+    f"""{COMPONENT_SQL}, gk AS (SELECT k.label AS k, list(wave ORDER BY k.subject) AS xs FROM tr GROUP BY k.label), {first_sql('gl', 'gk')},
+gc AS (SELECT k.label AS k, min(n) AS cycles_min, quantile_cont(n, 0.5) AS cycles_median, max(n) AS cycles_max FROM tr GROUP BY k.label)
+SELECT k AS label, n AS n_ids_used, cycles_min, cycles_median, cycles_max, {r6s('wave[1]')} AS first_v FROM gl JOIN gc USING (k)""",
+)
 def global_wave(spark, d):
     g = V.global_waves(_traces(spark, d), "label", cycles="n_cycles")
     return g.select("label", "n_ids_used", "cycles_min", "cycles_median", "cycles_max", r6(F.get("wave", F.lit(0))).alias("first_v"))
 
 
-@query("early_late")
+@query(
+    "early_late",
+    f"""WITH RECURSIVE {WAVES}, nw AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sample_id) AS r, count(*) OVER (PARTITION BY label) AS c FROM w),
+hs AS (SELECT {{'label': label, 'late': r > c // 2}} AS k, list(wave ORDER BY sample_id) AS xs FROM nw WHERE c >= 4 GROUP BY label, r > c // 2), {first_sql('hf', 'hs')},
+hp AS (SELECT k.label AS label, k.late AS late, unnest(range(0, {N})) AS idx, unnest(wave) AS v FROM hf),
+hx AS (SELECT a.label, l.lag, covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v) + 1e-8) AS c FROM hp a JOIN (SELECT unnest(range(-5, 6)) AS lag) l ON true
+ JOIN hp b ON b.label = a.label AND b.late AND b.idx = a.idx + l.lag WHERE NOT a.late GROUP BY a.label, l.lag),
+hb AS (SELECT label, arg_max((c, lag), (c, -lag)) AS b FROM hx GROUP BY label)
+SELECT label, {r6s('b[1]')} AS early_late_corr, CAST(b[2] AS DOUBLE) AS early_late_lag FROM hb""",
+)
 def early_late(spark, d):
     cell = F.floor(F.col("sample_id") / 100_000).cast("bigint")
-    return V.early_late(A.waves(spark, d), ["label"], "sample_id", max_lag=5, cell=cell)
+    out = V.early_late(A.waves(spark, d), ["label"], "sample_id", max_lag=5, cell=cell)
+    return out.withColumn("early_late_corr", r6("early_late_corr"))
 
 
-@query("loo")
+@query("loo", f"{LOO_SQL} SELECT label, subject, {r6s('corr')} AS corr, {r6s('mad')} AS mad FROM lc")
 def loo(spark, d):
     out = V.leave_one_out(_traces(spark, d), ["label"], "subject")
     return out.select("label", "subject", r6("corr").alias("corr"), r6("mad").alias("mad"))
 
 
-@query("loo_outliers")
+@query(
+    "loo_outliers",
+    f"""{LOO_SQL}, lq AS (SELECT label, quantile_cont(corr, 0.025) AS c, quantile_cont(mad, 0.975) AS m, quantile_cont(mad, 0.5) AS md FROM lc GROUP BY label),
+ld AS (SELECT lc.*, c, m, (1 - corr) + mad / (md + 1e-8) AS dissim FROM lc JOIN lq USING (label)),
+lr AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY dissim DESC, subject) AS r, count(*) OVER (PARTITION BY label) AS n FROM ld)
+SELECT label, subject, {r6s('corr')} AS corr, {r6s('mad')} AS mad, {r6s('dissim')} AS dissim FROM lr WHERE corr < c OR mad > m OR r <= greatest(1, round_even(0.1 * n, 0))""",
+)
 def loo_outliers(spark, d):
     loo = cut_lineage(V.leave_one_out(_traces(spark, d), ["label"], "subject"))
     out = V.loo_outliers(loo, ["label"], "subject", top_fraction=0.1)
