@@ -202,5 +202,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def accepted(docs: DataFrame, least: float = 1 / 3) -> DataFrame:
     """The documents whose text has a language, one of at least ``least`` of its letters; columns stay."""
-    found = predict(docs, learn(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    own = {c: f"_own_{c}" for c in docs.columns if c in ("lang_pred", "score", "spans")}
+    found = predict(docs.withColumnsRenamed(own), learn(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return found.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

@@ -227,3 +227,10 @@ def score(docs: DataFrame, model, least: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:at], *map(pa.array, cols)], names=[*b.schema.names[:at], *names, "keep"])
 
     return wide.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that the fitted classifier keeps; columns stay."""
+    own = {c: f"_own_{c}" for c in docs.columns if c in ("p_text", "p_page", "quality_score", "keep")}
+    found = score(docs.withColumnsRenamed(own), learn(docs, labels)).where("keep")
+    return found.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

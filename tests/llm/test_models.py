@@ -74,6 +74,7 @@ def test_viterbi_is_the_best_path():
 def test_accepted(spark, documents):
     kept = langid.accepted(documents)
     assert kept.columns == documents.columns
+    assert {r["score"] for r in kept.collect()} <= {"was", "x"}  # a column that the prediction also has
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(ids) == sorted(r["doc_id"] for r in documents.collect() if r["doc_id"] not in (1000, 1001, 1002))
     empty = documents.limit(0)
@@ -109,6 +110,15 @@ def test_quality(pages):
     assert all(0 <= r["quality_score"] <= 1 and 0 <= r["p_page"] <= 1 for r in got)
 
 
+def test_accepted_pages(pages):
+    docs, labels, truth = pages
+    kept = quality.accepted(docs, labels)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert {r["keep"] for r in rows} == {"was"}
+    assert sum(truth.get(r["doc_id"], True) for r in rows) >= 0.98 * len(rows)
+
+
 def test_without_labels_all_stay(spark, pages):
     docs, labels, _ = pages
     for few in (labels.limit(0), labels.where("quality = 1")):
