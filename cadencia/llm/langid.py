@@ -193,7 +193,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pred, score, pa.ListArray.from_arrays(pa.array(edges), runs)
 
     def run(batches):
-        for b in (part for whole in batches for part in slices(whole, where, 4 << 20)):
+        for b in (part for whole in batches for part in slices(whole, where, 2 << 20)):
             pred, score, spans = label(b.column(where).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), spans], names=[*b.schema.names, "lang_pred", "score", "spans"])
 

@@ -134,7 +134,7 @@ def sign(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from map(one, slices(batch, 1, 4 << 20))
+            yield from map(one, slices(batch, 1, 2 << 20))
 
     def one(b):
         ids = b.column(0).to_pylist()
@@ -171,7 +171,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, k: int, doc_id: str, text: str)
 
     def run(batches):
         for b in batches:
-            for part in slices(b, 1, 4 << 20):
+            for part in slices(b, 1, 2 << 20):
                 sets = shingle_sets(part.column(1).to_pylist(), k)
                 low = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
                 node = [NO_ID | (a & (NO_ID - 1)) if d is None else d for d, a in zip(part.column(0).to_pylist(), low)]

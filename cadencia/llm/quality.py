@@ -219,7 +219,7 @@ def score(docs: DataFrame, model, least: float = 0.5) -> DataFrame:
 
     def run(batches):
         centre, done, combined = kept.value
-        for b in (s for whole in batches for s in slices(whole, at, 4 << 20)):
+        for b in (s for whole in batches for s in slices(whole, at, 2 << 20)):
             views = [(v - m) / s for v, (m, s) in zip(_views(b, at), centre)]
             both = np.stack([odds(odds(v, w)[:, None], c) for v, (w, c) in zip(views, done)], axis=1)
             p = share(odds(both, combined))

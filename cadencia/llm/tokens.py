@@ -56,9 +56,8 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab = spec["model"]["vocab"]
         self.ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in self.special}
-        make = tiktoken.Encoding
-        self.text = make("text", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens=self.special)
-        self.piece = make("piece", pat_str=r"(?s:.)+", mergeable_ranks=self.ranks, special_tokens={})
+        self.text = tiktoken.Encoding("text", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens=self.special)
+        self._piece = None
         size = max([*self.ranks.values(), *self.special.values()]) + 1
         self.bytes = [b""] * size
         for b, i in self.ranks.items():
@@ -69,6 +68,14 @@ class Codec:
         self.safe = regex.compile(SAFE)
         self.odd = "|".join([UNSAFE, *map(re.escape, self.special)])
 
+    def piece(self, text: str) -> list[int]:
+        """Ids of a text that is one piece; made when first asked for, as few texts need it."""
+        if self._piece is None:
+            import tiktoken
+
+            self._piece = tiktoken.Encoding("piece", pat_str=r"(?s:.)+", mergeable_ranks=self.ranks, special_tokens={})
+        return self._piece.encode_ordinary(text)
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.text.encode(text, allowed_special=set(self.special)), dtype=np.uint32)
 
@@ -191,7 +198,7 @@ class Codec:
                 return None
             data = b"".join(self.bytes[i] for i in (*x[-w:], *y[:w]))
             try:
-                ids = self.piece.encode_ordinary(data.decode())
+                ids = self.piece(data.decode())
             except UnicodeDecodeError:
                 continue
             if self.neighbours(int(x[-w - 1]), ids[0]) and self.neighbours(ids[-1], int(y[w])):
