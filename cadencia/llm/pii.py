@@ -1,11 +1,12 @@
 """Information-theoretic sanitisation of personal data, native expressions only.
 
-Patterns find the protected entities. Over all documents, a term near an entity
-is weighed by the share of the entity's information that it gives away:
+Patterns find the protected entities. Over all documents, a term that shares a
+text with an entity is weighed by the share of the entity's information that it gives away:
 PMI(term; entity) / IC(entity), with PMI = ln(n both / (n term * n entity)) and
 IC = ln(n / n entity), counted in documents. Terms at or above ``remove`` of it
 are removed, those at or above ``generalise`` are replaced by what kind of word
-they are. A document is changed only around entities that it holds.
+they are, wherever they stand in a text that holds the entity. A document
+without an entity is never changed.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ KINDS = ["email", "ip", "card", "phone", "remove", "generalise"]
 BASE = 4
 REMOVE, GENERALISE = 4, 5
 LABELS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]"]
-#: terms are runs of so many letters or digits
-TERM = r"[\p{L}\p{N}]{3,}+"
+#: terms are runs of letters or digits
+TERM = r"[\p{L}\p{N}]++"
 
 
 def digits(hit: Column) -> Column:
@@ -79,60 +80,45 @@ def masked(text: Column, then, patterns: tuple[str, ...] = (EMAIL, IP, PHONE, CA
     return S.let(blank(text, hits), lambda t: masked(t, then, patterns[1:]))
 
 
-def near_terms(text: Column, spans: Column, window: int) -> Column:
-    """array<struct<ent, term, start, end>>: the terms within ``window`` characters of each entity."""
-
-    def around(padded, s):
-        first = F.greatest(s["start"] - window, F.lit(-1))
-        ent = F.xxhash64(s["kind"], F.lower(F.substr(text, s["start"] + 1, s["end"] - s["start"])))
-        context = F.substr(padded, first + 2, s["end"] + window - first)
-        bound = F.struct(ent.alias("ent"), first.alias("first"), context.alias("context"))
-        # a term counts if the context shows where it starts and ends
-        whole = r"(?<=[^\p{L}\p{N}])" + TERM + r"(?=[^\p{L}\p{N}])"
-        return S.let(
-            bound,
-            lambda c: F.transform(
-                S.matches(c["context"], whole, 0),
-                lambda m: F.struct(
-                    c["ent"].alias("ent"),
-                    F.xxhash64(F.lower(F.substr(c["context"], m["start"] + 1, m["end"] - m["start"]))).alias("term"),
-                    (m["start"] + c["first"]).alias("start"),
-                    (m["end"] + c["first"]).alias("end"),
-                ),
-            ),
-        )
-
-    return masked(text, lambda t: S.let(F.concat(F.lit(" "), t, F.lit(" ")), lambda p: F.flatten(F.transform(spans, lambda s: around(p, s)))))
-
-
-def entities(docs: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
-    """doc_id, k1, k2, spans, near of every document, stored."""
+def term_hash(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
+def entities(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, k1, k2, spans, ents, terms of every document, stored.
+
+    ``ents`` and ``terms`` are the distinct hashes of a document's entities and
+    of the terms outside of them. ``masked`` is its text without entities, kept
+    where there are any.
+    """
     body = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     t = F.col("_text")
-    both = S.let(base_spans(t), lambda s: F.struct(s.alias("spans"), F.when(F.size(s) > 0, near_terms(t, s, window)).alias("near")))
-    found = body.select("doc_id", *keyed(t), both.alias("both"))
-    return stored(found.select("doc_id", "k1", "k2", "both.spans", "both.near"))
+
+    def ent(s):
+        return F.xxhash64(s["kind"], F.lower(F.substr(t, s["start"] + 1, s["end"] - s["start"])))
+
+    both = S.let(base_spans(t), lambda s: F.struct(s.alias("spans"), F.array_distinct(F.transform(s, ent)).alias("ents")))
+    words = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("masked", F.lit(TERM), F.lit(0))), term_hash))
+    found = body.select("doc_id", *keyed(t), both.alias("both"), masked(t, lambda m: m).alias("masked"))
+    kept = F.when(F.size("both.ents") > 0, F.col("masked")).alias("masked")
+    return stored(found.select("doc_id", "k1", "k2", "both.spans", "both.ents", words.alias("terms"), kept))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text: str, support: int, remove: float, generalise: float) -> DataFrame:
+def disclosing(found: DataFrame, support: int, remove: float, generalise: float) -> DataFrame:
     """(k1, k2, more): the added spans of each text that has any.
 
-    A term and an entity must meet in ``support`` different texts at least, as
-    fewer are no estimate.
+    A term and an entity meet where one text holds both, however far apart, and
+    must do so in ``support`` different texts at least, as fewer are no estimate.
     """
-    near = found.select("k1", "k2", F.explode("near").alias("x")).select("k1", "k2", "x.*")
-    met = near.groupBy("k1", "k2", "ent", "term", "start", "end").agg(F.count(F.lit(1)).alias("rows"))
-    met = stored(met)
-    # a term may meet an entity twice in a text; its rows count once
-    pairs = met.groupBy("ent", "term", "k1", "k2").agg(F.max("rows").alias("rows"))
+    # equal texts are one, with the number of their rows
+    firsts = [F.first(c).alias(c) for c in ("ents", "terms", "masked")]
+    texts = stored(found.where(F.size("ents") > 0).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows"), *firsts))
+    pairs = texts.select("rows", "terms", F.explode("ents").alias("ent")).select("rows", "ent", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("ent", "term").agg(F.sum("rows").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    pairs = stored(pairs)
-    held = met.groupBy("ent", "k1", "k2").agg(F.max("rows").alias("rows")).groupBy("ent").agg(F.sum("rows").alias("n_ent"))
-    words = F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(TERM), F.lit(0))
+    held = texts.select("rows", F.explode("ents").alias("ent")).groupBy("ent").agg(F.sum("rows").alias("n_ent"))
     # all terms are counted, and only counts are joined: how many rows pass a join
     # with the terms in question would grow faster than the corpus
-    terms = docs.select(F.explode(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("term"))
-    terms = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    terms = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     n = found.agg(F.count(F.lit(1)).alias("n_docs"))
     # one row; the join with it is no product of tables
     weighed = pairs.join(held, "ent").join(terms, "term").withColumn("n_docs", F.lit(n.first()["n_docs"]))
@@ -140,20 +126,26 @@ def disclosing(docs: DataFrame, found: DataFrame, text: str, support: int, remov
     share = F.when(F.col("n_ent") < F.col("n_docs"), share).otherwise(0.0)
     level = F.when(share >= remove, REMOVE).when(share >= generalise, GENERALISE)
     flagged = cut_lineage(weighed.select("ent", "term", level.alias("kind")).where("kind IS NOT NULL"))
-    more = met.join(flagged, ["ent", "term"]).groupBy("k1", "k2", "start", "end").agg(F.min("kind").alias("kind"))
+    said = texts.select("k1", "k2", "terms", F.explode("ents").alias("ent")).select("k1", "k2", "ent", F.explode("terms").alias("term"))
+    hits = stored(said.join(flagged, ["ent", "term"]).groupBy("k1", "k2", "term").agg(F.min("kind").alias("kind")))
+    # each place of a flagged term in the whole text
+    words = F.regexp_extract_all("masked", F.lit(TERM), F.lit(0))
+    place = F.zip_with(S.matches(F.col("masked"), TERM, 0), words, lambda m, w: F.struct(term_hash(w).alias("term"), m["start"].alias("start"), m["end"].alias("end")))
+    places = texts.join(hits.select("k1", "k2").distinct(), ["k1", "k2"]).select("k1", "k2", F.explode(place).alias("x")).select("k1", "k2", "x.*")
     span = F.struct(F.col("start"), F.col("kind"), F.col("end"))
-    return stored(more.groupBy("k1", "k2").agg(F.collect_list(span).cast(f"array<{S.SPAN}>").alias("more")))
+    more = places.join(hits, ["k1", "k2", "term"]).groupBy("k1", "k2").agg(F.collect_list(span).cast(f"array<{S.SPAN}>").alias("more"))
+    return stored(more)
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 60, support: int = 3, remove: float = 0.9, generalise: float = 0.75) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = 3, remove: float = 0.9, generalise: float = 0.75) -> DataFrame:
     """doc_id and ``spans`` array<struct<start, kind, end>> of every document.
 
     ``kind`` is the place in KINDS, places count code points. Null texts count
     as empty, repeated rows each get their spans. Other columns are dropped; no
     rows give none.
     """
-    found = entities(docs, doc_id, text, window)
-    more = disclosing(docs, found, text, support, remove, generalise)
+    found = entities(docs, doc_id, text)
+    more = disclosing(found, support, remove, generalise)
     done = found.select("doc_id", "k1", "k2", "spans").join(more, ["k1", "k2"], "left")
     return done.select("doc_id", F.array_sort(F.concat("spans", F.coalesce("more", S.no_spans()))).alias("spans"))
 
@@ -177,10 +169,10 @@ def replaced(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
-def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 60, support: int = 3, remove: float = 0.9, generalise: float = 0.75) -> DataFrame:
+def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = 3, remove: float = 0.9, generalise: float = 0.75) -> DataFrame:
     """``docs`` with entities and disclosing terms of ``text`` replaced; all rows and columns stay."""
-    found = entities(docs, doc_id, text, window)
-    more = disclosing(docs, found, text, support, remove, generalise).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "more": "_more"})
+    found = entities(docs, doc_id, text)
+    more = disclosing(found, support, remove, generalise).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "more": "_more"})
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     k1, k2 = keyed(body)
     joined = docs.withColumn("_h1", k1).withColumn("_h2", k2)

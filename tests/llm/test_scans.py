@@ -125,6 +125,21 @@ def test_sanitise(disclosed):
             assert got[r["doc_id"]] == r["text"]
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    """Far from the address, again after that, and short: all places in its texts, none elsewhere."""
+    pad = " common words" * 20
+    rows = [(i, f"Zanzibar Bo{pad} mail ann@corp.example{pad} zanzibar bo{pad} Zanzibar") for i in range(4)]
+    rows += [(100 + i, f"plain document {i} with mail{pad}") for i in range(300)] + [(900, "zanzibar alone")]
+    docs = spark.createDataFrame([(i, f"{t} q{i}x") for i, t in rows], "doc_id long, text string")
+    texts = dict((r["doc_id"], r["text"]) for r in docs.collect())
+    for r in pii.scan(docs).collect():
+        t = texts[r["doc_id"]]
+        got = sorted((s["start"], s["end"]) for s in r["spans"] if s["kind"] == pii.REMOVE)
+        assert got == ([m.span() for m in re.finditer("zanzibar|bo", t.lower())] if r["doc_id"] < 100 else [])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all("anzibar" not in clean[i] and clean[i].count("common") == 60 for i in range(4)) and clean[900] == texts[900]
+
+
 def test_overlapping_spans_become_one(spark):
     text = "call +4222222222222 or 10.0.0.1 or x@10.0.0.2 end"
     df = spark.createDataFrame([(text,)], "t string")
