@@ -6,7 +6,9 @@ PMI(term; entity) / IC(entity), with PMI = ln(n both / (n term * n entity)) and
 IC = ln(n / n entity), counted in documents. Terms at or above ``remove`` of it
 are removed, those at or above ``generalise`` are replaced by what kind of word
 they are, wherever they stand in a text that holds the entity. A document
-without an entity is never changed.
+without an entity is never changed. An entity in too few texts for an estimate
+is weighed as its class (domain of the address, first digits of the number), or
+as its kind if its class is in too few as well.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ KINDS = ["email", "ip", "card", "phone", "remove", "generalise"]
 BASE = 4
 REMOVE, GENERALISE = 4, 5
 LABELS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]"]
+#: digits that make the class of a card, its issuer, and of a phone, country and area
+CARD_PREFIX, PHONE_PREFIX = 6, 5
 #: terms are runs of letters or digits
 TERM = r"[\p{L}\p{N}]++"
 
@@ -84,18 +88,30 @@ def term_hash(word: Column) -> Column:
     return F.xxhash64(F.lower(word))
 
 
+def class_of(kind: Column, hit: Column) -> Column:
+    """What an entity has in common with others: mail domain, first two parts of an IP, first digits."""
+    return (
+        F.when(kind == 0, F.substring_index(hit, "@", -1))
+        .when(kind == 1, F.substring_index(hit, ".", 2))
+        .when(kind == 2, F.substring(digits(hit), 1, CARD_PREFIX))
+        .otherwise(F.substring(digits(hit), 1, PHONE_PREFIX))
+    )
+
+
 def entities(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, k1, k2, spans, ents, terms of every document, stored.
 
-    ``ents`` and ``terms`` are the distinct hashes of a document's entities and
-    of the terms outside of them. ``masked`` is its text without entities, kept
+    ``ents`` holds the distinct entities of a document as hashes of value, class
+    and kind, ``terms`` the distinct hashes of the terms outside of them. ``masked`` is its text without entities, kept
     where there are any.
     """
     body = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     t = F.col("_text")
 
     def ent(s):
-        return F.xxhash64(s["kind"], F.lower(F.substr(t, s["start"] + 1, s["end"] - s["start"])))
+        hit = F.lower(F.substr(t, s["start"] + 1, s["end"] - s["start"]))
+        levels = [F.xxhash64(F.lit(0), s["kind"], hit), F.xxhash64(F.lit(1), s["kind"], class_of(s["kind"], hit)), F.xxhash64(F.lit(2), s["kind"])]
+        return F.struct(*[x.alias(c) for x, c in zip(levels, ("value", "class", "kind"))])
 
     both = S.let(base_spans(t), lambda s: F.struct(s.alias("spans"), F.array_distinct(F.transform(s, ent)).alias("ents")))
     words = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("masked", F.lit(TERM), F.lit(0))), term_hash))
@@ -109,13 +125,25 @@ def disclosing(found: DataFrame, support: int, remove: float, generalise: float)
 
     A term and an entity meet where one text holds both, however far apart, and
     must do so in ``support`` different texts at least, as fewer are no estimate.
+    An entity is weighed at the narrowest level, value, class or kind, that
+    stands in so many texts.
     """
     # equal texts are one, with the number of their rows
     firsts = [F.first(c).alias(c) for c in ("ents", "terms", "masked")]
     texts = stored(found.where(F.size("ents") > 0).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows"), *firsts))
-    pairs = texts.select("rows", "terms", F.explode("ents").alias("ent")).select("rows", "ent", F.explode("terms").alias("term"))
+    levels = F.array_distinct(F.flatten(F.transform("ents", lambda e: F.array(e["value"], e["class"], e["kind"]))))
+    held = texts.select("rows", F.explode(levels).alias("ent")).groupBy("ent")
+    held = stored(held.agg(F.sum("rows").alias("n_ent"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).drop("texts"))
+    # a kind needs no look-up here: one in too few texts meets no term often enough
+    ents = texts.select("k1", "k2", F.inline("ents"))
+    for c in ("value", "class"):
+        ents = ents.join(held.select(F.col("ent").alias(c), F.col("ent").alias(f"_{c}")), c, "left")
+    met = F.array_compact(F.array("_value", "_class", "kind"))
+    used = ents.groupBy("k1", "k2").agg(F.collect_set(met).alias("met"), F.collect_set(met[0]).alias("ents"))
+    texts = stored(texts.drop("ents").join(used, ["k1", "k2"]).withColumn("met", F.array_distinct(F.flatten("met"))))
+    # a level is counted in all texts that hold it, and applied where it is the narrowest
+    pairs = texts.select("rows", "terms", F.explode("met").alias("ent")).select("rows", "ent", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("ent", "term").agg(F.sum("rows").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    held = texts.select("rows", F.explode("ents").alias("ent")).groupBy("ent").agg(F.sum("rows").alias("n_ent"))
     # all terms are counted, and only counts are joined: how many rows pass a join
     # with the terms in question would grow faster than the corpus
     terms = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))

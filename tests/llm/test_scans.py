@@ -140,6 +140,20 @@ def test_disclosing_terms_far_from_the_entity(spark):
     assert all("anzibar" not in clean[i] and clean[i].count("common") == 60 for i in range(4)) and clean[900] == texts[900]
 
 
+def test_terms_of_an_entity_class(spark):
+    """Each address is in one text: its domain is weighed; a lone domain falls back to the kind, which 'ward' does not give away."""
+    rows = [(i, f"zanzibar ward p{i}x@corp.example") for i in range(4)]
+    rows += [(10 + i, f"ward p@d{i}x.example") for i in range(4)]
+    rows += [(50, "zanzibar yankee lone@else.example")]
+    rows += [(100 + i, f"plain document {i} ward") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in pii.scan(docs).collect():
+        got[r["doc_id"]] = {(pii.KINDS[s["kind"]], dict(rows)[r["doc_id"]][s["start"] : s["end"]]) for s in r["spans"] if s["kind"] >= pii.BASE}
+    assert all(got[i] == {("remove", "zanzibar")} for i in range(4))
+    assert all(not got[10 + i] for i in range(4)) and all(not v for i, v in got.items() if i >= 100)
+
+
 def test_overlapping_spans_become_one(spark):
     text = "call +4222222222222 or 10.0.0.1 or x@10.0.0.2 end"
     df = spark.createDataFrame([(text,)], "t string")
