@@ -293,25 +293,91 @@ def unexpected_labels(labels: DataFrame, key: str, label: str, expected: DataFra
     return labels.select(key, label).distinct().join(expected, key).where(F.col(label) != F.col("expected"))
 
 
-def bootstrap_waves(traces: DataFrame, by: Sequence[str], ident: str, *, n_boot: int, seed: int, cell: Column) -> DataFrame:
+#: replicates that one task of the bootstrap draws
+REPLICATES = 100
+
+
+def _draws(seed: Sequence[int], n: int, lo: int, hi: int, block: int, reps: int) -> np.ndarray:
+    """How often each of the rows lo..hi of n is drawn in each replicate of n draws.
+
+    The draws are split over halves of the rows by seeded binomials down to the
+    block, so that tasks agree on them without exchanging any.
+    """
+    first, last, count = 0, n, np.full(reps, n)
+    while (first, last) != (lo, hi):
+        mid = first + block * (-(-(last - first) // block) // 2)
+        left = np.random.default_rng([*seed, first, last]).binomial(count, (mid - first) / (last - first))
+        first, last, count = (first, mid, left) if lo < mid else (mid, last, count - left)
+    at = np.random.default_rng([*seed, lo, hi]).integers(0, hi - lo, count.sum())
+    at += np.repeat(np.arange(reps), count) * (hi - lo)
+    return np.bincount(at, minlength=reps * (hi - lo)).reshape(reps, hi - lo)
+
+
+def bootstrap_waves(
+    traces: DataFrame, by: Sequence[str], ident: str, *, n_boot: int, seed: int, cell: Column, block: int = 2048
+) -> DataFrame:
     """Pointwise mean, SD and 2.5/50/97.5 percentiles of the first component over
     resamples with replacement.
 
-    Draw j of replicate b takes the trace whose number is a seeded hash of (b, j)
-    modulo the group size. Draws are counted per trace first; a trace drawn c
-    times enters once with weight c.
+    A task takes ``block`` traces and some replicates, draws how often each trace
+    occurs, and weighs the traces' products with that; replicates of a group of
+    more blocks add up their products in two rounds.
     """
     by = list(by)
     n = traces.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     numbered = ordered_scan(traces.select(*by, ident, "wave"), by, [ident], row_no="_k", cell=cell).join(n, by)
-    b = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
-    # row k stands for draw number k-1 of every replicate
-    draws = numbered.select(*by, "_n", "_k", b.alias("rep")).select(
-        *by, "rep", (F.pmod(F.xxhash64(*by, "rep", "_k", F.lit(seed)), F.col("_n")) + 1).alias("_k")
+    batch = F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // REPLICATES)))
+    at = numbered.select(
+        *by, "_n", "_k", "wave", F.floor((F.col("_k") - 1) / block).cast("bigint").alias("_block"), F.xxhash64(*by).alias("_h"), batch.alias("_batch")
     )
-    w = draws.groupBy(*by, "rep", "_k").agg(F.count(F.lit(1)).alias("_w"))
-    drawn = w.join(numbered.select(*by, "_k", "wave"), [*by, "_k"])
-    reps = pca_wave(drawn, [*by, "rep"], weight="_w", salts=1)
+    schema = T.StructType(
+        [at.schema[c] for c in [*by, "_n", "_batch", "_block"]]
+        + [T.StructField("rep", T.LongType())]
+        + [T.StructField(c, DOUBLES) for c in ("_total", "_products", "wave")]
+    )
+    names = [f.name for f in schema]
+
+    def whole(total: np.ndarray, products: np.ndarray, n: int) -> np.ndarray:
+        upper = np.triu_indices(len(total))
+        gram = np.zeros((len(total), len(total)))
+        gram[upper] = products
+        return N.first_component(gram + np.triu(gram, 1).T, total / n)
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_k")
+        x = np.stack(pdf["wave"].to_numpy())
+        head = pdf.iloc[0]
+        size, number, lo = int(head["_n"]), int(head["_batch"]), int(head["_block"]) * block
+        first = number * REPLICATES
+        reps = min(REPLICATES, n_boot - first)
+        key = [seed, int(head["_h"]) % 2**64, number]
+        w = _draws(key, size, lo, lo + len(x), block, reps).astype(float)
+        i, j = np.triu_indices(x.shape[1])
+        totals, products = w @ x, w @ (x[:, i] * x[:, j])
+        fixed = tuple(head[c] for c in [*by, "_n", "_batch", "_block"])
+        if len(x) == size:
+            rows = [(*fixed, first + r, None, None, whole(totals[r], products[r], size).tolist()) for r in range(reps)]
+        else:
+            rows = [(*fixed, first + r, totals[r].tolist(), products[r].tolist(), None) for r in range(reps)]
+        return pd.DataFrame(rows, columns=names)
+
+    def merge(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
+        if pdf["wave"].notna().all():
+            return pdf[names]
+        rows = []
+        for rep, g in pdf.groupby("rep"):
+            total, products = (np.sum(np.stack(g[c].to_numpy()), axis=0) for c in ("_total", "_products"))
+            fixed = tuple(g[c].iloc[0] for c in [*by, "_n", "_batch", "_block"])
+            if last:
+                rows.append((*fixed, rep, None, None, whole(total, products, int(g["_n"].iloc[0])).tolist()))
+            else:
+                rows.append((*fixed, rep, total.tolist(), products.tolist(), None))
+        return pd.DataFrame(rows, columns=names)
+
+    parts = at.groupBy(*by, "_batch", "_block").applyInPandas(draw, schema)
+    salt = F.pmod(F.col("_block"), F.ceil(F.sqrt(F.col("_n") / block)).cast("bigint"))
+    parts = parts.withColumn("_salt", salt).groupBy(*by, "_batch", "_salt").applyInPandas(lambda p: merge(p, False), schema)
+    reps = parts.groupBy(*by, "_batch").applyInPandas(lambda p: merge(p, True), schema)
     long = reps.select(*by, F.posexplode("wave").alias("idx", "_v"))
     # one value per replicate: the groups are as large as n_boot
     g = long.groupBy(*by, "idx").agg(

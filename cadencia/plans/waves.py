@@ -344,6 +344,6 @@ def loo_outliers(spark, d):
 @query("bootstrap")
 def bootstrap(spark, d):
     cell = F.floor(F.col("sample_id") / 100_000).cast("bigint")
-    b = V.bootstrap_waves(A.waves(spark, d), ["label"], "sample_id", n_boot=20, seed=1, cell=cell)
+    b = V.bootstrap_waves(A.waves(spark, d), ["label"], "sample_id", n_boot=10_000, seed=1, cell=cell)
     p = b.select("label", F.posexplode(F.arrays_zip("mean", "sd", "p2_5", "p50", "p97_5")).alias("idx", "z"))
     return p.select("label", n64("idx").alias("idx"), *[r6(f"z.{c}").alias(c) for c in ("mean", "sd", "p2_5", "p50", "p97_5")])

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cadencia import adapters as A
 from cadencia.functions import arrays as X
 from cadencia.functions import kernels as N
 from cadencia.operators import cluster as C
@@ -11,6 +12,7 @@ from cadencia.operators import pairwise as P
 from cadencia.operators import repair as R
 from cadencia.operators import signal as S
 from cadencia.operators import waves as V
+from cadencia.plans import QUERIES
 
 
 def frame(spark, rows, cols="sample_id long, label int, wave array<double>"):
@@ -132,6 +134,24 @@ def test_bootstrap_brackets_the_trace(spark, planted):
     assert np.allclose(again.where("label = 0").first().mean, r.mean)
 
 
+def test_bootstrap_query_runs_the_replicates_of_the_original(spark):
+    """Limits of the query, and of blocks of 7 traces, against a plain bootstrap."""
+    d = "/root/testdata/sf0.001"
+    w = A.waves(spark, d).where("label = 'm0'")
+    x = np.stack([r.wave for r in w.select("wave").collect()])
+    rng = np.random.default_rng(5)
+    plain = []
+    for _ in range(4000):
+        y = x[rng.integers(0, len(x), len(x))]
+        plain.append(N.first_component(y.T @ y, y.mean(axis=0)))
+    plain = np.array(plain)
+    got = {r.idx: r for r in QUERIES["bootstrap"](spark, d).where("label = 'm0'").collect()}
+    small = V.bootstrap_waves(w, ["label"], "sample_id", n_boot=4000, seed=2, cell=F.lit(0).cast("bigint"), block=7).first()
+    for name, q in (("p2_5", 2.5), ("p97_5", 97.5)):
+        off = np.array([[got[i][name], small[name][i]] for i in range(x.shape[1])]) - np.percentile(plain, q, axis=0)[:, None]
+        assert (np.abs(off) < 0.25 * plain.std(axis=0)[:, None]).all()
+
+
 def test_ramps_differ_at_both_ends(spark):
     rng = np.random.default_rng(0)
     t = np.linspace(0, 1, 101)
