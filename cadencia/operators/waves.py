@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import arrays as X
 from ..functions import kernels as N
+from ..session import cut_lineage
 from .ordered import exact_quantiles, ordered_scan, value_cells
 from .rows import DOUBLES, row_kernel, struct_kernel
 
@@ -273,6 +274,32 @@ def early_late(waves: DataFrame, by: Sequence[str], order: str, *, max_lag: int,
     return x.select(*by, F.col("_x.corr").alias("early_late_corr"), F.col("_x.lag").alias("early_late_lag"))
 
 
+def homogeneity(
+    waves: DataFrame, by: Sequence[str], order: str, *, max_lag: int, cell: Column, min_cycles: int = 3
+) -> tuple[DataFrame, DataFrame]:
+    """Traces without outlier waves, and the statistics of what is left around them.
+
+    Waves below the 2.5 % quantile of all correlations to the first traces are
+    left out and the traces taken again. A group is flagged when its halves agree
+    less than that quantile; not if fewer than ``min_cycles`` waves reach it.
+    """
+    by = list(by)
+    first = cut_lineage(compare_to_trace(waves, pca_wave(waves, by), by, max_lag=max_lag))
+    limit = quantile_threshold(first, "corr").select(F.col("threshold").alias("within_corr_low"))
+    marked = cut_lineage(outlier_waves(first, by, min_cycles=min_cycles).withColumn("_limit", limit.scalar()))
+    high = ~F.coalesce(F.col("corr") < F.col("_limit"), F.lit(False))
+    counts = marked.groupBy(*by).agg(
+        F.count_if("outlier").alias("n_outliers"), F.count_if(high).alias("_high"), F.max("_limit").alias("within_corr_low")
+    )
+    kept = marked.where(~F.col("outlier")).select(*waves.columns)
+    traces = cut_lineage(pca_wave(kept, by).select(*by, "wave"))
+    stats = within_stats(cut_lineage(compare_to_trace(kept, traces, by, max_lag=max_lag)), by)
+    halves = early_late(kept, by, order, max_lag=max_lag, cell=cell)
+    apart = F.coalesce(F.col("early_late_corr") < F.col("within_corr_low"), F.lit(False)) & (F.col("_high") >= min_cycles)
+    stats = stats.join(counts, by).join(halves, by, "left").withColumn("homogeneity_flag", apart).drop("_high")
+    return traces, stats
+
+
 def snr_by_channel(waves: DataFrame, file: Sequence[str], channel: Sequence[str]) -> DataFrame:
     """Median signal-to-noise per file, then the median of the files."""
     s = waves.select(*dict.fromkeys([*file, *channel]), X.snr("wave").alias("_s"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..operators import repair as R
 from ..operators import waves as V
+from ..operators.signal import robust_amplitude_norm
 from ..session import cut_lineage
 from .registry import WAVES, query, r6, r6s
 
@@ -155,17 +156,16 @@ def flip_summary(spark, d):
 @query("validate_channels")
 def validate_channels(spark, d):
     w = A.waves(spark, d).withColumnRenamed("subject", "sid")
-    traces = cut_lineage(V.pca_wave(w, ["sid", "label"]).select("sid", "label", "wave"))
+    cell = F.floor(F.col("sample_id") / 100_000).cast("bigint")
+    normed = robust_amplitude_norm(w.select("sid", "label", "sample_id", "wave"), ["sid", "label"]).drop("amplitude")
+    traces, stats = V.homogeneity(normed, ["sid", "label"], "sample_id", max_lag=LAG, cell=cell)
+    stats = stats.select("sid", "label", "corr_med", "lag_abs_med_lim", "within_corr_low", "homogeneity_flag")
     g = cut_lineage(V.global_waves(traces, "label").select("label", "wave"))
-    cmp_ = cut_lineage(V.compare_to_trace(w.select("sid", "label", "sample_id", "wave"), traces, ["sid", "label"], max_lag=LAG))
-    stats = V.within_stats(cmp_, ["sid", "label"]).select("sid", "label", "corr_med", "lag_abs_med_lim")
-    low = V.quantile_threshold(cmp_, "corr").scalar()
     snr = V.snr_by_channel(w, ["side"], ["sid", "label"])
     full = traces.join(g.withColumnRenamed("wave", "_g"), "label").withColumn("_x", V.xcorr_best("wave", "_g"))
     full = full.select("sid", "label", F.col("_x.corr").alias("corr"), F.col("_x.lag").alias("lag"))
     base = R.compare_to_global(traces, g, max_lag=LAG).drop("wave")
     s = full.join(base, ["sid", "label"]).join(stats, ["sid", "label"], "left").join(snr, ["sid", "label"], "left")
-    s = s.withColumns({"within_corr_low": low, "homogeneity_flag": F.lit(False)})
     return R.validate_channels(cut_lineage(s), within_lag_max=LAG)
 
 

@@ -126,6 +126,28 @@ def test_leave_one_out(spark, planted):
         assert np.allclose(g.loo_wave, want) and g.mad == pytest.approx(N.mad_rows(w, want[None])[0])
 
 
+def test_channels_that_change_halfway_are_not_validated(spark, monkeypatch):
+    """One channel changes its shape after half of its waves, another holds one reversed wave."""
+    rng = np.random.default_rng(2)
+    t = np.linspace(0, 2 * np.pi, 64)
+    rows = []
+    for sid in range(6):
+        for label in ("m0", "m1"):
+            for k in range(20):
+                shape = np.cos(9 * t) if (sid, label) == (2, "m1") and k >= 10 else np.sin(t)
+                shape = -shape if (sid, label, k) == (1, "m0", 7) else shape
+                rows.append((len(rows), sid, "L", label, 0, [float(x) for x in 2 + shape + 0.1 * rng.normal(size=64)]))
+    w = spark.createDataFrame(rows, "sample_id long, subject long, side string, label string, cluster int, wave array<double>")
+    cell = F.lit(0).cast("bigint")
+    _, stats = V.homogeneity(w, ["subject", "label"], "sample_id", max_lag=3, cell=cell)
+    got = {(r.subject, r.label): r for r in stats.collect()}
+    assert [k for k, r in got.items() if r.homogeneity_flag] == [(2, "m1")]
+    assert got[1, "m0"].n_outliers == 1 and got[1, "m0"].n_cycles == 19
+    monkeypatch.setattr(A, "waves", lambda *_: w)
+    done = {(r.sid, r.label): r for r in QUERIES["validate_channels"](spark, "").collect()}
+    assert [k for k, r in done.items() if "homogeneity" in r.reasons] == [(2, "m1")]
+
+
 def test_bootstrap_brackets_the_trace(spark, planted):
     b = V.bootstrap_waves(frame(spark, planted), ["label"], "sample_id", n_boot=30, seed=3, cell=F.lit(0).cast("bigint"))
     r = b.where("label = 0").first()
