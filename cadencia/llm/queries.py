@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, exact_topk, langid, minhash, packing, pii, quality, secret_scan, sharding, spans, tokens
+from . import ann, exact_topk, langid, minhash, packing, pii, quality, secret_scan, sharding, spans, tokens, vector_codes
 from .registry import query, table
 
 
@@ -105,3 +105,9 @@ def op10_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", "p_text", "p_page", "quality_score", "keep")
+
+
+@query("op12_vector_codes", vector_codes.compress_sql())
+def op12_vector_codes(spark, sf_dir):
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
