@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, exact_topk, langid, minhash, packing, pii, quality, secret_scan, sharding, spans, tokens, vector_codes
+from . import ann, exact_topk, langid, minhash, packing, pii, quality, repair_turns, secret_scan, sharding, spans, tokens, vector_codes
 from .registry import query, table
 
 
@@ -111,3 +111,8 @@ def op10_quality(spark, sf_dir):
 def op12_vector_codes(spark, sf_dir):
     coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return coded.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+@query("op13_repair_turns", repair_turns.repaired_sql())
+def op13_repair_turns(spark, sf_dir):
+    return repair_turns.repaired(table(spark, sf_dir, "conversations"))
