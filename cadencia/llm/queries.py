@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, exact_topk, langid, minhash, packing, pii, quality, repair_turns, secret_scan, sharding, spans, tokens, vector_codes
+from . import ann, exact_topk, langid, main_text, minhash, packing, pii, quality, repair_turns, secret_scan, sharding, spans, tokens, vector_codes
 from .registry import query, table
 
 
@@ -116,3 +116,9 @@ def op12_vector_codes(spark, sf_dir):
 @query("op13_repair_turns", repair_turns.repaired_sql())
 def op13_repair_turns(spark, sf_dir):
     return repair_turns.repaired(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_main_text")
+def op11_main_text(spark, sf_dir):
+    found = main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
