@@ -50,6 +50,23 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hashed_into(key: str, share: float, salt: int) -> Column:
+    """Whether a 63-bit hash of ``key`` falls into ``share`` of its range, however small the share."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), key), 1) < F.lit(min(int(share * 2.0**63), (1 << 63) - 1))
+
+
+def unused(taken: list[str], name: str) -> str:
+    """``name`` with as many underscores as make it differ from the columns ``taken``, in any case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def concatenated(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def hex_number(text: Column, digits: int) -> Column:
     """The first hex digits (13 at most) of the MD5 of ``text`` as a long."""
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")

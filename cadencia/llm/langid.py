@@ -8,16 +8,16 @@ language of most letters is the text's.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import words as W
-from .common import slices
+from .common import concatenated, hashed_into, slices, unused
 from .minhash import GOLDEN, mix
 
 #: trigrams are counted in so many buckets
@@ -68,15 +68,20 @@ def in_training(doc_id: str) -> Column:
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = 100_000) -> Model:
     """The model of documents with a language whose id hashes into the training part.
 
-    Of these, ``most`` in expectation are used, by a hash of the id; their
-    whole texts are counted. Counts are summed in Spark, and at most
-    ``BUCKETS`` and the script ranges per language reach the driver.
+    Of these, ``most`` in expectation are used, an equal number of each language
+    that has as many, all of a rarer one, by a hash of the id; their whole texts
+    are counted. Counts are summed in Spark, and at most ``BUCKETS`` and the
+    script ranges per language reach the driver.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & in_training(doc_id))
-    n = known.select(doc_id).count()
-    share = min(1.0, most / max(n, 1))
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64(F.lit(5), doc_id), F.lit(1_000_000)) < int(share * 1_000_000))
+    sizes = {r["_lang"]: r["_n"] for r in known.groupBy(F.col(lang).cast("string").alias("_lang")).agg(F.count(F.lit(1)).alias("_n")).collect()}
+    each = most / max(len(sizes), 1)
+    common = {name: each / n for name, n in sizes.items() if n > each}
+    if common:
+        taken = F.lit(True)
+        for name, share in common.items():
+            taken = F.when(F.col(lang).cast("string") == name, hashed_into(doc_id, share, 5)).otherwise(taken)
+        known = known.where(taken)
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -157,11 +162,20 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     stay; columns named like the new ones are replaced.
     """
     docs = docs.drop(*[c for c in ("lang_pred", "score", "spans") if c != text])
-    kept = docs.sparkSession.sparkContext.broadcast(tuple(model))  # BUCKETS x languages numbers
-    span = T.StructType([T.StructField("word", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("lang", T.StringType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
-    where = docs.columns.index(text)
+    found = unused(docs.columns, "_found")
+    with_found = docs.withColumn(found, labeller(docs.sparkSession, model)(F.col(text).cast("string")))
+    return with_found.select(*docs.columns, *[F.col(f"{found}.{c}").alias(c) for c in ("lang_pred", "score", "spans")])
+
+
+def labeller(spark: SparkSession, model: Model):
+    """A function of a text column that gives struct<lang_pred, score, spans>.
+
+    Only texts go to Python, and only once: it counts as non-deterministic, so
+    that a filter on its result is not answered by running it a second time.
+    """
+    kept = spark.sparkContext.broadcast(tuple(model))  # BUCKETS x languages numbers
     arrow_span = pa.struct([("word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())])
+    arrow_found = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(arrow_span))])
 
     def label(texts):
         names, table, uses = kept.value
@@ -192,16 +206,25 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         edges = np.searchsorted(owner[first], np.arange(n + 1)).astype(np.int32)
         return pred, score, pa.ListArray.from_arrays(pa.array(edges), runs)
 
-    def run(batches):
-        for b in (part for whole in batches for part in slices(whole, where, 2 << 20)):
-            pred, score, spans = label(b.column(where).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), spans], names=[*b.schema.names, "lang_pred", "score", "spans"])
+    @F.arrow_udf("struct<lang_pred:string,score:double,spans:array<struct<word:int,words:int,lang:string>>>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = []
+            for b in slices(pa.RecordBatch.from_arrays([texts], ["t"]), 0):
+                pred, score, spans = label(b.column(0).to_pylist())
+                parts.append(pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), spans], fields=list(arrow_found)))
+            yield concatenated(parts, arrow_found)
 
-    return docs.mapInArrow(run, schema)
+    return found.asNondeterministic()
 
 
 def accepted(docs: DataFrame, least: float = 1 / 3) -> DataFrame:
-    """The documents whose text has a language, one of at least ``least`` of its letters; columns stay."""
-    own = {c: f"_own_{c}" for c in docs.columns if c in ("lang_pred", "score", "spans")}
-    found = predict(docs.withColumnsRenamed(own), learn(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return found.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+    """The documents whose text has a language, one of at least ``least`` of its letters.
+
+    Null and empty texts and those without letters are rejected, repeated rows
+    are each judged alike, an empty table stays empty; all columns and their
+    values stay as they are, whatever their names.
+    """
+    found = unused(docs.columns, "_found")
+    judged = docs.withColumn(found, labeller(docs.sparkSession, learn(docs))(F.col("text").cast("string")))
+    return judged.where((F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.score") >= least)).select(*docs.columns)
