@@ -305,10 +305,11 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "
     bare = found.where("n = 0").select("doc_id", "k1", "k2").distinct()
     one = one.union(bare).toDF("_id", "_o1", "_o2")
     k1, k2 = keyed(F.col(text).cast("string"))
-    keyed_docs = docs.withColumn("_k1", k1).withColumn("_k2", k2)
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_k1") == F.col("_o1")) & (F.col("_k2") == F.col("_o2"))
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")  # apart from the columns added here
+    keyed_docs = docs.select(own, F.col(doc_id).alias("_doc"), k1.alias("_k1"), k2.alias("_k2"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_k1") == F.col("_o1")) & (F.col("_k2") == F.col("_o2"))
     kept = keyed_docs.join(one, same, "left_semi")
     if not repeated.isEmpty():
-        wordless = ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-        kept = kept.where(wordless).union(kept.where(~wordless).dropDuplicates([doc_id, "_k1", "_k2"]))
-    return kept.select(*docs.columns)
+        wordless = ~F.coalesce(F.col("_row").getField(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        kept = kept.where(wordless).union(kept.where(~wordless).dropDuplicates(["_doc", "_k1", "_k2"]))
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -148,7 +148,6 @@ def disclosing(found: DataFrame, support: int, remove: float, generalise: float)
     # with the terms in question would grow faster than the corpus
     terms = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     n = found.agg(F.count(F.lit(1)).alias("n_docs"))
-    # one row; the join with it is no product of tables
     weighed = pairs.join(held, "ent").join(terms, "term").withColumn("n_docs", F.lit(n.first()["n_docs"]))
     share = F.log(F.col("both") * F.col("n_docs") / (F.col("n_term") * F.col("n_ent"))) / F.log(F.col("n_docs") / F.col("n_ent"))
     share = F.when(F.col("n_ent") < F.col("n_docs"), share).otherwise(0.0)
@@ -198,13 +197,18 @@ def replaced(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = 3, remove: float = 0.9, generalise: float = 0.75) -> DataFrame:
-    """``docs`` with entities and disclosing terms of ``text`` replaced; all rows and columns stay."""
+    """``docs`` with entities and disclosing terms of ``text`` replaced.
+
+    All rows stay, and so do the other columns and their values, whatever their
+    names. Null texts stay null, empty ones empty; repeated rows count as many
+    times and are changed alike; an empty table stays empty.
+    """
     found = entities(docs, doc_id, text)
     more = disclosing(found, support, remove, generalise).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "more": "_more"})
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    k1, k2 = keyed(body)
-    joined = docs.withColumn("_h1", k1).withColumn("_h2", k2)
-    joined = joined.join(more, (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")), "left")
-    every = F.concat(base_spans(body), F.coalesce("_more", S.no_spans()))
-    clean = S.let(every, lambda spans: replaced(F.col(text), spans))
-    return joined.withColumn(text, clean).select(*docs.columns)
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")  # apart from the columns added here
+    k1, k2 = keyed(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    joined = docs.select(own, k1.alias("_h1"), k2.alias("_h2")).join(more, (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")), "left")
+    given = F.col("_row").getField(text).cast("string")
+    every = F.concat(base_spans(F.coalesce(given, F.lit(""))), F.coalesce("_more", S.no_spans()))
+    clean = S.let(every, lambda spans: replaced(given, spans))
+    return joined.select(*[(clean if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns])
