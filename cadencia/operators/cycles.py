@@ -65,82 +65,79 @@ def extract_cycles(
 
     ``contra_off``/``contra_strike`` are (pattern, expected label): the event
     before the central one / after the start one that contains the pattern is
-    reported when it is the expected one, the strike only inside the cycle.
+    reported when it is the expected one, the strike only inside the cycle; its
+    place in the cycle is given in per cent. All definitions are found in one scan.
     """
     keys, order = list(keys), list(order)
-    cell = time_cell("t", cell_width)
-    out = None
-    for name, labels in definitions.items():
-        start, end = labels[0], labels[-1]
-        central = labels[1] if len(labels) == 3 else None
-        here = F.struct(F.col("t").alias("t"))
-        prevs, nexts = {}, {"_end": F.when(F.col("label") == end, here)}
-        if contra_off:
-            prevs["_off"] = F.when(
-                F.col("label").contains(contra_off[0]), F.struct("label", F.col("t").alias("t"))
-            )
-        if contra_strike:
-            nexts["_strike"] = F.when(
-                F.col("label").contains(contra_strike[0]), F.struct("label", F.col("t").alias("t"))
-            )
-        wanted = {start, end, *([central] if central else [])}
-        keep = F.col("label").isin(*wanted)
-        for c in (contra_off, contra_strike):
-            if c:
-                keep = keep | F.col("label").contains(c[0])
-        chained = {}
-        if central:
-            links = ["_end", "_off"] if contra_off else ["_end"]
-            chained["_mid"] = (F.when(F.col("label") == central, F.col("t")), links)
-        ev = ordered_scan(
-            events.where(keep),
-            keys,
-            order,
-            prevs=prevs,
-            nexts=nexts,
-            chained=chained,
-            # a start with an end makes every earlier start complete as well, so
-            # the number of a cycle is the number of its start
-            totals={"_starts": F.when(F.col("label") == start, F.lit(1).cast("bigint")).otherwise(0)},
-            cell=cell,
-        )
-        if central:
-            t_end, t_central = F.col("_mid._end.t"), F.col("_mid.at")
-        else:
-            t_end, t_central = F.col("_end.t"), F.lit(None).cast("double")
-        cyc = ev.where((F.col("label") == start) & t_end.isNotNull()).withColumns(
-            {"t_start": F.col("t"), "t_central": t_central, "t_end": t_end}
-        )
-        extra = []
-        dur = F.col("t_end") - F.col("t_start")
-        if contra_off and central:
-            got = F.when(F.col("_mid._off.label") == contra_off[1], F.col("_mid._off.t"))
-            cyc = cyc.withColumn("t_contra_off", got)
-            extra.append("t_contra_off")
+    each = {name: (labels[0], labels[1] if len(labels) == 3 else None, labels[-1]) for name, labels in definitions.items()}
+    here = F.struct(F.col("t").alias("t"))
+    kept = sorted({x for labels in each.values() for x in labels if x is not None})
+    keep = F.col("label").isin(*kept)
+    for c in (contra_off, contra_strike):
+        if c:
+            keep = keep | F.col("label").contains(c[0])
+
+    def numbered(what: str, found: set) -> dict:
+        return {x: f"_{what}{i}" for i, x in enumerate(sorted(found))}
+
+    # definitions share a scan, and in it what they have in common
+    ends = numbered("end", {end for _, _, end in each.values()})
+    starts = numbered("starts", {start for start, _, _ in each.values()})
+    mids = numbered("mid", {(central, end) for _, central, end in each.values() if central is not None})
+    prevs = {}
+    nexts = {c: F.when(F.col("label") == end, here) for end, c in ends.items()}
+    if contra_off:
+        prevs["_off"] = F.when(F.col("label").contains(contra_off[0]), F.struct("label", F.col("t").alias("t")))
+    if contra_strike:
+        nexts["_strike"] = F.when(F.col("label").contains(contra_strike[0]), F.struct("label", F.col("t").alias("t")))
+    ev = ordered_scan(
+        events.where(keep),
+        keys,
+        order,
+        prevs=prevs,
+        nexts=nexts,
+        chained={
+            c: (F.when(F.col("label") == central, F.col("t")), [ends[end], *prevs]) for (central, end), c in mids.items()
+        },
+        # a start with an end makes every earlier start complete as well, so
+        # the number of a cycle is the number of its start
+        totals={c: F.when(F.col("label") == start, F.lit(1).cast("bigint")).otherwise(0) for start, c in starts.items()},
+        cell=time_cell("t", cell_width),
+    )
+    none = F.lit(None).cast("double")
+    found = []
+    for name, (start, central, end) in each.items():
+        mid = F.col(mids[central, end]) if central is not None else None
+        t_end = mid[ends[end]]["t"] if mid is not None else F.col(ends[end])["t"]
+        t_central = mid["at"] if mid is not None else none
+        dur = t_end - F.col("t")
+        pct = F.when(dur == 0, 0.0).otherwise((t_central - F.col("t")) / dur * 100)
+        row = {
+            "cycle_type": F.lit(name),
+            "cycle_no": (F.col(starts[start]) + 1).cast("bigint"),
+            "t_start": F.col("t"),
+            "t_central": t_central,
+            "t_end": t_end,
+            "central_pct": F.when(t_central.isNotNull(), pct),
+        }
+        if contra_off and mids:
+            got = none if mid is None else F.when(mid["_off"]["label"] == contra_off[1], mid["_off"]["t"])
+            row |= contra_columns("off", got, F.col("t"), t_end)
         if contra_strike:
-            hit = F.col("_strike.t")
-            got = F.when(
-                (F.col("_strike.label") == contra_strike[1])
-                & (hit >= F.col("t_start"))
-                & (hit <= F.col("t_end")),
-                hit,
-            )
-            cyc = cyc.withColumn("t_contra_strike", got)
-            extra.append("t_contra_strike")
-        pct = F.when(dur == 0, 0.0).otherwise((F.col("t_central") - F.col("t_start")) / dur * 100)
-        cyc = cyc.withColumn("central_pct", F.when(F.col("t_central").isNotNull(), pct))
-        cyc = cyc.select(
-            *keys,
-            F.lit(name).alias("cycle_type"),
-            (F.col("_starts") + 1).cast("bigint").alias("cycle_no"),
-            "t_start",
-            "t_central",
-            "t_end",
-            "central_pct",
-            *extra,
-        )
-        out = cyc if out is None else out.unionByName(cyc, allowMissingColumns=True)
-    return out
+            hit = F.col("_strike")["t"]
+            inside = (hit >= F.col("t")) & (hit <= t_end)
+            got = F.when((F.col("_strike")["label"] == contra_strike[1]) & inside, hit)
+            row |= contra_columns("strike", got, F.col("t"), t_end)
+        one = F.struct(*[v.alias(k) for k, v in row.items()])
+        found.append(F.when((F.col("label") == start) & t_end.isNotNull(), one))
+    return ev.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("_c")).select(*keys, "_c.*")
+
+
+def contra_columns(kind: str, t: Column, t_start: Column, t_end: Column) -> dict[str, Column]:
+    """Time of a contralateral event and where it lies in the cycle, in per cent
+    (null in a cycle without duration)."""
+    dur = t_end - t_start
+    return {f"t_contra_{kind}": t, f"contra_{kind}_pct": F.when(dur != 0, (t - t_start) / dur * 100)}
 
 
 def slice_cycles(samples: DataFrame, cycles: DataFrame, keys: Sequence[str], *, cell_width: float) -> DataFrame:
@@ -151,11 +148,14 @@ def slice_cycles(samples: DataFrame, cycles: DataFrame, keys: Sequence[str], *,
     )
 
 
-def central_frames(cycles: DataFrame, frames: DataFrame, keys: Sequence[str], *, cell_width: float) -> DataFrame:
-    """Cycles with the point frame nearest to the central event."""
-    return nearest_asof(
-        cycles, frames, keys, "t_central", "t", ["frame"], cell_width=cell_width, tie_order=["frame"]
-    )
+def central_frames(
+    cycles: DataFrame, frames: DataFrame, keys: Sequence[str], *, cell_width: float, time: str = "t_central", out: str = "frame"
+) -> DataFrame:
+    """Cycles with the point frame nearest to the event at ``time``, null where
+    there is no such event."""
+    at = cycles.withColumn("_at", F.coalesce(time, "t_start"))
+    found = nearest_asof(at, frames, keys, "_at", "t", ["frame"], cell_width=cell_width, tie_order=["frame"])
+    return found.withColumn("frame", F.when(F.col(time).isNotNull(), F.col("frame"))).drop("_at").withColumnRenamed("frame", out)
 
 
 def cycle_flag(cycles: DataFrame, events: DataFrame, keys: Sequence[str], flag: str, *, cell_width: float) -> DataFrame:

@@ -93,6 +93,21 @@ def cycles_same_label(spark, d):
     ).select("trial_id", "cycle_no", "t_start", "t_end")
 
 
+@query(
+    "cycles_many_definitions",
+    f"""WITH {VISIT_SQL}, nx2 AS (SELECT *, {_after('purchase')} AS e, {_after('view')} AS again FROM sq)
+SELECT trial_id, 'visit' AS cycle_type, cycle_no, t_start, t_central, t_end FROM cy
+UNION ALL SELECT s.trial_id, 'buy', row_number() OVER (PARTITION BY s.trial_id ORDER BY s.seq), s.t, NULL, e.t
+FROM nx2 s JOIN nx2 e ON e.trial_id = s.trial_id AND e.seq = s.e WHERE s.label = 'view'
+UNION ALL SELECT s.trial_id, 'return', row_number() OVER (PARTITION BY s.trial_id ORDER BY s.seq), s.t, m.t, e.t
+FROM nx2 s JOIN nx2 m ON m.trial_id = s.trial_id AND m.seq = s.e JOIN nx2 e ON e.trial_id = m.trial_id AND e.seq = m.again WHERE s.label = 'view'""",
+)
+def cycles_many_definitions(spark, d):
+    """Three definitions in one scan."""
+    definitions = {**VISIT, "buy": ["view", "purchase"], "return": ["view", "purchase", "view"]}
+    return C.extract_cycles(A.events(spark, d), definitions, KEY, cell_width=WEEK).drop("central_pct")
+
+
 @query(
     "cycles_two_events",
     f"""WITH {EV}, nx AS (SELECT *, {_after('purchase')} AS e FROM sq)
@@ -122,31 +137,36 @@ def central_percent(spark, d):
     )
 
 
-@query(
-    "previous_contra_event",
-    f"""WITH {VISIT_SQL},
-p AS (SELECT c.trial_id, c.cycle_no, max(o.seq) AS o_seq FROM cy c LEFT JOIN sq o
-  ON o.trial_id = c.trial_id AND o.seq < c.c_seq AND contains(o.label, 'r') GROUP BY c.trial_id, c.cycle_no)
-SELECT p.trial_id, p.cycle_no, CASE WHEN o.label = 'error' THEN o.t END AS t_contra_off
-FROM p LEFT JOIN sq o ON o.trial_id = p.trial_id AND o.seq = p.o_seq""",
-)
+def _contra_sql(kind, place, hit):
+    """Time, place in per cent and nearest frame of a contralateral event of each visit."""
+    pct = f"CASE WHEN t_end <> t_start THEN (t_contra_{kind} - t_start) / (t_end - t_start) * 100 END"
+    return f"""WITH {VISIT_SQL},
+p AS (SELECT c.trial_id, c.cycle_no, c.t_start, c.t_end, {place} AS o_seq FROM cy c LEFT JOIN sq o
+  ON o.trial_id = c.trial_id AND {hit[0]} GROUP BY c.trial_id, c.cycle_no, c.t_start, c.t_end),
+x AS (SELECT p.trial_id, p.cycle_no, p.t_start, p.t_end, CASE WHEN {hit[1]} THEN o.t END AS t_contra_{kind}
+  FROM p LEFT JOIN sq o ON o.trial_id = p.trial_id AND o.seq = p.o_seq),
+fr AS (SELECT x.trial_id, x.cycle_no, arg_min(f.event_id, (abs(f.t - x.t_contra_{kind}), f.t, f.event_id)) AS frame
+  FROM x JOIN ev f ON f.trial_id = x.trial_id AND f.label = 'error' WHERE x.t_contra_{kind} IS NOT NULL GROUP BY x.trial_id, x.cycle_no)
+SELECT x.trial_id, x.cycle_no, t_contra_{kind}, {r6s(pct)} AS contra_{kind}_pct, frame FROM x LEFT JOIN fr USING (trial_id, cycle_no)"""
+
+
+def _contra(spark, d, kind, **kw):
+    frames = A.events(spark, d).where("label = 'error'").select("trial_id", "t", F.col("event_id").alias("frame"))
+    found = C.central_frames(visits(spark, d, **kw), frames, KEY, cell_width=WEEK, time=f"t_contra_{kind}")
+    return found.select("trial_id", "cycle_no", f"t_contra_{kind}", r6(f"contra_{kind}_pct").alias(f"contra_{kind}_pct"), "frame")
+
+
+@query("previous_contra_event", _contra_sql("off", "max(o.seq)", ("o.seq < c.c_seq AND contains(o.label, 'r')", "o.label = 'error'")))
 def previous_contra_event(spark, d):
-    return visits(spark, d, contra_off=("r", "error")).select("trial_id", "cycle_no", "t_contra_off")
+    return _contra(spark, d, "off", contra_off=("r", "error"))
 
 
 @query(
     "next_contra_event",
-    f"""WITH {VISIT_SQL},
-p AS (SELECT c.trial_id, c.cycle_no, c.t_start, c.t_end, min(o.seq) AS o_seq FROM cy c LEFT JOIN sq o
-  ON o.trial_id = c.trial_id AND o.seq > c.s_seq AND contains(o.label, 's')
-  GROUP BY c.trial_id, c.cycle_no, c.t_start, c.t_end)
-SELECT p.trial_id, p.cycle_no, CASE WHEN o.label = 'purchase' AND o.t BETWEEN p.t_start AND p.t_end THEN o.t END AS t_contra_strike
-FROM p LEFT JOIN sq o ON o.trial_id = p.trial_id AND o.seq = p.o_seq""",
+    _contra_sql("strike", "min(o.seq)", ("o.seq > c.s_seq AND contains(o.label, 's')", "o.label = 'purchase' AND o.t BETWEEN p.t_start AND p.t_end")),
 )
 def next_contra_event(spark, d):
-    return visits(spark, d, contra_strike=("s", "purchase")).select(
-        "trial_id", "cycle_no", "t_contra_strike"
-    )
+    return _contra(spark, d, "strike", contra_strike=("s", "purchase"))
 
 
 @query(

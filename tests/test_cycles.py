@@ -172,3 +172,14 @@ def test_exact_quantiles(spark, kind):
         assert got[n] == pytest.approx(np.quantile(v, p), rel=1e-12)
     whole = exact_quantiles(df, [], "v", probs).first()
     assert whole["b"] == pytest.approx(np.quantile(v, 0.5), rel=1e-12)
+
+
+def test_definitions_share_one_scan(spark):
+    """Any number of definitions reads the events once and shuffles them once."""
+    ev = spark.range(100).selectExpr("id % 3 AS trial", "CAST(id AS double) AS t", "CASE id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS label", "id AS event_id")
+    many = {f"d{i}": x for i, x in enumerate([["a", "b"], ["a", "a"], ["a", "b", "a"], ["b", "c"], ["b", "a", "c"]])}
+    plans = [C.extract_cycles(ev, d, ["trial"], cell_width=5.0)._jdf.queryExecution().optimizedPlan().toString() for d in (dict([next(iter(many.items()))]), many)]
+    assert plans[0].count("Range") == plans[1].count("Range") <= 2 and plans[1].count("Join") == plans[0].count("Join")
+    together = sorted(map(tuple, C.extract_cycles(ev, many, ["trial"], cell_width=5.0).collect()), key=repr)
+    apart = [tuple(r) for k, v in many.items() for r in C.extract_cycles(ev, {k: v}, ["trial"], cell_width=5.0).collect()]
+    assert together == sorted(apart, key=repr)
