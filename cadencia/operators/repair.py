@@ -312,9 +312,9 @@ def leave_one_subject_out(
     own = t.select(*by, "sid", "label", "wave")
     b = base.select("label", "wave")
     if by:
-        # the base is repeated per grid point; both carry one constant key
-        points = traces.select(*by).distinct().withColumn("_one", F.lit(1))
-        b = points.join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        # the base is repeated per grid point, of which there are as many as pairs of gains
+        points = traces.select(F.struct(*by).alias("_p")).agg(F.collect_set("_p")).scalar()
+        b = b.withColumn("_p", F.explode(points)).select("_p.*", *b.columns)
     pool = own.select(*by, "label", "wave").unionByName(b.select(*by, "label", "wave"))
     loo = leave_one_out(own, [*by, "label"], "sid", pool=pool)
     loo = loo.groupBy(*by, "sid", "label").agg(F.first("loo_wave").alias("wave"))
@@ -381,7 +381,8 @@ def tune_thresholds(
     grp = ["grid_id", "corr_gain", "mad_gain"]
     lr, found, moved = F.col("mode") == "lr", F.coalesce(flipped, F.lit(False)), F.col("pred") != F.col("label")
     acc = p.groupBy(*grp, "sid").agg(
-        F.avg(F.when(right, 1.0).otherwise(0.0)).alias("_a"),
+        # a swap can't be expected of labels of which side and muscle are unknown
+        F.coalesce(F.avg(F.when(lr & F.col("_mk").isNull(), None).when(right, 1.0).otherwise(0.0)), F.lit(0.0)).alias("_a"),
         F.count_if(lr & found).alias("_tp"),
         F.count_if(moved & ~(lr & found)).alias("_fp"),
         F.count_if(lr & ~found).alias("_fn"),

@@ -281,9 +281,12 @@ def homogeneity(
 
     Waves below the 2.5 % quantile of all correlations to the first traces are
     left out and the traces taken again. A group is flagged when its halves agree
-    less than that quantile; not if fewer than ``min_cycles`` waves reach it.
+    less than that quantile; not if fewer than ``min_cycles`` waves reach it. Groups
+    of fewer than ``min_cycles`` waves get no trace and take no part.
     """
     by = list(by)
+    enough = waves.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_cycles)
+    waves = waves.join(enough, by, "left_semi")
     first = cut_lineage(compare_to_trace(waves, pca_wave(waves, by), by, max_lag=max_lag))
     limit = quantile_threshold(first, "corr").select(F.col("threshold").alias("within_corr_low"))
     marked = cut_lineage(outlier_waves(first, by, min_cycles=min_cycles).withColumn("_limit", limit.scalar()))

@@ -71,8 +71,8 @@ def trial_core(spark, d):
 @query(
     "match_sidecars",
     """WITH r AS (SELECT o_custkey AS dir, 'Walk' || CAST(o_orderkey AS VARCHAR) AS stem FROM orders),
-s AS (SELECT o_custkey AS dir, 'WALK' || CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 4 = 1 THEN '.enf' ELSE '.Trial.enf' END AS name FROM orders WHERE o_orderkey % 3 <> 0
-UNION ALL SELECT o_custkey, 'walk' || CAST(o_orderkey AS VARCHAR) || '.enf' FROM orders WHERE o_orderkey % 2 = 0),
+s AS (SELECT o_custkey AS dir, CASE WHEN o_orderkey % 3 = 0 THEN 'RUN' ELSE 'WALK' END || CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 4 = 1 THEN '.enf' ELSE '.Trial.enf' END AS name FROM orders
+UNION ALL SELECT o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'walk' ELSE 'jump' END || CAST(o_orderkey AS VARCHAR) || '.enf' FROM orders),
 x AS (SELECT dir, name, lower(replace(regexp_replace(name, '\\.enf$', ''), '.Trial', '')) AS base FROM s),
 k AS (SELECT *, row_number() OVER (PARTITION BY dir, base ORDER BY NOT contains(name, '.Trial'), name) AS rn FROM x)
 SELECT r.dir, r.stem, k.name AS sidecar FROM r LEFT JOIN k ON k.dir = r.dir AND k.base = lower(r.stem) AND k.rn = 1""",
@@ -81,10 +81,11 @@ def match_sidecars(spark, d):
     o = A.table(spark, d, "orders").select(F.col("o_custkey").alias("dir"), F.col("o_orderkey").alias("k"))
     num = F.col("k").cast("string")
     rec = o.select("dir", F.concat(F.lit("Walk"), num).alias("stem"))
-    one = o.where("k % 3 <> 0").select(
-        "dir", F.concat(F.lit("WALK"), num, F.when(F.col("k") % 4 == 1, ".enf").otherwise(".Trial.enf")).alias("name")
-    )
-    two = o.where("k % 2 = 0").select("dir", F.concat(F.lit("walk"), num, F.lit(".enf")).alias("name"))
+    # a third and a half of the sidecars belong to no recording
+    first = F.when(F.col("k") % 3 == 0, "RUN").otherwise("WALK")
+    one = o.select("dir", F.concat(first, num, F.when(F.col("k") % 4 == 1, ".enf").otherwise(".Trial.enf")).alias("name"))
+    second = F.when(F.col("k") % 2 == 0, "walk").otherwise("jump")
+    two = o.select("dir", F.concat(second, num, F.lit(".enf")).alias("name"))
     return K.match_sidecars(rec, one.unionByName(two)).select("dir", "stem", "sidecar")
 
 
@@ -140,7 +141,7 @@ def check_reason(spark, d):
 @query(
     "subject_params",
     """WITH t AS (SELECT c_custkey AS trial_id, c_custkey // 12 AS folder, right(c_name, 1) AS subject FROM customer),
-s AS (SELECT c_custkey // 12 AS folder, CASE WHEN c_custkey % 36 = 0 THEN 'kiste' ELSE lower(c_name) END AS base FROM customer WHERE c_custkey % 6 = 0),
+s AS (SELECT c_custkey // 12 AS folder, CASE WHEN c_custkey % 36 = 0 OR c_custkey % 6 <> 0 AND c_custkey % 5 <> 0 THEN 'kiste' ELSE lower(c_name) END AS base FROM customer),
 j AS (SELECT t.trial_id, s.base, contains(s.base, t.subject) AS hit FROM t JOIN s USING (folder)),
 c AS (SELECT trial_id, count(DISTINCT base) AS every, min(base) AS a, count(DISTINCT base) FILTER (WHERE hit) AS hits, count(DISTINCT base) FILTER (WHERE hit AND base <> 'kiste') AS named,
  min(base) FILTER (WHERE hit) AS one, min(base) FILTER (WHERE hit AND base <> 'kiste') AS one_named FROM j GROUP BY trial_id),
@@ -152,10 +153,10 @@ def subject_params(spark, d):
     trials = c.select(
         F.col("c_custkey").alias("trial_id"), "folder", F.array(F.expr("right(c_name, 1)")).alias("subjects")
     )
-    # one customer in six stands for a parameter set
-    sets = c.where("c_custkey % 6 = 0").select(
-        "folder", F.when(F.col("c_custkey") % 36 == 0, "kiste").otherwise(F.lower("c_name")).alias("base")
-    )
+    # some customers stand for a parameter set of their own, the others for the common one
+    k = F.col("c_custkey")
+    common = (k % 36 == 0) | ((k % 6 != 0) & (k % 5 != 0))
+    sets = c.select("folder", F.when(common, "kiste").otherwise(F.lower("c_name")).alias("base"))
     return K.resolve_subject_params(trials, sets)
 
 

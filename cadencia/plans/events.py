@@ -527,7 +527,7 @@ def outer_counts(spark, d):
     "outer_merge",
     f"""WITH w AS (SELECT vec_id, label, list_sum(CAST(embedding AS DOUBLE[])) AS s FROM embeddings),
 l AS (SELECT vec_id - vec_id % 2 AS sample, s AS left_sum FROM w WHERE vec_id % 2 = 0),
-r AS (SELECT vec_id - vec_id % 2 AS sample, s AS right_sum FROM w WHERE vec_id % 2 = 1 AND label > 2)
+r AS (SELECT CASE WHEN label > 2 THEN vec_id - vec_id % 2 ELSE -vec_id END AS sample, s AS right_sum FROM w WHERE vec_id % 2 = 1)
 SELECT sample, {r6s('left_sum')} AS left_sum, {r6s('right_sum')} AS right_sum FROM l FULL OUTER JOIN r USING (sample)""",
 )
 def outer_merge(spark, d):
@@ -538,13 +538,15 @@ def outer_merge(spark, d):
         F.aggregate("wave", F.lit(0.0), lambda a, x: a + x).alias("s"),
     )
     left = w.where("side = 'L'").select("sample", r6("s").alias("left_sum"))
-    right = w.where("side = 'R' and cluster > 2").select("sample", r6("s").alias("right_sum"))
+    # samples of the first clusters have no counterpart
+    key = F.when(F.col("cluster") > 2, F.col("sample")).otherwise(-F.col("sample") - 1)
+    right = w.where("side = 'R'").select(key.alias("sample"), r6("s").alias("right_sum"))
     return left.join(right, "sample", "full_outer")
 
 
 @query(
     "prefix_fallback",
-    """WITH r AS (SELECT p_partkey AS rid, p_name || ' ' || p_brand AS rkey FROM part WHERE p_partkey % 2 = 1),
+    """WITH r AS (SELECT p_partkey AS rid, p_name || ' ' || p_brand || CASE WHEN p_partkey % 2 = 1 THEN '' ELSE ' spare' END AS rkey FROM part),
 l AS (SELECT p_partkey AS lid, p_name || ' ' || p_brand AS lkey, p_name AS lbase FROM part),
 x AS (SELECT l.lid, l.lkey, r.rid, r.rkey, 'exact' AS match FROM l JOIN r ON l.lkey = r.rkey),
 f AS (SELECT l.lid, l.lkey, min((r.rkey, r.rid)) AS b FROM l JOIN r ON starts_with(r.rkey, l.lbase)
@@ -556,7 +558,8 @@ def prefix_fallback(spark, d):
         "p_partkey", "p_name", F.concat_ws(" ", "p_name", "p_brand").alias("k")
     )
     # every second part has a counterpart, the others fall back
-    right = p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("rid"), F.col("k").alias("rkey"))
+    other = F.when(F.col("p_partkey") % 2 == 1, F.col("k")).otherwise(F.concat("k", F.lit(" spare")))
+    right = p.select(F.col("p_partkey").alias("rid"), other.alias("rkey"))
     left = p.select(
         F.col("p_partkey").alias("lid"), F.col("k").alias("lkey"), F.col("p_name").alias("lbase")
     )
@@ -614,7 +617,7 @@ def patch_by_time(spark, d):
 @query(
     "align_window",
     f"""WITH {EV}, l AS (SELECT trial_id, seq - 1 AS idx, t FROM sq),
-s AS (SELECT trial_id, idx - 3 AS idx, t FROM l WHERE idx BETWEEN 3 AND 9),
+s AS (SELECT trial_id, idx - 3 AS idx, t FROM l WHERE idx >= 3),
 n AS (SELECT trial_id, count(*) AS n FROM s GROUP BY trial_id),
 r AS (SELECT l.trial_id, l.idx - s.idx AS o, count(DISTINCT s.idx) AS h FROM l JOIN s ON s.trial_id = l.trial_id AND abs(s.t - l.t) <= 1e-3 GROUP BY ALL)
 SELECT r.trial_id, min(o) AS start_idx, any_value(n) AS n FROM r JOIN n USING (trial_id) WHERE h = n GROUP BY r.trial_id""",
@@ -624,5 +627,5 @@ def align_window(spark, d):
 
     ev = ordered_scan(A.events(spark, d), KEY, C.ORDER, row_no="seq", cell=time_cell("t", WEEK))
     long = ev.select("trial_id", (F.col("seq") - 1).alias("idx"), "t")
-    short = long.where("idx between 3 and 9").withColumn("idx", F.col("idx") - 3)
+    short = long.where("idx >= 3").withColumn("idx", F.col("idx") - 3)
     return J.align_window(long, short, KEY, tol=1e-3)

@@ -114,17 +114,19 @@ FB_SQL = """fb AS (SELECT DISTINCT CAST(vec_id % 20 AS BIGINT) AS sid, 'm' || CA
 
 @query(
     "apply_feedback",
-    f"""WITH {FB_SQL}, mp AS (SELECT sid, src, 'm' || CAST((label + 1) % 10 AS VARCHAR) AS dst FROM fb WHERE label % 2 = 0),
-f AS (SELECT sid, src, CASE (sid + label) % 3 WHEN 0 THEN 'swap' WHEN 1 THEN 'ok' ELSE 'unsure' END AS r, 'x' || src AS c FROM fb WHERE sid % 4 <> 0)
+    f"""WITH {FB_SQL}, mp AS (SELECT sid, src, CASE WHEN label % 2 = 0 THEN 'm' || CAST((label + 1) % 10 AS VARCHAR) ELSE src END AS dst FROM fb),
+f AS (SELECT sid, CASE WHEN sid % 4 = 0 THEN 'y' || src ELSE src END AS src, CASE WHEN sid % 4 = 0 THEN 'unsure' WHEN (sid + label) % 3 = 0 THEN 'swap' WHEN (sid + label) % 3 = 1 THEN 'ok' ELSE 'unsure' END AS r, 'x' || src AS c FROM fb)
 SELECT sid, src, CASE r WHEN 'swap' THEN c WHEN 'ok' THEN NULL ELSE dst END AS dst FROM (SELECT coalesce(mp.sid, f.sid) AS sid, coalesce(mp.src, f.src) AS src, dst, coalesce(r, 'unsure') AS r, c FROM mp FULL OUTER JOIN f ON f.sid = mp.sid AND f.src = mp.src)
 WHERE CASE r WHEN 'swap' THEN c WHEN 'ok' THEN NULL ELSE dst END IS NOT NULL""",
 )
 def apply_feedback(spark, d):
     fb = A.waves(spark, d).select(F.col("subject").alias("sid"), F.col("label").alias("src"), "cluster").distinct()
-    mp = fb.where("cluster % 2 = 0").select("sid", "src", F.concat(F.lit("m"), ((F.col("cluster") + 1) % 10).cast("string")).alias("dst"))
-    k = (F.col("sid") + F.col("cluster")) % 3
-    resp = F.when(k == 0, "Swap").when(k == 1, "ok").otherwise("unsure")
-    f = fb.where("sid % 4 <> 0").select("sid", F.col("src").alias("label"), F.concat(F.lit("x"), "src").alias("candidate"), resp.alias("response"), F.lit(2).alias("seq"))
+    # labels of odd clusters stay as they are; a quarter of the answers is unsure of labels that nobody has
+    moved = F.concat(F.lit("m"), ((F.col("cluster") + 1) % 10).cast("string"))
+    mp = fb.select("sid", "src", F.when(F.col("cluster") % 2 == 0, moved).otherwise(F.col("src")).alias("dst"))
+    k, none = (F.col("sid") + F.col("cluster")) % 3, F.col("sid") % 4 == 0
+    resp = F.when(none, "unsure").when(k == 0, "Swap").when(k == 1, "ok").otherwise("unsure")
+    f = fb.select("sid", F.when(none, F.concat(F.lit("y"), "src")).otherwise(F.col("src")).alias("label"), F.concat(F.lit("x"), "src").alias("candidate"), resp.alias("response"), F.lit(2).alias("seq"))
     old = f.withColumns({"response": F.lit("swap"), "candidate": F.lit("old"), "seq": F.lit(1)})
     return R.apply_feedback(mp, old.unionByName(f))
 
@@ -175,7 +177,7 @@ def tune(spark, d):
     traces = cut_lineage(V.pca_wave(w, ["subject", "label"]).select(F.col("subject").alias("sid"), "label", "wave"))
     base = cut_lineage(V.global_waves(traces, "label").select("label", "wave"))
     expected = traces.select("sid").distinct().withColumn("mode", F.when(F.col("sid") % 5 == 0, "lr").otherwise("ok"))
-    feedback = traces.where("sid % 3 = 0").select(
+    feedback = traces.select(
         "sid", "label", F.lit("m1").alias("candidate"), F.when(F.col("sid") % 2 == 0, "swap").otherwise("ok").alias("response")
     )
     return R.tune_thresholds(
