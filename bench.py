@@ -39,9 +39,12 @@ HEADLINE = [
     "curve_f",
     "silhouette",
     "dtw_cluster_stats",
+    "soft_dtw_cluster_stats",
     "score_clustering",
     "kmedoids",
     "remap",
+    "online_cycles",
+    "cycles_many_definitions",
 ]
 
 
@@ -62,6 +65,10 @@ def main() -> None:
     QUERIES["demean"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     QUERIES["spline"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     took = {}
+    # the same work in every round: ratios to it tell a slow machine from a slow query
+    t = time.perf_counter()
+    spark.range(60_000_000).selectExpr("sum(pmod(xxhash64(id), 1000) * sqrt(id))", "count(distinct id % 100003)").collect()
+    control = round(time.perf_counter() - t, 3)
     for n in names:
         t = time.perf_counter()
         QUERIES[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
@@ -75,6 +82,8 @@ def main() -> None:
                 "value": round(sum(took.values()), 3),
                 "unit": "sec",
                 "queries": took,
+                "control": control,
+                "ratios": {n: round(x / control, 3) for n, x in took.items()},
                 "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
             }
         )

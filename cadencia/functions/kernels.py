@@ -381,7 +381,9 @@ def dtw(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def soft_dtw(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
     """Soft-DTW. For pairs where no path can cost more than 650 gamma the table is
     kept as exp(-cost / gamma), which needs one exponential per cell and cannot
-    leave the range of a double; else as costs with a smooth minimum."""
+    leave the range of a double; else as costs with a smooth minimum. (Scaling the
+    product form per antidiagonal would not do for a small gamma: the best path
+    may run through cells that are far above their antidiagonal's minimum.)"""
     ends = [f(v, axis=(1, 2)) for v in (x, y) for f in (np.max, np.min)]
     span = np.maximum(ends[0] - ends[3], ends[2] - ends[1])
     safe = span**2 * x.shape[2] * (x.shape[1] + y.shape[1]) < 650.0 * gamma
@@ -403,25 +405,35 @@ def _soft_product(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
     return -gamma * np.log(_warp(x, y, product, 0.0, 1.0))
 
 
+#: what is farther from the minimum than NEAR gamma changes it by less than 1e-13 gamma
+NEAR = 30.0
+
+
 def _soft_costs(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    """The smooth minimum differs from the minimum only where the second smallest
+    of the three is near it; exponentials are taken there alone."""
+    shape = (x.shape[1], len(x))
+    room = [np.empty(shape) for _ in range(2)]
+    flags = np.empty(shape, bool)
+
     def soft(a, b, c, cost, out):
-        # two exponentials: the third is that of zero
-        few, many = np.minimum(a, b), np.maximum(a, b)
-        low = np.minimum(few, c)
-        mid = np.maximum(few, np.minimum(many, c))
-        top = np.maximum(many, c)
-        with np.errstate(invalid="ignore"):
-            np.subtract(low, mid, out=mid)
-            mid *= 1.0 / gamma
-            np.exp(mid, out=mid)
-            np.subtract(low, top, out=top)
-            top *= 1.0 / gamma
-            np.exp(top, out=top)
-        mid += top
-        mid += 1.0
-        np.log(mid, out=mid)
-        mid *= gamma
-        np.subtract(low, mid, out=out)
+        few, many, near = room[0][: len(cost)], room[1][: len(cost)], flags[: len(cost)]
+        np.minimum(a, b, out=few)
+        np.maximum(a, b, out=many)
+        np.minimum(few, c, out=out)
+        np.minimum(many, c, out=many)
+        np.maximum(few, many, out=few)  # the second smallest
+        np.add(out, NEAR * gamma, out=many)
+        np.less(few, many, out=near)  # false where all three are infinite
+        at = np.flatnonzero(near)
+        if len(at):
+            low = out.reshape(-1)[at]
+            total = np.exp((low - few.reshape(-1)[at]) * (1.0 / gamma))
+            top = np.maximum(np.maximum(a, b, out=few), c, out=few).reshape(-1)[at]
+            total += np.exp((low - top) * (1.0 / gamma))
+            np.log1p(total, out=total)
+            total *= gamma
+            out.reshape(-1)[at] -= total
         out += cost
 
     return _warp(x, y, soft)

@@ -138,6 +138,33 @@ def match_task(trials: DataFrame, task: str, description: str = "description") -
     return trials.where(F.contains(F.lower(F.col(description)), F.lit(task.lower())))
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of ``text``, itself if it is shorter."""
+    n = F.char_length(text)
+    some = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(size)))
+    return F.array_distinct(some)
+
+
+def containing(needles: DataFrame, texts: DataFrame, keys: Sequence[str], needle: str, text: str, *, size: int = 3) -> DataFrame:
+    """Pairs of rows with equal ``keys`` of which ``text`` contains ``needle``.
+
+    Texts are indexed by their runs of up to ``size`` characters. A needle is
+    looked up by that of its own runs which the fewest texts have, and what is
+    found is verified, so no pair is made without a shared run. An empty needle is
+    in every text; null is in none. Columns of both sides but the keys must differ.
+    """
+    keys = list(keys)
+    runs = F.array_union(F.array_union(_grams(F.col(text), size), F.array(F.lit(""))), F.flatten(F.array(*[_grams(F.col(text), i) for i in range(1, size)])))
+    index = texts.where(F.col(text).isNotNull()).withColumn("_gram", F.explode(runs))
+    counts = index.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    words = needles.where(F.col(needle).isNotNull()).select(*keys, needle).distinct()
+    each = words.withColumn("_gram", F.explode(_grams(F.col(needle), size))).join(counts, [*keys, "_gram"], "left")
+    rare = F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram")
+    chosen = each.groupBy(*keys, needle).agg(rare)
+    found = chosen.join(index, [*keys, "_gram"]).where(F.contains(text, needle)).drop("_gram")
+    return needles.join(found, [*keys, needle])
+
+
 def resolve_subject_params(trials: DataFrame, sets: DataFrame) -> DataFrame:
     """Which parameter set of the folder belongs to a trial.
 
@@ -145,20 +172,19 @@ def resolve_subject_params(trials: DataFrame, sets: DataFrame) -> DataFrame:
     sets whose name contains a subject; ``kiste`` loses against others; without
     a hit the only set of the folder is taken; more than one left is an error.
     """
-    low = F.lower("base")
-    cand = trials.join(sets, "folder").withColumn(
-        "_hit", F.exists("subjects", lambda s: F.contains(low, F.lower(s)))
-    )
+    named = sets.where("base IS NOT NULL").select("folder", "base").distinct()
+    folders = named.groupBy("folder").agg(F.count(F.lit(1)).alias("_all"), F.min("base").alias("_any"))
+    subjects = trials.select("trial_id", "folder", F.explode(F.array_distinct(F.transform("subjects", lambda s: F.lower(s)))).alias("_subject"))
+    hits = containing(subjects, named.withColumn("_low", F.lower("base")), ["folder"], "_subject", "_low")
     # fixed value: name of the calibration object
-    box = low == "kiste"
-    c = cand.groupBy("trial_id").agg(
-        F.countDistinct("base").alias("_all"),
-        F.min("base").alias("_any"),
-        F.countDistinct(F.when(F.col("_hit"), F.col("base"))).alias("_hits"),
-        F.countDistinct(F.when(F.col("_hit") & ~box, F.col("base"))).alias("_named"),
-        F.min(F.when(F.col("_hit"), F.col("base"))).alias("_one"),
-        F.min(F.when(F.col("_hit") & ~box, F.col("base"))).alias("_one_named"),
+    own = F.when(F.lower("base") != "kiste", F.col("base"))
+    c = hits.groupBy("trial_id").agg(
+        F.countDistinct("base").alias("_hits"),
+        F.countDistinct(own).alias("_named"),
+        F.min("base").alias("_one"),
+        F.min(own).alias("_one_named"),
     )
+    c = trials.select("trial_id", "folder").join(c, "trial_id", "left").join(folders, "folder", "left").fillna(0, ["_hits", "_named", "_all"])
     base = (
         F.when(F.col("_hits") == 1, F.col("_one"))
         .when((F.col("_hits") > 1) & (F.col("_named") == 1), F.col("_one_named"))
@@ -167,9 +193,7 @@ def resolve_subject_params(trials: DataFrame, sets: DataFrame) -> DataFrame:
     status = F.when(base.isNotNull(), "ok").when(
         (F.col("_hits") > 1) | (F.col("_all") > 1), "ambiguous"
     ).otherwise("none")
-    return trials.select("trial_id").join(
-        c.select("trial_id", base.alias("base"), status.alias("status")), "trial_id", "left"
-    ).withColumn("status", F.coalesce("status", F.lit("none")))
+    return c.select("trial_id", base.alias("base"), status.alias("status"))
 
 
 def index_sim_files(files: DataFrame, name: str, path: str) -> DataFrame:

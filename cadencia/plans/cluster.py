@@ -109,7 +109,7 @@ def dtw_cluster_stats(spark, d):
 
 @query("soft_dtw_cluster_stats")
 def soft_dtw_cluster_stats(spark, d):
-    s = P.soft_dtw_sums(labelled(spark, d), 0.1)
+    s = P.soft_dtw_sums(labelled(spark, d), 5e-5)
     return s.select("sample_id", "label", "other", "n", r6(F.col("total") / F.col("n")).alias("mean"), r6("low").alias("low"), r6("high").alias("high"))
 
 
@@ -126,7 +126,7 @@ def kmedoids(spark, d):
 
 @query("bisecting")
 def bisecting(spark, d):
-    return C.bisecting(A.waves(spark, d), [2, 3, 4])
+    return C.bisecting(A.waves(spark, d), [2, 3, 4, 5, 6])
 
 
 @query("grid")
