@@ -29,11 +29,16 @@ ws AS (SELECT *, CASE WHEN t_off IS NULL THEN 'event_missing' WHEN t_strike <= t
 RULES = Q.QcRules(so_ms_tol=100.0, moment_rms_max=60.0, moment_max_max=90.0)
 
 
-def _so(spark, d):
+def _cycles(spark, d):
+    """The cycles, written once: samples, windows and checks all start from them."""
+    return cut_lineage(visits(spark, d))
+
+
+def _so(spark, d, cyc):
     """Samples of each cycle with their index, written once: the checks below
     read them several times."""
     ev = A.events(spark, d).select("trial_id", "t", "event_id", "label", "value")
-    so = C.slice_cycles(ev, visits(spark, d).select(*CK, "t_start", "t_end"), ["trial_id"], cell_width=WEEK)
+    so = C.slice_cycles(ev, cyc.select(*CK, "t_start", "t_end"), ["trial_id"], cell_width=WEEK)
     so = ordered_scan(so, CK, ["t", "event_id"], row_no="idx", cell=time_cell("t", WEEK))
     v, k = F.col("value"), (F.col("event_id") % 100).cast("double")
     so = so.select(
@@ -53,8 +58,8 @@ def _so(spark, d):
     return cut_lineage(so)
 
 
-def _windows(spark, d, so):
-    cyc, n = visits(spark, d), F.col("cycle_no")
+def _windows(cyc, so):
+    n = F.col("cycle_no")
     dur = F.col("t_end") - F.col("t_start")
     bounds = cyc.select(
         *CK,
@@ -67,7 +72,8 @@ def _windows(spark, d, so):
 
 @query("qc_window", f"WITH {QC_SQL} SELECT trial_id, cycle_no, n, CASE WHEN status = 'ok' THEN i0 END AS i0, CASE WHEN status = 'ok' THEN i1 END AS i1, status FROM ws")
 def qc_window(spark, d):
-    return _windows(spark, d, _so(spark, d))
+    cyc = _cycles(spark, d)
+    return _windows(cyc, _so(spark, d, cyc))
 
 
 PLATE_SQL = f"""{QC_SQL},
@@ -93,8 +99,9 @@ def _plates(so):
     f"WITH {PLATE_SQL} SELECT trial_id, cycle_no, {r6s('r')} AS rms_fz, {r6s('m')} AS max_fz, {r6s('r / 2')} AS rms_fx FROM pg",
 )
 def plate_window_stat(spark, d):
-    so = _so(spark, d)
-    return Q.plate_stats(_plates(so), _windows(spark, d, so), CK).select(
+    cyc = _cycles(spark, d)
+    so = _so(spark, d, cyc)
+    return Q.plate_stats(_plates(so), _windows(cyc, so), CK).select(
         *CK, r6("plate_rms_Fz").alias("rms_fz"), r6("plate_max_Fz").alias("max_fz"), r6("plate_rms_Fx").alias("rms_fx")
     )
 
@@ -104,16 +111,17 @@ IK_SQL = """ik AS (SELECT trial_id, cycle_no, max(k / 4000.0) <= 0.02 AS rms_ok,
 
 @query("qc_max", f"WITH {QC_SQL}, {IK_SQL} SELECT c.trial_id, c.cycle_no, coalesce(rms_ok, true) AS \"IK_RMS_ok\", coalesce(max_ok, true) AS \"IK_MAX_ok\" FROM cy c LEFT JOIN ik USING (trial_id, cycle_no)")
 def qc_max(spark, d):
-    return _ik(spark, d, _so(spark, d))
+    cyc = _cycles(spark, d)
+    return _ik(cyc, _so(spark, d, cyc))
 
 
-def _ik(spark, d, so):
+def _ik(cyc, so):
     err = so.where("label <> 'view'").select(
         *CK,
         ((F.col("event_id") % 100) / 4000.0).alias("marker_error_RMS"),
         (F.col("value") / 5000.0).alias("marker_error_max"),
     )
-    return Q.ik_flags(err, visits(spark, d), CK, RULES)
+    return Q.ik_flags(err, cyc, CK, RULES)
 
 
 FLAG_SQL = f"""{PLATE_SQL}, {IK_SQL},
@@ -131,10 +139,12 @@ al AS (SELECT cy.trial_id, cy.cycle_no, fl.status, coalesce(rms_ok, true) AS e,
 NOT (a AND b AND c AND d AND e AND f) AS bad FROM al""",
 )
 def qc_flags(spark, d):
-    so = _so(spark, d)
-    w = _windows(spark, d, so)
-    flags = Q.so_flags(w, Q.force_stats(so, w, CK), Q.plate_stats(_plates(so), w, CK), CK, RULES)
-    return Q.qc_bad(Q.qc_all(_ik(spark, d, so), flags, CK))
+    cyc = _cycles(spark, d)
+    so = _so(spark, d, cyc)
+    w = cut_lineage(_windows(cyc, so))
+    plates = cut_lineage(Q.plate_stats(_plates(so), w, CK))
+    flags = Q.so_flags(w, Q.force_stats(so, w, CK), plates, CK, RULES)
+    return Q.qc_bad(Q.qc_all(_ik(cyc, so), flags, CK))
 
 
 @query(
@@ -147,9 +157,10 @@ SELECT trial_id, cycle_no, {r6s('r / fz')} AS rms_rel, {r6s('m / fz')} AS max_re
 WHERE fz <> 0 AND r / fz < 0.05 AND m / fz < 0.1 AND cycle_no % 4 <> 0 AND trial_id % 3 <> 0""",
 )
 def valid_cycles(spark, d):
-    so = _so(spark, d)
+    cyc = _cycles(spark, d)
+    so = _so(spark, d, cyc)
     plates = so.where(F.col("label").isin("click", "purchase")).select(*CK, F.col("value").alias("v"))
-    flags = visits(spark, d).select(
+    flags = cyc.select(
         *CK, (F.col("cycle_no") % 4 != 0).alias("selected"), (F.col("trial_id") % 3 != 0).alias("kinetic")
     )
     return Q.valid_cycles(so, plates, flags, CK).select(*CK, r6("rms_rel").alias("rms_rel"), r6("max_rel").alias("max_rel"))
