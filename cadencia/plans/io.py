@@ -103,3 +103,55 @@ def mapping_json(spark, d):
         F.col("subject").alias("sid"), F.col("label").alias("src"), F.concat(F.lit("m"), ((F.col("cluster") + 1) % 10).cast("string")).alias("dst")
     ).distinct()
     return K.mapping_json(m)
+
+
+@query(
+    "key_value_lines",
+    r"""WITH l AS (SELECT doc_id AS path, unnest(regexp_split_to_array(text, '\r?\n')) AS line, unnest(range(len(regexp_split_to_array(text, '\r?\n')))) AS line_no FROM documents)
+SELECT path, line_no, trim(split_part(line, '=', 1)) AS key, trim(substr(line, strpos(line, '=') + 1)) AS value FROM l WHERE contains(line, '=')""".replace("\\r", "\r").replace("\\n", "\n"),
+)
+def key_value_lines(spark, d):
+    return S.key_values(S.text_lines(A.table(spark, d, "documents"), "doc_id", "text"))
+
+
+@query(
+    "dollar_param_lines",
+    """SELECT o_custkey AS path, CASE WHEN o_orderkey % 3 = 0 THEN 'Mass' ELSE ' Height' END AS key, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE o_orderpriority || '=x' END AS value FROM orders WHERE o_orderkey % 3 <> 1""",
+)
+def dollar_param_lines(spark, d):
+    """Parameter files of customers, with a line per order."""
+    k = F.col("o_orderkey")
+    line = F.when(k % 3 == 0, F.concat(F.lit("$Mass="), k.cast("string"))).when(k % 3 == 1, F.lit("Note=1")).otherwise(F.concat(F.lit("$ Height = "), "o_orderpriority", F.lit("=x ")))
+    return S.dollar_params(A.table(spark, d, "orders").select(F.col("o_custkey").alias("path"), k.alias("position"), line.alias("line")))
+
+
+@query(
+    "sim_table_lines",
+    f"""WITH {EV}, x AS (SELECT *, max(CASE WHEN event_id % 50 = 0 THEN event_id END) OVER (PARTITION BY trial_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM ev),
+y AS (SELECT *, h // 50 % 2 = 0 AS even FROM x WHERE event_id % 50 <> 0 AND h IS NOT NULL)
+SELECT trial_id AS path, CAST(event_id AS DOUBLE) AS t, CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'force' END AS "column", CASE WHEN event_id % 7 = 0 THEN NULL WHEN even THEN value ELSE CAST(event_id % 10 AS DOUBLE) END AS v,
+ CASE WHEN event_id % 7 = 0 THEN 'field_count' ELSE 'ok' END AS status FROM y""",
+)
+def sim_table_lines(spark, d):
+    """Tables of users whose header changes every fifty events; every seventh row is short."""
+    e, num = F.col("event_id"), F.col("event_id").cast("string")
+    header = F.when(F.floor(e / 50) % 2 == 0, "time  force\tcode").otherwise("Time code  FORCE")
+    row = F.when(e % 7 == 0, num).otherwise(F.concat_ws("\t", num, F.col("value").cast("string")))
+    line = F.when(e % 50 == 0, header).otherwise(F.concat(row, F.lit("  "), (e % 10).cast("string")))
+    lines = A.events(spark, d).select(F.col("trial_id").alias("path"), e.alias("position"), line.alias("line"))
+    return S.sim_tables(lines, ["force"], with_status=True).withColumn("column", F.lower("column"))
+
+
+@query(
+    "marker_table_lines",
+    f"""WITH {EV}, x AS (SELECT *, max(CASE WHEN event_id % 40 = 0 THEN event_id END) OVER (PARTITION BY trial_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM ev),
+c AS (SELECT *, unnest(range(6)) AS i FROM x WHERE event_id % 40 <> 0 AND h IS NOT NULL)
+SELECT trial_id AS path, event_id AS frame, CAST(event_id AS DOUBLE) / 4 AS t, CASE WHEN i < 3 THEN 'RANK' ELSE 'HEEL' || CAST(h // 40 % 3 AS VARCHAR) END AS marker, ['x', 'y', 'z'][i % 3 + 1] AS comp, value FROM c WHERE NOT (i = 4 AND event_id % 5 = 0)""".replace("comp, value FROM", "comp, value AS v FROM"),
+)
+def marker_table_lines(spark, d):
+    """Marker files of users; the name of the second marker changes every forty events, some cells are empty."""
+    e, v = F.col("event_id"), F.col("value").cast("string")
+    header = F.concat(F.lit("Frame#\tTime\tRANK\t\t\tHEEL"), (F.floor(e / 40) % 3).cast("string"), F.lit("\t\t"))
+    gap = F.when(e % 5 == 0, F.lit("")).otherwise(v)
+    line = F.when(e % 40 == 0, header).otherwise(F.concat_ws("\t", e.cast("string"), (e / 4).cast("string"), v, v, v, v, gap, v))
+    return S.marker_tables(A.events(spark, d).select(F.col("trial_id").alias("path"), e.alias("position"), line.alias("line")))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import ordered_scan
+
 
 def _any_case(text: str) -> str:
     return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in text)
@@ -39,15 +41,29 @@ def _small_files(spark: SparkSession, paths: Sequence[str] | str, glob: str | No
     return whole.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def read_key_values(spark: SparkSession, paths: Sequence[str] | str, *, glob: str | None = None) -> DataFrame:
-    """(path, line_no, key, value) of the KEY=VALUE lines of sidecars."""
-    t = _small_files(spark, paths, glob).select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
+#: rows of a cell when lines carry their header along
+LINES = 100_000
+
+
+def text_lines(texts: DataFrame, path: str, text: str) -> DataFrame:
+    """(path, position, line) of whole texts; either kind of line end."""
+    lines = F.posexplode(F.split(text, r"\r?\n")).alias("position", "line")
+    return texts.select(F.col(path).alias("path"), lines).withColumn("position", F.col("position").cast("bigint"))
+
+
+def key_values(lines: DataFrame) -> DataFrame:
+    """(path, line_no, key, value) of the KEY=VALUE lines among (path, position, line)."""
     kv = F.split("line", "=", 2)
-    return t.where(F.col("line").contains("=")).select(
-        "path", "line_no", F.trim(kv[0]).alias("key"), F.trim(kv[1]).alias("value")
+    return lines.where(F.col("line").contains("=")).select(
+        "path", F.col("position").alias("line_no"), F.trim(kv[0]).alias("key"), F.trim(kv[1]).alias("value")
     )
 
 
+def read_key_values(spark: SparkSession, paths: Sequence[str] | str, *, glob: str | None = None) -> DataFrame:
+    """(path, line_no, key, value) of the KEY=VALUE lines of sidecars."""
+    return key_values(text_lines(_small_files(spark, paths, glob), "path", "text"))
+
+
 def sidecar_facts(kv: DataFrame) -> DataFrame:
     """Per sidecar the first description, the first subject list (split at comma
     or space) and the foot of each force plate."""
@@ -62,37 +78,59 @@ def sidecar_facts(kv: DataFrame) -> DataFrame:
     return g.select("path", "description", subjects.alias("subjects"), "plates")
 
 
+def dollar_params(lines: DataFrame) -> DataFrame:
+    """(path, key, value) of the $KEY=VALUE lines among (path, position, line)."""
+    kv = key_values(lines)
+    return kv.where(F.col("key").startswith("$")).select("path", F.substr("key", F.lit(2)).alias("key"), "value")
+
+
 def read_dollar_params(spark: SparkSession, paths: Sequence[str] | str, *, glob: str | None = None) -> DataFrame:
     """(path, key, value) of the $KEY=VALUE lines of subject parameter files."""
-    kv = read_key_values(spark, paths, glob=glob)
-    return kv.where(F.col("key").startswith("$")).select("path", F.substr("key", F.lit(2)).alias("key"), "value")
+    return dollar_params(text_lines(_small_files(spark, paths, glob), "path", "text"))
 
 
 def _lines(spark: SparkSession, paths: Sequence[str] | str, glob: str | None) -> DataFrame:
+    """(path, block, position, line): a large file is read in splits, whose
+    beginnings and the order of rows inside order its lines."""
     r = spark.read.option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    block = F.col("_metadata.file_block_start").alias("block")
+    return r.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), block, F.monotonically_increasing_id().alias("position"), F.col("value").alias("line")
+    )
 
 
-def read_sim_tables(spark: SparkSession, paths: Sequence[str] | str, columns: Sequence[str] | None = None, *, glob: str | None = None, with_status: bool = False) -> DataFrame:
-    """Simulation tables as rows (path, t, column, v).
+def _under_headers(rows: DataFrame, is_header: Column, is_data: Column) -> DataFrame:
+    """Data rows with ``names``, the tokens of the header line last seen before
+    them. Rows under no header are left out."""
+    split = "block" in rows.columns
+    cell = F.col("block") if split else F.floor(F.col("position") / LINES).cast("bigint")
+    order = ["block", "position"] if split else ["position"]
+    rows = rows.withColumns({"_head": F.coalesce(is_header, F.lit(False)), "_data": F.coalesce(is_data, F.lit(False))}).where("_head OR _data")
+    found = ordered_scan(rows, ["path"], order, prevs={"names": F.when(F.col("_head"), F.col("tok"))}, cell=cell)
+    return found.where("_data AND NOT _head AND names IS NOT NULL").drop("_head", "_data")
+
+
+def _spaced(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("tok", F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")).drop("line")
+
+
+def sim_tables(lines: DataFrame, columns: Sequence[str] | None = None, *, with_status: bool = False) -> DataFrame:
+    """Simulation tables among (path, position, line) as rows (path, t, column, v).
 
-    The header row is the one that starts with ``time``; a data row starts with a
-    number and has as many fields. Neither needs the order of lines, so a large
-    file is read in splits. Wanted columns are compared without case. A row of
-    another number of fields has no values; ``with_status`` keeps it, with its
-    time, and adds ``status``: ok or field_count.
+    A header row starts with ``time`` and holds until the next one; a data row
+    starts with a number and has as many fields. Wanted columns are compared
+    without case. A row of another number of fields has no values; ``with_status``
+    keeps it, with its time, and adds ``status``: ok or field_count.
     """
-    tok = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
-    rows = _lines(spark, paths, glob).select("path", tok.alias("tok"))
-    head = rows.where(F.lower(F.get("tok", F.lit(0))) == "time").groupBy("path").agg(F.first("tok").alias("names"))
-    data = rows.where(F.get("tok", F.lit(0)).try_cast("double").isNotNull() & (F.size("tok") > 1))
+    first = F.get("tok", F.lit(0))
+    data = _under_headers(_spaced(lines), F.lower(first) == "time", first.try_cast("double").isNotNull() & (F.size("tok") > 1))
     fits = F.size("tok") == F.size("names")
     none = F.array(F.struct(F.lit(None).cast("string").alias("n"), F.lit(None).cast("string").alias("v")))
-    j = data.join(head, "path").select(
+    j = data.select(
         "path",
-        F.get("tok", F.lit(0)).try_cast("double").alias("t"),
+        first.try_cast("double").alias("t"),
         F.when(fits, "ok").otherwise("field_count").alias("status"),
         F.explode(F.when(fits, F.arrays_zip(F.col("names").alias("n"), F.col("tok").alias("v"))).otherwise(none)).alias("_z"),
     )
@@ -105,20 +143,26 @@ def read_sim_tables(spark: SparkSession, paths: Sequence[str] | str, columns: Se
     return long.where(wanted).drop("status")
 
 
-def sim_headers(spark: SparkSession, paths: Sequence[str] | str, *, glob: str | None = None) -> DataFrame:
-    """(path, columns) of simulation tables, for checks before they are read."""
-    tok = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
-    rows = _lines(spark, paths, glob).select("path", tok.alias("columns"))
-    return rows.where(F.lower(F.get("columns", F.lit(0))) == "time").dropDuplicates(["path"])
+def read_sim_tables(spark: SparkSession, paths: Sequence[str] | str, columns: Sequence[str] | None = None, *, glob: str | None = None, with_status: bool = False) -> DataFrame:
+    """``sim_tables`` of files, which are read in splits."""
+    return sim_tables(_lines(spark, paths, glob), columns, with_status=with_status)
 
 
-def read_marker_tables(spark: SparkSession, paths: Sequence[str] | str, *, glob: str | None = None) -> DataFrame:
-    """Marker tables as rows (path, frame, t, marker, comp, v). A marker's name
-    stands over the first of its three columns and holds until the next name."""
-    rows = _lines(spark, paths, glob).select("path", F.split("line", "\t").alias("tok"))
-    head = rows.where(F.get("tok", F.lit(0)).startswith("Frame")).groupBy("path").agg(F.first("tok").alias("names"))
-    data = rows.where(F.trim(F.get("tok", F.lit(0))).try_cast("bigint").isNotNull() & (F.trim(F.get("tok", F.lit(1))).try_cast("double").isNotNull()))
-    cells = data.join(head, "path").select(
+def sim_headers(spark: SparkSession, paths: Sequence[str] | str, *, glob: str | None = None) -> DataFrame:
+    """(path, columns) of simulation tables, for checks before they are read; of
+    several headers of a file the first."""
+    rows = _spaced(_lines(spark, paths, glob)).where(F.lower(F.get("tok", F.lit(0))) == "time")
+    return rows.groupBy("path").agg(F.min_by("tok", F.struct("block", "position")).alias("columns"))
+
+
+def marker_tables(lines: DataFrame) -> DataFrame:
+    """Marker tables among (path, position, line) as rows (path, frame, t, marker,
+    comp, v). A header row starts with ``Frame`` and holds until the next one; a
+    marker's name stands over the first of its three columns and holds until the
+    next name."""
+    rows = lines.withColumn("tok", F.split("line", "\t")).drop("line")
+    number = F.trim(F.get("tok", F.lit(0))).try_cast("bigint").isNotNull() & F.trim(F.get("tok", F.lit(1))).try_cast("double").isNotNull()
+    cells = _under_headers(rows, F.get("tok", F.lit(0)).startswith("Frame"), number).select(
         "path",
         F.trim(F.get("tok", F.lit(0))).try_cast("bigint").alias("frame"),
         F.trim(F.get("tok", F.lit(1))).try_cast("double").alias("t"),
@@ -132,6 +176,11 @@ def read_marker_tables(spark: SparkSession, paths: Sequence[str] | str, *, glob:
     ).where(F.col("marker").isNotNull() & F.col("v").isNotNull())
 
 
+def read_marker_tables(spark: SparkSession, paths: Sequence[str] | str, *, glob: str | None = None) -> DataFrame:
+    """``marker_tables`` of files."""
+    return marker_tables(_lines(spark, paths, glob))
+
+
 def read_result_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Flat per-cycle results with a header; unreadable fields become missing."""
     return spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE")
