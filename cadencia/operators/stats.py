@@ -146,6 +146,23 @@ def stance_metrics(waves: DataFrame, keys: Sequence[str], wave: str, stance_pct:
     return w.select(*keys, *[c.alias(m) for m, c in _window_metrics(F.col("_a"), F.lit(0.0)).items()])
 
 
+def raw_stance_metrics(waves: DataFrame, keys: Sequence[str], wave: str, times: str) -> DataFrame:
+    """The same metrics of the samples of a stance as they were recorded; the area
+    is taken over their real times. ``times`` is as long as ``wave``."""
+    n = F.size(wave)
+    low, high = (lambda c: F.slice(c, F.lit(1), n - 1)), (lambda c: F.slice(c, F.lit(2), n - 1))
+    means = F.zip_with(low(F.col(wave)), high(F.col(wave)), lambda a, b: (a + b) / 2)
+    steps = F.zip_with(low(F.col(times)), high(F.col(times)), lambda a, b: b - a)
+    area = F.aggregate(F.zip_with(means, steps, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    found = {**_window_metrics(F.col(wave), F.lit(0.0)), "auc": F.when(n > 1, area).when(n == 1, 0.0)}
+    return waves.select(*keys, *[c.alias(m) for m, c in found.items()])
+
+
+def cluster_counts(rows: DataFrame, file: str, cluster: str) -> DataFrame:
+    """(file, cluster, n): how many cycles of each cluster a file has."""
+    return rows.groupBy(file, cluster).agg(F.count(F.lit(1)).alias("n"))
+
+
 def subphase_metrics(waves: DataFrame, keys: Sequence[str], wave: str, phases=PHASES) -> DataFrame:
     """The same metrics over named percent windows, both ends included."""
     spec = F.array(

@@ -139,10 +139,15 @@ def aggregate_waves(waves: DataFrame, by: Sequence[str], how: str = "pca", wave:
     return (mean_wave if how == "mean" else median_wave)(waves, by, wave)
 
 
-def global_waves(traces: DataFrame, label: str, *, cycles: str | None = None) -> DataFrame:
+def global_waves(traces: DataFrame, label: str, *, cycles: str | None = None, raw: DataFrame | None = None, ident: str = "sid") -> DataFrame:
     """One trace per label over the subjects' traces, with the number of subjects
-    and, if given, the range of their cycle counts."""
+    and, if given, the range of their cycle counts. From the raw waves (``ident``,
+    label) come the number of all subjects and of those with waves of the label,
+    before any were left out."""
     g = pca_wave(traces, [label]).withColumnRenamed("n", "n_ids_used")
+    if raw is not None:
+        total = raw.agg(F.countDistinct(ident).alias("n")).scalar()
+        g = g.join(raw.groupBy(label).agg(F.countDistinct(ident).alias("n_ids_raw")), label).withColumn("n_ids_total", total)
     if cycles is None:
         return g
     c = traces.groupBy(label).agg(F.min(cycles).alias("cycles_min"), F.max(cycles).alias("cycles_max"))
@@ -468,9 +473,12 @@ def loo_outliers(loo: DataFrame, by: Sequence[str], ident: str, *, q: float = 0.
     """Traces of low correlation, of high difference, or among the most
     dissimilar: (1 - corr) + mad / median mad."""
     by = list(by)
-    qc = exact_quantiles(loo, by, "corr", {"_c": q})
-    qm = exact_quantiles(loo, by, "mad", {"_m": 1.0 - q, "_med": 0.5})
-    j = loo.join(qc, by).join(qm, by).withColumn(
+    # both measures in one column, so that their quantiles are found in one pass
+    both = F.array(*[F.struct(F.lit(c).alias("_of"), F.col(c).alias("_x")) for c in ("corr", "mad")])
+    found = exact_quantiles(loo.select(*by, F.inline(both)), [*by, "_of"], "_x", {"_lo": q, "_mid": 0.5, "_hi": 1.0 - q})
+    take = lambda c, name: F.max(F.when(F.col("_of") == c, F.col(name)))
+    limits = found.groupBy(*by).agg(take("corr", "_lo").alias("_c"), take("mad", "_hi").alias("_m"), take("mad", "_mid").alias("_med"))
+    j = loo.join(limits, by).withColumn(
         "dissim", (1 - F.col("corr")) + F.col("mad") / (F.col("_med") + 1e-8)
     )
     hit = (F.col("corr") < F.col("_c")) | (F.col("mad") > F.col("_m"))

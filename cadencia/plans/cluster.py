@@ -74,6 +74,20 @@ def sizes(spark, d):
     return C.cluster_sizes(labelled(spark, d).withColumn("label", F.col("label") - 1))
 
 
+@query(
+    "final_gamma",
+    """WITH e AS (SELECT CAST(vec_id % 12 AS INTEGER) AS k, vec_id / 1000.0 AS gamma, CASE WHEN label <> 4 THEN label / 10.0 END AS silhouette FROM embeddings),
+g AS (SELECT k, arg_max(gamma, (coalesce(silhouette, -1e300), -gamma)) AS gamma FROM e WHERE k BETWEEN 3 AND 9 GROUP BY k),
+f AS (SELECT k, min(gamma) / 2 AS gamma FROM e WHERE k < 6 GROUP BY k)
+SELECT DISTINCT e.k, CAST(coalesce(f.gamma, g.gamma, 0.05) AS DOUBLE) AS gamma FROM e LEFT JOIN f USING (k) LEFT JOIN g USING (k)""",
+)
+def final_gamma(spark, d):
+    """Of twelve k the first have a searched gamma, the middle ones a grid, the others none."""
+    e = A.waves(spark, d).select((F.col("sample_id") % 12).cast("int").alias("k"), (F.col("sample_id") / 1000.0).alias("gamma"), F.when(F.col("cluster") != 4, F.col("cluster") / 10.0).alias("silhouette"))
+    searched = e.where("k < 6").select("k", (F.col("gamma") / 2).alias("gamma"))
+    return C.final_gamma(e, searched, e.where("k BETWEEN 3 AND 9"), [0.05])
+
+
 @query(
     "choose_best",
     """WITH s AS (SELECT CAST(vec_id % 20 AS BIGINT) AS g, 2 + CAST(vec_id // 20 AS BIGINT) AS k, CASE WHEN label <> 4 THEN round(label / 10.0, 1) END AS silhouette FROM embeddings),

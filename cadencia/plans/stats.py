@@ -62,6 +62,27 @@ def stance_metrics(spark, d):
     return out.select("sample_id", *[r6(m).alias(m) for m in S.METRICS])
 
 
+@query(
+    "raw_stance_metrics",
+    f"""WITH {WAVES}, x AS (SELECT sample_id, idx, v, idx + idx % 3 / 4.0 AS t FROM pt WHERE idx < sample_id % 60),
+y AS (SELECT *, lead(v) OVER o AS nv, lead(t) OVER o AS nt FROM x WINDOW o AS (PARTITION BY sample_id ORDER BY idx))
+SELECT sample_id, {r6s('avg(v)')} AS mean, {r6s('quantile_cont(v, 0.5)')} AS median, {r6s('stddev_pop(v)')} AS std, {r6s('min(v)')} AS min, {r6s('max(v)')} AS max,
+  {r6s('coalesce(sum((v + nv) / 2 * (nt - t)), 0)')} AS auc FROM y GROUP BY sample_id""",
+)
+def raw_stance_metrics(spark, d):
+    """Stances of different lengths, sampled at uneven times."""
+    n = (F.col("sample_id") % 60).cast("int")
+    w = A.waves(spark, d).select("sample_id", F.slice("wave", F.lit(1), n).alias("wave")).where(F.size("wave") > 0)
+    times = F.transform("wave", lambda x, i: i + (i % 3) / 4.0)
+    out = S.raw_stance_metrics(w.withColumn("times", times), ["sample_id"], "wave", "times")
+    return out.select("sample_id", *[r6(m).alias(m) for m in S.METRICS])
+
+
+@query("cluster_counts", "SELECT CAST(vec_id % 20 AS BIGINT) AS subject, label AS cluster, count(*) AS n FROM embeddings GROUP BY ALL")
+def cluster_counts(spark, d):
+    return S.cluster_counts(A.waves(spark, d), "subject", "cluster")
+
+
 @query(
     "subphase_metrics",
     f"""WITH {WAVES}, {R101}, ph(phase, a, b) AS (VALUES ('Loading_Response', 0, 10), ('Midstance', 10, 30), ('First_Stance_Phase_Half', 0, 30), ('Terminal_Stance', 30, 50), ('Pre_Swing', 50, 60),

@@ -299,11 +299,14 @@ def _traces(spark, d):
     "global_wave",
     f"""{COMPONENT_SQL}, gk AS (SELECT k.label AS k, list(wave ORDER BY k.subject) AS xs FROM tr GROUP BY k.label), {first_sql('gl', 'gk')},
 gc AS (SELECT k.label AS k, min(n) AS cycles_min, quantile_cont(n, 0.5) AS cycles_median, max(n) AS cycles_max FROM tr GROUP BY k.label)
-SELECT k AS label, n AS n_ids_used, cycles_min, cycles_median, cycles_max, {r6s('wave[1]')} AS first_v FROM gl JOIN gc USING (k)""",
+SELECT k AS label, n AS n_ids_used, (SELECT count(DISTINCT subject) FROM w) AS n_ids_total, (SELECT count(DISTINCT subject) FROM w WHERE label = k) AS n_ids_raw,
+  cycles_min, cycles_median, cycles_max, {r6s('wave[1]')} AS first_v FROM gl JOIN gc USING (k)""".replace("FROM tr GROUP BY k.label)", "FROM tr WHERE n >= 3 GROUP BY k.label)"),
 )
 def global_wave(spark, d):
-    g = V.global_waves(_traces(spark, d), "label", cycles="n_cycles")
-    return g.select("label", "n_ids_used", "cycles_min", "cycles_median", "cycles_max", r6(F.get("wave", F.lit(0))).alias("first_v"))
+    # traces of at least three cycles, counted against all subjects
+    traces = _traces(spark, d).where("n_cycles >= 3")
+    g = V.global_waves(traces, "label", cycles="n_cycles", raw=A.waves(spark, d).select("subject", "label"), ident="subject")
+    return g.select("label", "n_ids_used", "n_ids_total", "n_ids_raw", "cycles_min", "cycles_median", "cycles_max", r6(F.get("wave", F.lit(0))).alias("first_v"))
 
 
 @query(
@@ -341,6 +344,23 @@ def loo_outliers(spark, d):
     return out.select("label", "subject", *[r6(c).alias(c) for c in ("corr", "mad", "dissim")])
 
 
+@query(
+    "leave_one_subject_out",
+    f"""{COMPONENT_SQL}, gk AS (SELECT k.label AS k, list(wave ORDER BY k.subject) AS xs FROM tr GROUP BY k.label), {first_sql('gl', 'gk')},
+oth AS (SELECT k.label AS label, k.subject AS s, wave FROM tr UNION ALL SELECT k, -1, wave FROM gl),
+lk AS (SELECT {{'subject': a.k.subject, 'label': a.k.label}} AS k, list(o.wave ORDER BY o.s) AS xs FROM tr a JOIN oth o ON o.label = a.k.label AND o.s <> a.k.subject GROUP BY 1), {first_sql('lo', 'lk')}
+SELECT k.subject AS sid, k.label AS label, {r6s('wave[1]')} AS first_v, {r6s('wave[40]')} AS later_v FROM lo""",
+)
+def leave_one_subject_out(spark, d):
+    """Global traces without one subject; the trace over all counts as one more."""
+    from ..operators.repair import leave_one_subject_out as without
+
+    traces = _traces(spark, d)
+    base = cut_lineage(V.global_waves(traces, "label").select("label", "wave"))
+    loo, _ = without(traces.withColumnRenamed("subject", "sid"), base)
+    return loo.select("sid", "label", *[r6(F.get("wave", F.lit(i))).alias(n) for i, n in ((0, "first_v"), (39, "later_v"))])
+
+
 @query("bootstrap")
 def bootstrap(spark, d):
     cell = F.floor(F.col("sample_id") / 100_000).cast("bigint")
