@@ -274,3 +274,35 @@ def test_envelopes_of_several_rates_in_one_pass(spark):
         want = S.envelope_long(one, ["k"], "v", rate, chunk=10_000).toPandas().sort_values("idx")
         assert np.allclose(got[got["trial_id"] == trial]["v"], want["v"], atol=1e-9)
     assert got[got["trial_id"] == "n"]["v"].tolist() == [1.0 + i for i in range(8)]
+
+
+def test_groups_of_few_cycles_get_no_trace(spark):
+    """A group of one wave, or two, has no trace, no statistics and no part in the limits."""
+    rng = np.random.default_rng(4)
+    t = np.linspace(0, 2 * np.pi, 32)
+    sizes = {(0, "m0"): 8, (1, "m0"): 1, (2, "m0"): 2, (3, "m0"): 3}
+    rows = [(s, lab, 100 * s + k, [float(x) for x in 2 + np.sin(t) + 0.1 * rng.normal(size=32)]) for (s, lab), n in sizes.items() for k in range(n)]
+    w = spark.createDataFrame(rows, "subject long, label string, sample_id long, wave array<double>")
+    traces, stats = V.homogeneity(w, ["subject", "label"], "sample_id", max_lag=3, cell=F.lit(0).cast("bigint"))
+    assert sorted(r.subject for r in traces.collect()) == sorted(r.subject for r in stats.collect()) == [0, 3]
+
+
+def test_unknown_labels_do_not_lower_the_accuracy(spark):
+    """A label of unknown muscle can't be expected to be swapped."""
+    t = np.arange(100)
+    rng = np.random.default_rng(2)
+    curve = lambda c: np.exp(-(((t - c + 50) % 100 - 50) ** 2) / 60.0)
+    centre = {"R1": 20, "L1": 80}
+    swapped = [(0, a, curve(centre[b]) + 0.01 * rng.normal(size=100)) for a, b in (("R1", "L1"), ("L1", "R1"))]
+    rows = swapped + [(s, a, curve(c) + 0.01 * rng.normal(size=100)) for s in range(1, 6) for a, c in centre.items()]
+    cols = "sid int, label string, wave array<double>"
+    g = frame(spark, [(a, curve(c)) for a, c in centre.items()] + [("X", curve(50))], "label string, wave array<double>")
+    facts = spark.createDataFrame([(a, a[0], a[1], a[1], None) for a in centre], "label string, side string, muscle_key string, canon string, close_group int")
+    fb = spark.createDataFrame([], "sid int, label string, candidate string, response string, seq int")
+    exp = spark.createDataFrame([(0, "lr")], "sid int, mode string")
+
+    def expected(more):
+        out = R.tune_thresholds(frame(spark, rows + more, cols), g, facts, exp, fb, [0.1], [0.2], max_lag=3, lr_lags=(0, 3), iterations=1).collect()
+        return out[0].expected_score
+
+    assert expected([(0, "X", curve(50))]) == expected([]) > 5
