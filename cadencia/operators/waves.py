@@ -40,7 +40,7 @@ def mean_wave(waves: DataFrame, by: Sequence[str], wave: str = "wave") -> DataFr
 def median_wave(waves: DataFrame, by: Sequence[str], wave: str = "wave") -> DataFrame:
     """Pointwise exact median of groups of any size."""
     long = waves.select(*by, F.posexplode(wave).alias("idx", "_v"))
-    return _ordered_array(exact_quantiles(long, [*by, "idx"], "_v", {"wave": 0.5}, bins=256), by, ["wave"])
+    return _ordered_array(exact_quantiles(long, [*by, "idx"], "_v", {"wave": 0.5}), by, ["wave"])
 
 
 def _parts_schema(df: DataFrame, by: Sequence[str]) -> T.StructType:
@@ -258,7 +258,7 @@ def within_stats(compared: DataFrame, by: Sequence[str]) -> DataFrame:
             F.array(*[F.struct(F.lit(m).alias("m"), (F.col(c) if isinstance(c, str) else c).alias("v")) for m, c in parts.items()])
         ),
     )
-    q = exact_quantiles(long, [*by, "m"], "v", {"q": 0.5}, bins=256)
+    q = exact_quantiles(long, [*by, "m"], "v", {"q": 0.5})
     q = q.groupBy(*by).agg(*[F.max(F.when(F.col("m") == m, F.col("q"))).alias(m) for m in parts])
     return base.join(q, by)
 
@@ -311,8 +311,8 @@ def homogeneity(
 def snr_by_channel(waves: DataFrame, file: Sequence[str], channel: Sequence[str]) -> DataFrame:
     """Median signal-to-noise per file, then the median of the files."""
     s = waves.select(*dict.fromkeys([*file, *channel]), X.snr("wave").alias("_s"))
-    per_file = exact_quantiles(s, list(dict.fromkeys([*channel, *file])), "_s", {"_f": 0.5}, bins=256)
-    return exact_quantiles(per_file, list(channel), "_f", {"snr": 0.5}, bins=256)
+    per_file = exact_quantiles(s, list(dict.fromkeys([*channel, *file])), "_s", {"_f": 0.5})
+    return exact_quantiles(per_file, list(channel), "_f", {"snr": 0.5})
 
 
 def label_consistency(labels: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
