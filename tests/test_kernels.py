@@ -154,178 +154,6 @@ def test_value_cells_of_a_crowd_off_the_median(spark, where, keys):
 
     n = 50_000
     rng = np.random.default_rng(4)
-    x, y = rng.normal(size=(5, 9, features)), rng.normal(size=(5, 7, features))
-    assert np.allclose(N.distance("dtw", x, y), [naive_dtw(a, b) ** 0.5 for a, b in zip(x, y)])
-    for gamma in (0.3, 1e3):  # both forms of the table
-        assert np.allclose(N.distance("softdtw", x, y, gamma, batch=2), [naive_dtw(a, b, gamma) for a, b in zip(x, y)])
-    assert np.allclose(N.distance("dtw", x, x), 0)
-
-
-def test_first_component():
-    w = np.sin(np.linspace(0, 3, 50)) + 0.2
-    x = np.outer([1.0, 1.0, 1.0], w)
-    assert np.allclose(N.first_component(x.T @ x, x.mean(axis=0)), w)
-    y = np.random.default_rng(0).normal(size=(40, 6)) + 1
-    r = N.shrink_rows(y)
-    assert r.shape == (6, 6) and np.allclose(r.T @ r, y.T @ y)
-    v = np.linalg.svd(y, full_matrices=False)[2][0]
-    got = N.first_component(y.T @ y, y.mean(axis=0))
-    assert abs(np.dot(got, v)) == pytest.approx(np.linalg.norm(got))
-
-
-def test_fir_of_short_waves(spark):
-    from cadencia.functions.kernels import fir_taps
-    from cadencia.operators.signal import fir_lowpass
-
-    for n in (1, 2, 5, 6, 7, 30):
-        x = np.arange(n, dtype=float) ** 2
-        got = spark.createDataFrame([(x.tolist(),)], "wave array<double>").select(fir_lowpass("wave", 100.0, 10.0)).first()[0]
-        taps = fir_taps(13, 10.0, 100.0)
-        padded = np.pad(x, 6, mode="reflect") if n > 1 else np.full(13, x[0])
-        assert np.allclose(got, [padded[i : i + 13] @ taps[::-1] for i in range(n)])
-
-
-def test_quantiles_leave_out_infinities_and_spread_outliers(spark):
-    from pyspark.sql import functions as F
-
-    from cadencia.operators.ordered import CELL, exact_quantiles, value_cells
-
-    v = np.random.default_rng(0).standard_normal(20_000)
-    rows = [(float(x),) for x in v] + [(1e12,), (-1e12,)]
-    df = spark.createDataFrame(rows, "v double")
-    most = value_cells(df, [], "v").groupBy(CELL).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    assert most < 0.01 * len(rows)
-    some = spark.createDataFrame([(float(i),) for i in range(10)] + [(float("inf"),)] * 3 + [(float("-inf"),)], "v double")
-    got = exact_quantiles(some, [], "v", {"hi": 0.975, "lo": 0.0}).first()
-    assert abs(got["hi"] - 8.775) < 1e-12 and got["lo"] == 0.0
-
-
-@pytest.mark.parametrize("where", [0.5, 0.9])
-@pytest.mark.parametrize("keys", [[], ["k"]])
-def test_value_cells_of_a_crowd_off_the_median(spark, where, keys):
-    """40 % of the values within 1e-4, and outliers on both sides: no cell is above 1 % of the rows."""
-    from pyspark.sql import functions as F
-
-    from cadencia.operators.ordered import CELL, exact_quantiles, value_cells
-
-    n = 50_000
-    rng = np.random.default_rng(4)
-    x, y = rng.normal(size=(5, 9, features)), rng.normal(size=(5, 7, features))
-    assert np.allclose(N.distance("dtw", x, y), [naive_dtw(a, b) ** 0.5 for a, b in zip(x, y)])
-    for gamma in (0.3, 1e3):  # both forms of the table
-        assert np.allclose(N.distance("softdtw", x, y, gamma, batch=2), [naive_dtw(a, b, gamma) for a, b in zip(x, y)])
-    assert np.allclose(N.distance("dtw", x, x), 0)
-
-
-def test_first_component():
-    w = np.sin(np.linspace(0, 3, 50)) + 0.2
-    x = np.outer([1.0, 1.0, 1.0], w)
-    assert np.allclose(N.first_component(x.T @ x, x.mean(axis=0)), w)
-    y = np.random.default_rng(0).normal(size=(40, 6)) + 1
-    r = N.shrink_rows(y)
-    assert r.shape == (6, 6) and np.allclose(r.T @ r, y.T @ y)
-    v = np.linalg.svd(y, full_matrices=False)[2][0]
-    got = N.first_component(y.T @ y, y.mean(axis=0))
-    assert abs(np.dot(got, v)) == pytest.approx(np.linalg.norm(got))
-
-
-def test_fir_of_short_waves(spark):
-    from cadencia.functions.kernels import fir_taps
-    from cadencia.operators.signal import fir_lowpass
-
-    for n in (1, 2, 5, 6, 7, 30):
-        x = np.arange(n, dtype=float) ** 2
-        got = spark.createDataFrame([(x.tolist(),)], "wave array<double>").select(fir_lowpass("wave", 100.0, 10.0)).first()[0]
-        taps = fir_taps(13, 10.0, 100.0)
-        padded = np.pad(x, 6, mode="reflect") if n > 1 else np.full(13, x[0])
-        assert np.allclose(got, [padded[i : i + 13] @ taps[::-1] for i in range(n)])
-
-
-def test_quantiles_leave_out_infinities_and_spread_outliers(spark):
-    from pyspark.sql import functions as F
-
-    from cadencia.operators.ordered import CELL, exact_quantiles, value_cells
-
-    v = np.random.default_rng(0).standard_normal(20_000)
-    rows = [(float(x),) for x in v] + [(1e12,), (-1e12,)]
-    df = spark.createDataFrame(rows, "v double")
-    most = value_cells(df, [], "v").groupBy(CELL).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    assert most < 0.01 * len(rows)
-    some = spark.createDataFrame([(float(i),) for i in range(10)] + [(float("inf"),)] * 3 + [(float("-inf"),)], "v double")
-    got = exact_quantiles(some, [], "v", {"hi": 0.975, "lo": 0.0}).first()
-    assert abs(got["hi"] - 8.775) < 1e-12 and got["lo"] == 0.0
-
-
-@pytest.mark.parametrize("where", [0.5, 0.9])
-@pytest.mark.parametrize("keys", [[], ["k"]])
-def test_value_cells_of_a_crowd_off_the_median(spark, where, keys):
-    """40 % of the values within 1e-4, and outliers on both sides: no cell is above 1 % of the rows."""
-    from pyspark.sql import functions as F
-
-    from cadencia.operators.ordered import CELL, exact_quantiles, value_cells
-
-    n = 50_000
-    rng = np.random.default_rng(4)
-    x, y = rng.normal(size=(5, 9, features)), rng.normal(size=(5, 7, features))
-    assert np.allclose(N.distance("dtw", x, y), [naive_dtw(a, b) ** 0.5 for a, b in zip(x, y)])
-    for gamma in (0.3, 1e3):  # both forms of the table
-        assert np.allclose(N.distance("softdtw", x, y, gamma, batch=2), [naive_dtw(a, b, gamma) for a, b in zip(x, y)])
-    assert np.allclose(N.distance("dtw", x, x), 0)
-
-
-def test_first_component():
-    w = np.sin(np.linspace(0, 3, 50)) + 0.2
-    x = np.outer([1.0, 1.0, 1.0], w)
-    assert np.allclose(N.first_component(x.T @ x, x.mean(axis=0)), w)
-    y = np.random.default_rng(0).normal(size=(40, 6)) + 1
-    r = N.shrink_rows(y)
-    assert r.shape == (6, 6) and np.allclose(r.T @ r, y.T @ y)
-    v = np.linalg.svd(y, full_matrices=False)[2][0]
-    got = N.first_component(y.T @ y, y.mean(axis=0))
-    assert abs(np.dot(got, v)) == pytest.approx(np.linalg.norm(got))
-
-
-def test_fir_of_short_waves(spark):
-    from cadencia.functions.kernels import fir_taps
-    from cadencia.operators.signal import fir_lowpass
-
-    for n in (1, 2, 5, 6, 7, 30):
-        x = np.arange(n, dtype=float) ** 2
-        got = spark.createDataFrame([(x.tolist(),)], "wave array<double>").select(fir_lowpass("wave", 100.0, 10.0)).first()[0]
-        taps = fir_taps(13, 10.0, 100.0)
-        padded = np.pad(x, 6, mode="reflect") if n > 1 else np.full(13, x[0])
-        assert np.allclose(got, [padded[i : i + 13] @ taps[::-1] for i in range(n)])
-
-
-def test_quantiles_leave_out_infinities_and_spread_outliers(spark):
-    from pyspark.sql import functions as F
-
-    from cadencia.operators.ordered import CELL, exact_quantiles, value_cells
-
-    v = np.random.default_rng(0).standard_normal(20_000)
-    rows = [(float(x),) for x in v] + [(1e12,), (-1e12,)]
-    df = spark.createDataFrame(rows, "v double")
-    most = value_cells(df, [], "v").groupBy(CELL).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    assert most < 0.01 * len(rows)
-    some = spark.createDataFrame([(float(i),) for i in range(10)] + [(float("inf"),)] * 3 + [(float("-inf"),)], "v double")
-    got = exact_quantiles(some, [], "v", {"hi": 0.975, "lo": 0.0}).first()
-    assert abs(got["hi"] - 8.775) < 1e-12 and got["lo"] == 0.0
-
-
-@pytest.mark.parametrize("where", [0.5, 0.9])
-@pytest.mark.parametrize("keys", [[], ["k"]])
-def test_value_cells_of_a_crowd_off_the_median(spark, where, keys):
-    """40 % of the values within 1e-4, and outliers on both sides: no cell is above 1 % of the rows."""
-    from pyspark.sql import functions as F
-
-    from cadencia.operators.ordered import CELL, exact_quantiles, value_cells
-
-    n = 50_000
-    u = F.rand(3)
-    crowd = F.lit(where * 100) + F.rand(5) * 1e-4
-    far = F.when(F.rand(7) < 0.5, -1.0).otherwise(1.0) * F.pow(F.lit(10.0), F.rand(9) * 200)
-    df = spark.range(n).select(F.lit(1).alias("k"), F.when(u < 0.4, crowd).when(u < 0.5, far).otherwise(F.rand(11) * 100).alias("v")).localCheckpoint() if False else None
-    rng = np.random.default_rng(4)
     v = np.concatenate([where * 100 + rng.random(int(n * 0.4)) * 1e-4, rng.choice([-1, 1], int(n * 0.1)) * 10.0 ** (rng.random(int(n * 0.1)) * 200), rng.random(n // 2) * 100])
     df = spark.createDataFrame([(1, float(x)) for x in v], "k int, v double")
     most = value_cells(df, keys, "v").groupBy(CELL).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
