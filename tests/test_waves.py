@@ -89,6 +89,39 @@ def test_clusterings_find_planted_groups(spark, planted):
     assert C.choose_best(scores).first().k == 2
 
 
+def test_kmedoids_computes_a_set_of_members_once(spark):
+    """Three planted groups and a lone wave against all pairs on the driver."""
+    rng = np.random.default_rng(4)
+    t = np.linspace(0, 1, 20)
+    shapes = [np.sin(2 * np.pi * t), 2 * t, np.cos(6 * np.pi * t)]
+    x = np.array([shapes[i % 3] + 0.2 * rng.standard_normal(20) for i in range(60)])
+    ids = list(range(60))
+    w = frame(spark, [(i, 0, x[i].tolist()) for i in ids])
+    d = np.array([N.dtw(np.repeat(x[i : i + 1, :, None], 60, 0), x[:, :, None]) for i in ids])
+    want = []
+    for start in range(4):
+        meds = [r[0] for r in w.orderBy(F.xxhash64("sample_id", F.lit(42 + start)), "sample_id").limit(3).select("sample_id").collect()]
+        while True:
+            lab = d[:, meds].argmin(axis=1)
+            new = [np.flatnonzero(lab == c)[d[np.ix_(lab == c, lab == c)].sum(axis=1).argmin()] for c in range(3)]
+            if new == meds:
+                break
+            meds = new
+        want.append((d[:, meds].min(axis=1).sum(), lab, meds))
+    cost, lab, meds = min(want, key=lambda r: round(r[0], 9))
+    work = {}
+    got = {r.sample_id: r for r in C.kmedoids(w, 3, "dtw", n_init=4, work=work).collect()}
+    assert [got[i].label for i in ids] == lab.tolist()
+    assert np.allclose([got[i].d for i in ids], d[ids, np.array(meds)[lab]])
+    assert 0 < 2 * work["pairs"] <= work["all_pairs"]
+
+
+def test_kmedoids_of_few_waves(spark):
+    w = frame(spark, [(0, 0, [0.0, 1.0]), (1, 0, [0.0, 1.0])])
+    assert {(r.sample_id, r.label, r.d) for r in C.kmedoids(w, 3, "dtw").collect()} == {(0, 0, 0.0), (1, 0, 0.0)}
+    assert C.kmedoids(w.where("sample_id < 0"), 3, "dtw", n_blocks=1).count() == 0
+
+
 def test_choose_best_ties_and_missing(spark):
     df = spark.createDataFrame([(3, 0.5), (2, 0.5), (4, None), (5, float("nan"))], "k int, silhouette double")
     assert C.choose_best(df).first().k == 2
