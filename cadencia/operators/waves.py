@@ -538,6 +538,25 @@ def agreement(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def source_homogeneity(waves: DataFrame, by: Sequence[str], *, min_waves: int = 2) -> DataFrame:
+    """How well the waves of a group agree with its mean wave: number of waves,
+    median and mean of the best normalised convolution and of its lag.
+
+    ``by`` holds the source, too. Flat waves have no correlation and count with lag
+    0. Groups of fewer than ``min_waves`` waves are left out.
+    """
+    by = list(by)
+    means = mean_wave(waves, by).withColumnRenamed("wave", "_mean")
+    j = waves.select(*by, "wave").join(means, by).withColumn("_x", convolution_best("wave", "_mean"))
+    known = F.col("_x.corr").isNotNull() & ~F.isnan("_x.corr")
+    x = cut_lineage(j.select(*by, F.when(known, F.col("_x.corr")).alias("corr"), F.when(known, F.col("_x.lag")).otherwise(0.0).alias("lag")))
+    base = x.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("corr").alias("corr_mean"), F.avg("lag").alias("lag_mean"))
+    parts = F.array(*[F.struct(F.lit(m).alias("_m"), F.col(m).alias("_v")) for m in ("corr", "lag")])
+    q = exact_quantiles(x.select(*by, F.inline(parts)), [*by, "_m"], "_v", {"q": 0.5})
+    q = q.groupBy(*by).agg(*[F.max(F.when(F.col("_m") == m, F.col("q"))).alias(f"{m}_med") for m in ("corr", "lag")])
+    return base.where(F.col("n") >= min_waves).join(q, by).select(*by, "n", "corr_med", "lag_med", "corr_mean", "lag_mean")
+
+
 # --- curves -------------------------------------------------------------------
 
 
@@ -605,17 +624,22 @@ def runs_above(curve: DataFrame, value: str, threshold: Column, *, n_points: int
 def relabelled_max_t(waves: DataFrame, group: str, a, b, ident: str, *, n_perm: int, seed: int) -> DataFrame:
     """Largest |t| along the curve under seeded random relabelling (perm, max_t).
 
-    A wave joins the first group of relabelling p when a hash of (wave, p, seed)
-    falls below the first group's share. Each partition adds up its waves for all
-    relabellings at once and only these sums are shuffled.
+    A wave joins the first group of relabelling p when a number drawn for (wave, p,
+    seed) falls below the first group's share. The draws are runs of eight digits of
+    an md5, four of a digest, which any engine can repeat. Each partition adds up
+    its waves for all relabellings at once and only these sums are shuffled.
     """
     two = waves.where(F.col(group).isin(a, b))
     share = two.agg(F.avg(F.when(F.col(group) == a, 1.0).otherwise(0.0))).scalar()
-    u = F.transform(
-        F.sequence(F.lit(0), F.lit(n_perm - 1)),
-        lambda p: F.pmod(F.xxhash64(F.col(ident), p, F.lit(seed)), F.lit(1_000_000)) / 1e6 < F.col("_share"),
-    )
-    src = two.withColumn("_share", share).select("wave", u.alias("_in"))
+    name = lambda i: F.concat_ws(":", F.col(ident).cast("string"), i.cast("string"), F.lit(str(seed)))
+    digests = F.transform(F.sequence(F.lit(0), F.lit((n_perm - 1) // 4)), lambda i: F.md5(name(i)))
+    places = F.array(*[F.lit(1 + 8 * i) for i in range(4)])
+    draws = F.flatten(F.transform(digests, lambda h: F.transform(places, lambda i: F.substr(h, i, F.lit(8)))))
+    bound = F.lpad(F.lower(F.hex(F.floor(F.col("_share") * 2**32).cast("long"))), 8, "0")
+    # if all waves are of the first group the bound has nine digits
+    u = F.transform(F.slice(draws, 1, n_perm), lambda x: (x < F.col("_bound")) | (F.col("_share") == 1))
+    two = two.withColumn("_share", share).withColumn("_bound", bound)
+    src = two.select("wave", u.alias("_in"))
     schema = "perm int, n double, n0 double, s array<double>, q array<double>, s0 array<double>, q0 array<double>"
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

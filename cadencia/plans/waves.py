@@ -240,6 +240,22 @@ def agreement(spark, d):
     return out.select("label", "n_a", "n_b", r6("corr").alias("corr"), n64("lag").alias("lag"))
 
 
+@query(
+    "source_homogeneity",
+    f"""WITH {WAVES}, mw AS (SELECT label, side, idx, avg(v) AS m FROM pt GROUP BY ALL),
+me AS (SELECT label, side, idx, m - avg(m) OVER (PARTITION BY label, side) AS m FROM mw),
+ce AS (SELECT sample_id, label, side, idx, v - avg(v) OVER (PARTITION BY sample_id) AS v FROM pt),
+no AS (SELECT sample_id, sqrt(sum(v * v) * sum(m * m)) AS q FROM ce JOIN me USING (label, side, idx) GROUP BY sample_id),
+xl AS (SELECT sample_id, label, side, a.idx - b.idx AS lag, sum(a.v * b.m) AS c FROM ce a JOIN me b USING (label, side) GROUP BY ALL),
+g AS (SELECT sample_id, label, side, arg_max((c, lag), (c, -lag)) AS x FROM xl GROUP BY ALL),
+h AS (SELECT label, side, CASE WHEN q > 0 THEN x[1] / q END AS corr, CASE WHEN q > 0 THEN x[2] ELSE 0 END AS lag FROM g JOIN no USING (sample_id))
+SELECT label, side, count(*) AS n, {r6s('quantile_cont(corr, 0.5)')} AS corr_med, {r6s('quantile_cont(lag, 0.5)')} AS lag_med, {r6s('avg(corr)')} AS corr_mean, {r6s('avg(lag)')} AS lag_mean FROM h GROUP BY label, side HAVING count(*) >= 2""",
+)
+def source_homogeneity(spark, d):
+    h = V.source_homogeneity(A.waves(spark, d), ["label", "side"])
+    return h.select("label", "side", "n", *[r6(c).alias(c) for c in h.columns[3:]])
+
+
 GROUP_SQL = f"""{WAVES}, gs AS (SELECT idx, cluster, count(*) AS n, avg(v) AS m, var_pop(v) AS s2 FROM pt GROUP BY idx, cluster)"""
 T_SQL = f"""{GROUP_SQL}, ct AS (SELECT a.idx, (a.m - b.m) / sqrt((a.n * a.s2 + b.n * b.s2) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)) AS t, a.n + b.n - 2 AS df FROM gs a JOIN gs b USING (idx) WHERE a.cluster = 0 AND b.cluster = 1)"""
 
@@ -280,9 +296,28 @@ def curve_intervals(spark, d):
     return out.select(n64("node_from").alias("node_from"), n64("node_to").alias("node_to"), *[r6(c).alias(c) for c in ("peak", "pct_from", "pct_to")])
 
 
-@query("curve_significance")
+PERMS = 200
+BUMP_SQL = f"""{WAVES}, bu AS (SELECT sample_id, cluster, idx, v + CASE WHEN cluster = 1 AND idx BETWEEN 20 AND 27 THEN 0.2 ELSE 0 END AS v FROM pt WHERE cluster IN (0, 1)),
+gs AS (SELECT idx, cluster, count(*) AS n, avg(v) AS m, var_pop(v) AS s2 FROM bu GROUP BY idx, cluster),
+ct AS (SELECT a.idx, (a.m - b.m) / sqrt((a.n * a.s2 + b.n * b.s2) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)) AS t FROM gs a JOIN gs b USING (idx) WHERE a.cluster = 0 AND b.cluster = 1),
+ow AS (SELECT DISTINCT sample_id, cluster FROM bu), sh AS (SELECT printf('%08x', CAST(floor(avg(CAST(cluster = 0 AS INTEGER)) * 4294967296) AS BIGINT)) AS bound FROM ow),
+dr AS (SELECT sample_id, p, substr(md5(concat_ws(':', sample_id, p // 4, 0)), CAST(1 + 8 * (p % 4) AS INTEGER), 8) < bound AS one FROM ow, sh, range({PERMS}) r(p)),
+ps AS (SELECT p, idx, count(*) AS n, count(*) FILTER (WHERE one) AS n0, sum(v) FILTER (WHERE one) AS s0, sum(v) FILTER (WHERE NOT one) AS s1, sum(v * v) AS q FROM bu JOIN dr USING (sample_id) GROUP BY p, idx),
+pt2 AS (SELECT p, max(abs(s0 / n0 - s1 / (n - n0)) / sqrt((q - s0 * s0 / n0 - s1 * s1 / (n - n0)) / (n - 2) * (1.0 / n0 + 1.0 / (n - n0)))) AS max_t FROM ps GROUP BY p),
+up AS (SELECT idx, t, idx - row_number() OVER (ORDER BY idx) AS isl FROM ct WHERE abs(t) > (SELECT quantile_cont(max_t, 0.95) FROM pt2)),
+iv AS (SELECT min(idx) AS a, max(idx) AS b, max(abs(t)) AS peak FROM up GROUP BY isl)"""
+
+
+@query(
+    "curve_significance",
+    f"""WITH {BUMP_SQL} SELECT CAST(a AS BIGINT) AS node_from, CAST(b AS BIGINT) AS node_to, {r6s('peak')} AS peak, {r6s('a * 100.0 / 63')} AS pct_from, {r6s('b * 100.0 / 63')} AS pct_to,
+{r6s('(SELECT count(*) FROM pt2 WHERE max_t >= peak) / CAST(' + str(PERMS) + ' AS DOUBLE)')} AS p FROM iv""",
+)
 def curve_significance(spark, d):
-    return V.curve_significance(A.waves(spark, d), "cluster", 0, 1, "sample_id", alpha=0.05, n_perm=200, n_points=N)
+    """Cluster 1 is raised by 0.2 on eight points, which must be found."""
+    raised = F.transform("wave", lambda v, i: v + F.when((F.col("cluster") == 1) & i.between(20, 27), 0.2).otherwise(0.0))
+    out = V.curve_significance(A.waves(spark, d).withColumn("wave", raised), "cluster", 0, 1, "sample_id", alpha=0.05, n_perm=PERMS, n_points=N)
+    return out.select(n64("node_from").alias("node_from"), n64("node_to").alias("node_to"), *[r6(c).alias(c) for c in ("peak", "pct_from", "pct_to", "p")])
 
 
 @query("pca_wave", f"{COMPONENT_SQL} SELECT k.subject AS subject, k.label AS label, unnest(range(0, {N})) AS idx, {r6s('unnest(wave)')} AS v FROM tr")

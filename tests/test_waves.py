@@ -339,3 +339,27 @@ def test_unknown_labels_do_not_lower_the_accuracy(spark):
         return out[0].expected_score
 
     assert expected([(0, "X", curve(50))]) == expected([]) > 5
+
+
+def test_homogeneity_of_sources(spark):
+    rng = np.random.default_rng(7)
+    x = {("a", "p"): rng.standard_normal((9, 32)), ("a", "q"): rng.standard_normal((4, 32)), ("b", "p"): rng.standard_normal((1, 32))}
+    x[("a", "q")][0] = 3.0  # flat: no correlation, lag 0
+    rows = [(k, s, w.tolist()) for (k, s), ws in x.items() for w in ws]
+    df = spark.createDataFrame(rows, "key string, source string, wave array<double>")
+    got = {(r.key, r.source): r for r in V.source_homogeneity(df, ["key", "source"]).collect()}
+    assert set(got) == {("a", "p"), ("a", "q")}
+    for g, r in got.items():
+        c, lag = N.convolution_best_rows(x[g], np.repeat(x[g].mean(axis=0)[None], len(x[g]), 0))
+        assert (r.n, r.corr_med, r.corr_mean) == (len(c), pytest.approx(np.nanmedian(c)), pytest.approx(np.nanmean(c)))
+        assert (r.lag_med, r.lag_mean) == (pytest.approx(np.median(lag)), pytest.approx(lag.mean()))
+
+
+def test_relabelling_draws_the_share(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, int(i >= 30), rng.standard_normal(8).tolist()) for i in range(120)]
+    null = V.relabelled_max_t(frame(spark, rows).repartition(5), "label", 0, 1, "sample_id", n_perm=101, seed=0).toPandas()
+    assert sorted(null["perm"]) == list(range(101)) and null["max_t"].between(0.5, 6).all()
+    # one group only: nothing to compare
+    alone = V.relabelled_max_t(frame(spark, rows[:30]), "label", 0, 1, "sample_id", n_perm=5, seed=0)
+    assert [r.max_t for r in alone.collect()] == [0.0] * 5
