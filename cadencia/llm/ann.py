@@ -136,7 +136,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, p: float = 0.95, see
             left = left[np.argsort(r[left], kind="stable")]
             seen, scores, at = [], [], 0
             while at < len(left) and r[left[at]] <= stop * max(near, 0) + 1e-9:
-                part = left[at : at + (STEP if at == 0 else len(left))]
+                part = left[at : at + max(STEP, at)]
                 part = part[r[part] <= stop * max(near, 0) + 1e-9]
                 seen.append(part)
                 scores.append(x[part] @ qv)
@@ -153,23 +153,26 @@ def search(table: DataFrame, is_query: Column, k: int = 20, p: float = 0.95, see
         return pd.concat(out) if out else V.rows_of(0, np.zeros(0, int), gids, ids, np.zeros(0))
 
     near = cut_lineage(V.evaluated(ask.withColumn("kth", F.lit(float("nan"))), vecs, n_queries, verify))
-    kth = ask.join(V.bounds(near, k), "query_id", "left").select("query_id", "v", F.col("block").alias("home"), "kth")
 
     def reached(batches):
         for pdf in batches:
             x = np.stack(pdf["v"])
             z = np.concatenate([x, np.zeros((len(x), 1))], axis=1) @ project
-            kth = pdf["kth"].to_numpy(dtype=float, na_value=np.nan)
-            reach = np.where(np.isnan(kth), np.inf, stop * np.maximum((x * x).sum(1) + most - 2 * kth, 0) + 1e-9)
-            out = []
-            for i in range(len(x)):
-                gap = np.maximum(np.maximum(lows - z[i], z[i] - highs), 0)
-                cell = np.flatnonzero((gap * gap).sum(1) <= reach[i]).astype(np.int32)
-                n = len(cell)
-                out.append(pd.DataFrame({"query_id": [pdf["query_id"].iloc[i]] * n, "v": [x[i]] * n, "home": [pdf["home"].iloc[i]] * n, "kth": [kth[i]] * n, "cell": cell}))
-            yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "v": [], "home": [], "kth": [], "cell": []})
-
-    goals = kth.mapInPandas(reached, "query_id long, v array<double>, home string, kth double, cell int")
-    visits = goals.join(vecs.select("cell", "block").distinct(), "cell").where("block <> home").select("query_id", "v", "block", "kth")
-    far = V.evaluated(visits, vecs, n_queries, verify)
-    return V.ranked(near.union(far), k)
+            for i, (query_id, home, reach) in enumerate(zip(pdf["query_id"], pdf["home"], pdf["reach"])):
+                off = np.maximum(np.maximum(lows - z[i], z[i] - highs), 0)
+                gap = (off * off).sum(1)
+                cell = np.flatnonzero(gap <= reach).astype(np.int32)
+                yield pd.DataFrame({"query_id": query_id, "home": home, "reach": reach, "cell": cell, "at": float(np.sqrt(z[i] @ z[i])), "off": gap[cell]})
+
+    def goals(state):
+        boxes = state.mapInPandas(reached, "query_id long, home string, reach double, cell int, at double, off double")
+        # within a cell blocks are annuli around the origin of the projections
+        meta = vecs.groupBy("cell", "block").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"))
+        ring = F.greatest(F.lit(0.0), F.col("lo") - F.col("at"), F.col("at") - F.col("hi"))
+        met = boxes.join(meta, "cell").where("block <> home").withColumn("gap", F.greatest("off", ring * ring))
+        return met.where("gap <= reach").select("query_id", "block", "gap")
+
+    def reach(norm, kth):
+        return F.when(kth.isNull(), float("inf")).otherwise(stop * F.greatest(norm + most - 2 * kth, F.lit(0.0)) + 1e-9)
+
+    return V.ranked(V.expanded(near, ask, goals, vecs, n_queries, k, reach, verify), k)

@@ -3,9 +3,10 @@
 One more coordinate makes the largest inner product the smallest distance:
 x' = (x, sqrt(M - |x|^2)) and q' = (q, 0), with M the largest squared norm. A
 vector is keyed by its nearest pivot and its distance to it, and blocks are runs
-of that order. A query first expands its own block; then it visits the annuli
-that the triangle inequality leaves: |d(q, pivot) - d(x, pivot)| <= D, with D the
-distance of its k-th best so far.
+of that order. A query first expands its own block, then the other annuli in the
+order of |d(q, pivot) - d(x, pivot)|, the least distance that the triangle inequality
+allows. It stops where that exceeds D, the distance of its k-th best so far, which
+falls with each step inside a block and each round of blocks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from . import vectors as V
 
 #: pivots, chosen far apart from a bounded sample
 PIVOTS, SAMPLE = 64, 4096
+#: rows on either side that an annulus grows by at first, twice as many each step
+STEP = 128
 
 
 def choose(points: np.ndarray, n: int) -> np.ndarray:
@@ -72,42 +75,56 @@ def search(table: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0,
     ask = cut_lineage(ask.join(home, "v").select("query_id", "v", "block"))
     n_queries = ask.count()
 
+    def reach_of(norm, kth):
+        # a little more than D, as distances are rounded
+        return np.sqrt(np.maximum(norm + most - 2 * kth, 0)) * (1 + 1e-9) + 1e-6
+
     def expand(q, v):
         x, gids, ids, dist = np.stack(v["v"]), v["gid"].to_numpy(), v["ids"].to_numpy(), v["dist"].to_numpy()
         own = v["cell"].iloc[0]
+        asked = np.stack(q["v"])
+        at = distances(np.concatenate([asked, np.zeros((len(asked), 1))], axis=1), pivots[own : own + 1])[:, 0]
         out = []
-        for query_id, qv, reach in zip(q["query_id"], q["v"], q["reach"]):
-            at = distances(np.append(qv, 0.0)[None], pivots[own : own + 1])[0, 0]
-            a, b = (0, len(x)) if np.isnan(reach) else np.searchsorted(dist, [at - reach, at + reach], side="left")
-            b = min(len(x), b + 1)
-            while b < len(x) and dist[b] <= at + reach:
-                b += 1
-            if a < b:
-                scores = x[a:b] @ qv
+        for query_id, qv, here, kth in zip(q["query_id"], asked, at, q["kth"].to_numpy(dtype=float, na_value=np.nan)):
+            norm = float(qv @ qv)
+            reach = np.inf if np.isnan(kth) else reach_of(norm, kth)
+            a = b = int(np.searchsorted(dist, here))
+            scores, step = np.zeros(0), STEP
+            while True:
+                low, high = np.searchsorted(dist, here - reach, side="left"), np.searchsorted(dist, here + reach, side="right")
+                na, nb = min(a, max(int(low), a - step)), max(b, min(int(high), b + step))
+                if (na, nb) == (a, b):
+                    break
+                scores = np.concatenate([x[na:a] @ qv, scores, x[b:nb] @ qv])
+                a, b, step = na, nb, 2 * step
+                # k + 1 vectors hold k others
+                if len(scores) > k:
+                    least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+                    reach = min(reach, reach_of(norm, least))
+            if len(scores):
                 top = V.best(scores, gids[a:b], k + 1)
                 out.append(V.rows_of(query_id, top + a, gids, ids, scores[top]))
         return pd.concat(out) if out else V.rows_of(0, np.zeros(0, int), gids, ids, np.zeros(0))
 
-    near = V.evaluated(ask.withColumn("reach", F.lit(float("nan"))), vecs, n_queries, expand)
-    near = cut_lineage(near)
-    kth = ask.join(V.bounds(near, k), "query_id", "left").select("query_id", "v", F.col("block").alias("home"), "kth")
+    near = cut_lineage(V.evaluated(ask.withColumn("kth", F.lit(float("nan"))), vecs, n_queries, expand))
 
     def annuli(batches):
         for pdf in batches:
             x = np.stack(pdf["v"])
             d = distances(np.concatenate([x, np.zeros((len(x), 1))], axis=1), pivots)
-            kth = pdf["kth"].to_numpy(dtype=float, na_value=np.nan)
-            square = (x * x).sum(1) + most - 2 * kth
-            # a little more than D, as distances are rounded
-            reach = np.where(np.isnan(kth), 4 * np.sqrt(most) + 1, np.sqrt(np.maximum(square, 0)) * (1 + 1e-9) + 1e-6)
             i = np.repeat(np.arange(len(x)), len(pivots))
-            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[i], "v": pdf["v"].to_numpy()[i], "home": pdf["home"].to_numpy()[i], "cell": np.tile(np.arange(len(pivots), dtype=np.int32), len(x)), "at": d.ravel(), "reach": reach[i]})
-
-    ring = kth.mapInPandas(annuli, "query_id long, v array<double>, home string, cell int, at double, reach double")
-    meta = vecs.groupBy("cell", "block").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"))
-    meta = meta.withColumnRenamed("cell", "_cell")
-    meets = (F.col("cell") == F.col("_cell")) & (F.col("lo") <= F.col("at") + F.col("reach")) & (F.col("hi") >= F.col("at") - F.col("reach"))
-    visits = ring.join(meta, meets).where("block <> home").select("query_id", "v", "block", "reach")
-    far = V.evaluated(visits, vecs, n_queries, expand)
-    top = V.ranked(near.union(far), k)
+            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[i], "home": pdf["home"].to_numpy()[i], "reach": pdf["reach"].to_numpy()[i], "cell": np.tile(np.arange(len(pivots), dtype=np.int32), len(x)), "at": d.ravel()})
+
+    def goals(state):
+        ring = state.mapInPandas(annuli, "query_id long, home string, reach double, cell int, at double")
+        meta = vecs.groupBy("cell", "block").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"))
+        gap = F.greatest(F.lit(0.0), F.col("lo") - F.col("at"), F.col("at") - F.col("hi"))
+        met = ring.join(meta, "cell").where("block <> home").withColumn("gap", gap)
+        return met.where("gap <= reach").select("query_id", "block", "gap")
+
+    def reach(norm, kth):
+        far = F.sqrt(F.greatest(norm + most - 2 * kth, F.lit(0.0))) * (1 + 1e-9) + 1e-6
+        return F.when(kth.isNull(), float("inf")).otherwise(far)
+
+    top = V.ranked(V.expanded(near, ask, goals, vecs, n_queries, k, reach, expand), k)
     return top.withColumn("score", F.col("score").cast("long"))

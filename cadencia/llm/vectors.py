@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import gapless_rank, stored
 
 #: vectors of a block; a task holds one block and as many queries at a time
 BLOCK = 4096
+#: blocks that a query visits in its first round after home
+FIRST = 8
 FOUND = "query_id long, gid long, ids array<long>, score double"
 
 
@@ -63,14 +66,15 @@ def evaluated(visits: DataFrame, vecs: DataFrame, n_queries: int, found: Callabl
     """FOUND rows of ``found(visits of a block, vectors of the block)``.
 
     Queries are dealt into slots, so that a task holds a bounded number of them;
-    a block is read once for each slot.
+    a block goes to the slots that visit it.
     """
     slots = -(-max(n_queries, 1) // BLOCK)
     left = visits.withColumn("slot", F.pmod(F.xxhash64("query_id"), F.lit(slots)).cast("int"))
-    right = vecs.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-
     # both sides may stem from one table; new names for its columns keep them apart
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    left = left.toDF(*left.columns)
+    wanted = left.select("block", "slot").distinct()
+    right = vecs.toDF(*vecs.columns).join(wanted.toDF(*wanted.columns), "block")
+    right = right.toDF(*right.columns)
 
     def run(key, q, v):
         if not len(q) or not len(v):
@@ -102,6 +106,43 @@ def bounds(found: DataFrame, k: int) -> DataFrame:
     return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
 
 
+def shrunk(found: DataFrame, k: int) -> DataFrame:
+    """The ``k + 1`` best vectors of each query: one may be its own."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "gid")
+    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1).drop("_r")
+
+
+def expanded(near: DataFrame, ask: DataFrame, goals: Callable[[DataFrame], DataFrame], vecs: DataFrame, n_queries: int, k: int, reach: Callable[[Column, Column], Column], found: Callable) -> DataFrame:
+    """FOUND rows of each query's best vectors, its blocks expanded in order.
+
+    ``near`` is what the home blocks gave. ``goals`` turns the queries (query_id,
+    v, home, kth, reach) into (query_id, block, gap); ``reach`` is how large a gap
+    may be at a squared norm and a k-th best score (null: not yet known). A query
+    visits its blocks by gap, FIRST of them, then twice as many each round. Its
+    bound is taken again after each round, and it stops at the first block whose
+    gap is beyond reach, as all later ones are. The driver learns only whether a
+    visit is left.
+    """
+    asked = ask.select("query_id", "v", F.col("block").alias("home"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("_norm"))
+
+    def bounded(best: DataFrame) -> DataFrame:
+        j = asked.join(bounds(best, k), "query_id", "left")
+        return cut_lineage(j.withColumn("reach", reach(F.col("_norm"), F.col("kth"))).drop("_norm"))
+
+    best, state = near, bounded(near)
+    turn = Window.partitionBy("query_id").orderBy("gap", "block")
+    plan = cut_lineage(goals(state).withColumn("turn", F.row_number().over(turn)))
+    done, width = 0, FIRST
+    while True:
+        due = plan.where((F.col("turn") > done) & (F.col("turn") <= done + width)).join(state, "query_id").where("gap <= reach")
+        if due.isEmpty():
+            return best
+        got = evaluated(due.select("query_id", "v", "kth", "block"), vecs, n_queries, found)
+        best = cut_lineage(shrunk(best.union(got), k))
+        state = bounded(best)
+        done, width = done + width, 2 * width
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` best; at most k + 1 rows come from a block."""
     each = found.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
