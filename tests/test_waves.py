@@ -363,3 +363,31 @@ def test_relabelling_draws_the_share(spark):
     # one group only: nothing to compare
     alone = V.relabelled_max_t(frame(spark, rows[:30]), "label", 0, 1, "sample_id", n_perm=5, seed=0)
     assert [r.max_t for r in alone.collect()] == [0.0] * 5
+
+
+def test_blocks_do_not_grow_with_the_waves(spark):
+    """Waves are shuffled once per block until a block is full."""
+    few, many = (spark.range(n).select(F.col("id").alias("sample_id"), F.lit(0).alias("label"), F.array(F.lit(1.0), F.lit(2.0)).alias("wave")) for n in (2_000, 60_000))
+    assert P.n_blocks_for(few) == P.n_blocks_for(many)
+
+
+def test_folded_tiles_of_near_equal_and_unlabelled_waves(spark):
+    """More waves than a tile holds, far from the origin, some alike to the tenth
+    digit, some without a cluster."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 4)) + 1e4
+    x[1::50] = x[0::50] + 1e-6
+    x[2::50] = x[0::50]
+    labels = [None if i % 97 == 3 else int(i % 3) for i in range(len(x))]
+    df = spark.createDataFrame([(i, l, v.tolist()) for i, (l, v) in enumerate(zip(labels, x))], "sample_id long, label int, wave array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for blocks in (1, 2):
+        got = {(r.sample_id, r.other): r for r in P.cluster_sums(df, "euclidean", n_blocks=blocks).collect()}
+        assert len(got) == 3 * len(x)
+        for i in range(0, len(x), 7):
+            for c in range(3):
+                of = np.array([l == c for l in labels])
+                of[i] = False
+                r, v = got[i, c], d[i, of]
+                assert r.n == len(v) and r.label == labels[i]
+                assert np.allclose([r.total, r.squares, r.low, r.high], [v.sum(), (v * v).sum(), v.min(), v.max()], rtol=1e-9, atol=0)
