@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import partial
 from itertools import count
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,13 +57,19 @@ def _unique(df: DataFrame, trial: str, order: str, candidate: Column, limit: int
     fine = tried.join(clash, trial, "left_anti").select(*df.columns, out)
     redo = df.join(clash, trial, "left_semi")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        pdf[out] = pdf["_cand"].map(_Namer(limit, strict))
-        return pdf
-
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, namer = None, None
+        for b in batches:
+            names = []
+            for t, stem in zip(b.column(trial).to_pylist(), b.column("_cand").to_pylist()):
+                if namer is None or t != now:
+                    now, namer = t, _Namer(limit, strict)
+                names.append(None if stem is None else namer(stem))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string())], names=[*b.schema.names, out])
+
+    # trials are short and many: a task takes one after the other from its sorted rows
     schema = redo.withColumn(out, F.lit("")).schema
-    fixed = redo.groupBy(trial).applyInPandas(one, schema)
+    fixed = redo.repartition(trial).sortWithinPartitions(trial, F.col(order).asc_nulls_last()).mapInArrow(named, schema)
     return fine.unionByName(fixed.select(*fine.columns)).drop("_cand")
 
 

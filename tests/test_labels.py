@@ -121,3 +121,14 @@ def test_natural_key_of_long_numbers(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string")
     got = [r["n"] for r in df.orderBy(natural_key("n")).collect()]
     assert got == ["a5", "a007", "a10b2", "a10b10", "a1" + "0" * 24, "b"]
+
+
+def test_many_trials_share_a_task(spark):
+    """Trials that need the step-by-step rule aren't a Python group each."""
+    df = spark.range(3000).select(F.floor(F.col("id") / 2).alias("trial"), F.concat(F.lit("7"), F.repeat(F.lit("long name "), 9)).alias("label"), F.col("id").alias("pos"))
+    named = L.safe_field_names(df, "trial", "label", "pos")
+    plan = named._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+    got = {(r.trial, r.pos % 2): r.field for r in named.collect()}
+    assert len(got) == 3000 and len({v for (_, k), v in got.items() if k == 0}) == 1
+    assert got[7, 0].endswith("_1") and got[7, 1].endswith("_2") and len(got[7, 1]) == 63
