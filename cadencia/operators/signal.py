@@ -60,16 +60,24 @@ def fir_lowpass(wave: str | Column, fs: float, cutoff: float, n_taps: int = 13)
     half = n_taps // 2
     last = F.size(a) - 1
 
-    def at(i: Column) -> Column:
-        out = None
-        for k, h in enumerate(taps):
-            # mirrored at both ends, again and again for waves shorter than the taps
-            j = F.when(last > 0, F.pmod(i + (half - k), F.greatest(2 * last, F.lit(1)))).otherwise(0)
-            term = F.get(a, F.when(j > last, 2 * last - j).otherwise(j)) * h
-            out = term if out is None else out + term
-        return out
-
-    return F.transform(F.sequence(F.lit(0), last), at)
+    # mirrored at both ends, again and again for waves shorter than the taps
+    def mirrored(i: Column) -> Column:
+        j = F.when(last > 0, F.pmod(i, F.greatest(2 * last, F.lit(1)))).otherwise(0)
+        return F.get(a, F.when(j > last, 2 * last - j).otherwise(j))
+
+    def filtered(wide: Column) -> Column:
+        def at(i: Column) -> Column:
+            out = None
+            for k, h in enumerate(taps):
+                term = F.get(wide, i + (2 * half - k)) * h
+                out = term if out is None else out + term
+            return out
+
+        return F.transform(F.sequence(F.lit(0), last), at)
+
+    # the wave is widened once; as a variable it is not worked out again per point
+    wide = F.transform(F.sequence(F.lit(-half), last + half), mirrored)
+    return F.get(F.transform(F.array(wide), filtered), F.lit(0))
 
 
 def _envelope(x: np.ndarray, fs: float, s: EnvelopeSettings) -> np.ndarray:
