@@ -328,8 +328,10 @@ def unexpected_labels(labels: DataFrame, key: str, label: str, expected: DataFra
     return labels.select(key, label).distinct().join(expected, key).where(F.col(label) != F.col("expected"))
 
 
-#: replicates that one task of the bootstrap draws
+#: replicates that the bootstrap draws from one seed
 REPLICATES = 100
+#: such batches, and blocks of traces, that one task of the bootstrap takes
+BATCHES, BLOCKS = 10, 16
 
 
 def _draws(seed: Sequence[int], n: int, lo: int, hi: int, block: int, reps: int) -> np.ndarray:
@@ -354,16 +356,17 @@ def bootstrap_waves(
     """Pointwise mean, SD and 2.5/50/97.5 percentiles of the first component over
     resamples with replacement.
 
-    A task takes ``block`` traces and some replicates, draws how often each trace
-    occurs, and weighs the traces' products with that; replicates of a group of
-    more blocks add up their products in two rounds.
+    A task takes some blocks of ``block`` traces and some replicates, draws how
+    often each trace occurs, weighs the traces' products with that and adds them up
+    over its blocks; replicates of a group of more blocks than a task takes add up
+    their products in two rounds.
     """
     by = list(by)
     n = traces.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     numbered = ordered_scan(traces.select(*by, ident, "wave"), by, [ident], row_no="_k", cell=cell).join(n, by)
-    batch = F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // REPLICATES)))
+    batch = F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // (REPLICATES * BATCHES))))
     at = numbered.select(
-        *by, "_n", "_k", "wave", F.floor((F.col("_k") - 1) / block).cast("bigint").alias("_block"), F.xxhash64(*by).alias("_h"), batch.alias("_batch")
+        *by, "_n", "_k", "wave", F.floor((F.col("_k") - 1) / (block * BLOCKS)).cast("bigint").alias("_block"), F.xxhash64(*by).alias("_h"), batch.alias("_batch")
     )
     schema = T.StructType(
         [at.schema[c] for c in [*by, "_n", "_batch", "_block"]]
@@ -382,18 +385,24 @@ def bootstrap_waves(
         pdf = pdf.sort_values("_k")
         x = np.stack(pdf["wave"].to_numpy())
         head = pdf.iloc[0]
-        size, number, lo = int(head["_n"]), int(head["_batch"]), int(head["_block"]) * block
-        first = number * REPLICATES
-        reps = min(REPLICATES, n_boot - first)
-        key = [seed, int(head["_h"]) % 2**64, number]
-        w = _draws(key, size, lo, lo + len(x), block, reps).astype(float)
+        size, lo = int(head["_n"]), int(head["_block"]) * block * BLOCKS
+        first, end = (min((int(head["_batch"]) + k) * REPLICATES * BATCHES, n_boot) for k in (0, 1))
         i, j = np.triu_indices(x.shape[1])
-        totals, products = w @ x, w @ (x[:, i] * x[:, j])
+        totals, products = np.zeros((end - first, x.shape[1])), np.zeros((end - first, len(i)))
+        for at in range(0, len(x), block):
+            some = x[at : at + block]
+            both = some[:, i] * some[:, j]
+            for r in range(first, end, REPLICATES):
+                reps = min(REPLICATES, end - r)
+                key = [seed, int(head["_h"]) % 2**64, r // REPLICATES]
+                w = _draws(key, size, lo + at, lo + at + len(some), block, reps).astype(float)
+                totals[r - first : r - first + reps] += w @ some
+                products[r - first : r - first + reps] += w @ both
         fixed = tuple(head[c] for c in [*by, "_n", "_batch", "_block"])
         if len(x) == size:
-            rows = [(*fixed, first + r, None, None, whole(totals[r], products[r], size).tolist()) for r in range(reps)]
+            rows = [(*fixed, first + r, None, None, whole(t, p, size).tolist()) for r, (t, p) in enumerate(zip(totals, products))]
         else:
-            rows = [(*fixed, first + r, totals[r].tolist(), products[r].tolist(), None) for r in range(reps)]
+            rows = [(*fixed, first + r, t.tolist(), p.tolist(), None) for r, (t, p) in enumerate(zip(totals, products))]
         return pd.DataFrame(rows, columns=names)
 
     def merge(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
@@ -409,8 +418,11 @@ def bootstrap_waves(
                 rows.append((*fixed, rep, total.tolist(), products.tolist(), None))
         return pd.DataFrame(rows, columns=names)
 
-    parts = at.groupBy(*by, "_batch", "_block").applyInPandas(draw, schema)
-    salt = F.pmod(F.col("_block"), F.ceil(F.sqrt(F.col("_n") / block)).cast("bigint"))
+    # few rows are long work here, so the number of tasks isn't left to their bytes
+    tasks = max(4 * traces.sparkSession.sparkContext.defaultParallelism, 256)
+    key = [*by, "_batch", "_block"]
+    parts = at.repartition(tasks, *key).groupBy(*key).applyInPandas(draw, schema)
+    salt = F.pmod(F.col("_block"), F.ceil(F.sqrt(F.col("_n") / (block * BLOCKS))).cast("bigint"))
     parts = parts.withColumn("_salt", salt).groupBy(*by, "_batch", "_salt").applyInPandas(lambda p: merge(p, False), schema)
     reps = parts.groupBy(*by, "_batch").applyInPandas(lambda p: merge(p, True), schema)
     long = reps.select(*by, F.posexplode("wave").alias("idx", "_v"))

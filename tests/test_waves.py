@@ -391,3 +391,30 @@ def test_folded_tiles_of_near_equal_and_unlabelled_waves(spark):
                 r, v = got[i, c], d[i, of]
                 assert r.n == len(v) and r.label == labels[i]
                 assert np.allclose([r.total, r.squares, r.low, r.high], [v.sum(), (v * v).sum(), v.min(), v.max()], rtol=1e-9, atol=0)
+
+
+def test_bootstrap_tasks_take_several_blocks(spark, planted):
+    """A group of four blocks is one task's, so no products are shuffled."""
+    w = frame(spark, planted[::2])
+    b = V.bootstrap_waves(w, ["label"], "sample_id", n_boot=20, seed=3, cell=F.lit(0).cast("bigint"), block=3)
+    real = V.N.first_component
+    got = b.first()
+    x = np.stack([r[2] for r in planted[::2]])
+    n, h = len(x), spark.range(1).select(F.xxhash64(F.lit(0))).first()[0] % 2**64
+    reps = np.zeros((20, n))
+    for lo in range(0, n, 3):
+        reps[:, lo : lo + 3] = V._draws([3, h, 0], n, lo, lo + 3, 3, 20)
+    assert (reps.sum(axis=1) == n).all()
+    want = np.mean([real((x * r[:, None]).T @ x, r @ x / n) for r in reps], axis=0)
+    assert np.allclose(got["mean"], want, rtol=1e-9)
+
+
+def test_fir_widens_a_wave_once(spark):
+    """The taps read a widened wave; the mirroring isn't repeated per tap."""
+    taps, y = N.fir_taps(13, 6.0, 100.0), np.random.default_rng(2).normal(size=20)
+    df = spark.createDataFrame([(0, y.tolist()), (1, [1.5]), (2, [1.0, 2.0, 4.0]), (3, None)], "i int, wave array<double>")
+    got = {r.i: r.v for r in df.select("i", S.fir_lowpass("wave", 100.0, 6.0).alias("v")).collect()}
+    for i, w in ((0, y), (2, np.array([1.0, 2.0, 4.0]))):
+        assert np.allclose(got[i], np.convolve(np.pad(w, 6, mode="reflect"), taps, mode="valid"), rtol=1e-12)
+    assert got[1] == [pytest.approx(1.5 * taps.sum())] and got[3] is None
+    assert str(S.fir_lowpass("wave", 100.0, 6.0)).count("pmod") <= 3
