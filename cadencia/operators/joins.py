@@ -198,6 +198,26 @@ def outer_counts(a: DataFrame, b: DataFrame, keys: Sequence[str], names=("n_a",
     )
 
 
+def _heads(bases: DataFrame, right: DataFrame, right_key: str) -> DataFrame:
+    """Right rows once per beginning (``_head``) that may be one of ``bases``."""
+    rc = right.columns
+    bases = bases.withColumn("_len", F.length("_base")).where("_len IS NOT NULL").distinct()
+    # the power of two that a length reaches stands for its class
+    bases = bases.withColumn("_class", F.length(F.bin("_len")))
+    shortest = bases.groupBy("_class").agg(F.min("_len").alias("_from"))
+    classes = shortest.agg(F.collect_list(F.struct("_class", "_from"))).scalar()
+    own = F.get(F.filter("_all", lambda c: c["_class"] == F.col("_class")), F.lit(0))
+    start = F.substring("_base", F.lit(1), own["_from"]).alias("_start")
+    starts = bases.withColumn("_all", classes).groupBy("_class", start).agg(F.collect_set("_len").alias("_lens"))
+    looked = (
+        right.withColumn("_all", classes)
+        .select(*rc, F.explode(F.filter("_all", lambda c: c["_from"] <= F.length(right_key))).alias("_c"))
+        .select(*rc, F.col("_c._class").alias("_class"), F.substring(F.col(right_key), F.lit(1), F.col("_c._from")).alias("_start"))
+    )
+    cut = F.transform(F.filter("_lens", lambda n: n <= F.length(right_key)), lambda n: F.substring(F.col(right_key), F.lit(1), n))
+    return looked.join(starts, ["_class", "_start"]).select(*rc, F.explode(cut).alias("_head"))
+
+
 def exact_or_prefix(
     left: DataFrame,
     right: DataFrame,
@@ -211,24 +231,24 @@ def exact_or_prefix(
     """Exact match on a key; a left key with no exact match at all takes the
     first right row whose key starts with its base.
 
-    The prefix join is an equi-join: each right key is cut to every length a
-    base has, so its cost is linear in the right side whatever the names share.
+    The prefix join is an equi-join. Base lengths that lie within a factor of two
+    form a class; a right key is looked up once per class by as many characters as
+    the shortest base of the class has, and only where bases begin so is it cut to
+    the lengths of those bases. So it moves once per class and not once per length.
     ``per`` picks one fallback for each value of those right columns.
+
+    Both sides are dealt by key into a fixed number of tasks: equal keys make far
+    more pairs than rows, and a number chosen by bytes would be too small.
     """
+    spark = left.sparkSession
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
     rc = [right_key, *[c for c in right_cols if c != right_key]]
-    r = right.select(*rc)
-    exact = left.join(r, left[left_key] == r[right_key]).withColumn("match", F.lit("exact"))
-    rest = left.join(r.select(right_key).distinct(), left[left_key] == F.col(right_key), "left_anti")
-    lengths = rest.agg(F.collect_set(F.length(left_base))).scalar()
-    heads = r.withColumn("_lens", lengths).select(
-        *rc,
-        F.explode(
-            F.transform(
-                F.filter("_lens", lambda n: n <= F.length(right_key)),
-                lambda n: F.substring(F.col(right_key), F.lit(1), n),
-            )
-        ).alias("_head"),
-    )
+    dealt = left.repartition(n_tasks, left_key)
+    r = right.select(*rc).repartition(n_tasks, right_key)
+    exact = dealt.join(r, dealt[left_key] == r[right_key]).withColumn("match", F.lit("exact"))
+    rest = dealt.join(r.select(right_key).distinct(), dealt[left_key] == F.col(right_key), "left_anti")
+
+    heads = _heads(rest.select(F.col(left_base).alias("_base")), right.select(*rc), right_key)
     grp = list(dict.fromkeys([*left.columns, *per]))
     others = [c for c in rc if c not in grp]
     # one candidate per head suffices, which keeps a popular head small

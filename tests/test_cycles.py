@@ -112,6 +112,39 @@ def test_prefix_only_without_any_exact(spark):
     assert rows == [(1, "IK", "p1", "exact"), (2, "IK", "p4", "prefix")]
 
 
+def test_prefix_by_bases_of_many_lengths(spark):
+    """Against plain Python: bases of several classes of lengths, empty and null ones, keys shorter than a base."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    left = [(i, f"{word(4)}!", word(i % 10)) for i in range(60)] + [(60, "abab", "ab"), (61, None, "ba"), (62, "c", None), (63, "d", "")]
+    right = [(word(i % 14), rng.choice(["IK", "ID"]), f"p{i}") for i in range(80)] + [("abab", "IK", "q")]
+    t = spark.createDataFrame(left, "id int, core string, base string")
+    ix = spark.createDataFrame(right, "c string, key string, path string")
+    got = sorted((r.id, r.c, r.key, r.path, r.match) for r in J.exact_or_prefix(t, ix, "core", "base", "c", ["key", "path"], per=["key"]).collect())
+    want = []
+    for i, core, base in left:
+        if any(c == core for c, _, _ in right):
+            want += [(i, c, k, p, "exact") for c, k, p in right if c == core]
+        elif base is not None:
+            for key in ("IK", "ID"):
+                fits = [(c, p) for c, k, p in right if k == key and c.startswith(base)]
+                want += [(i, min(fits)[0], key, min(fits)[1], "prefix")] if fits else []
+    assert got == sorted(want)
+
+
+def test_prefix_cuts_only_keys_that_begin_as_a_base(spark):
+    bases = spark.createDataFrame([("zz" + "a" * n,) for n in range(2, 6)] + [("k1234",)], "_base string")
+    keys = spark.createDataFrame([(f"k{i:09d}",) for i in range(500)] + [("k123456789",)], "c string")
+    assert [(r.c, r._head) for r in J._heads(bases, keys, "c").collect()] == [("k123456789", "k1234")]
+
+
+def test_equal_keys_are_paired_in_many_tasks(spark):
+    t = spark.range(400).selectExpr("id", "concat('k', id % 40) AS core", "'x' AS base")
+    got = J.exact_or_prefix(t, t.selectExpr("core AS c", "id AS rid"), "core", "base", "c", ["rid"])
+    tasks = got.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 4000 and len(tasks) > 10
+
+
 def test_patch_status(spark):
     tg = spark.createDataFrame([("a", 1, 0.5, 0.0), ("b", 2, 9.0, 0.0), ("c", 3, 1.0, 0.0)], "k string, event_id long, t double, value double")
     src = spark.createDataFrame([(k, i, float(i), 5.0 + i) for k in "ab" for i in range(3)], "k string, event_id long, t double, value double")
