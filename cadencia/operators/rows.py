@@ -12,19 +12,24 @@ from pyspark.sql import types as T
 
 DOUBLES = T.ArrayType(T.DoubleType())
 
+#: points that a kernel gets at a time, so that what it makes on the way stays small
+POINTS = 2**16
+
 
 def stacked(columns: list[pd.Series]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Rows grouped by the lengths of their arrays: (row numbers, stacks). Rows
-    with a missing array are left out."""
+    """Rows grouped by the lengths of their arrays: (row numbers, stacks), a
+    bounded number of points at a time. Rows with a missing array are left out."""
     ok = np.ones(len(columns[0]), dtype=bool)
     for c in columns:
         ok &= c.notna().to_numpy()
     groups: dict[tuple, list[int]] = {}
     for i in np.flatnonzero(ok):
         groups.setdefault(tuple(len(c.iat[i]) for c in columns), []).append(int(i))
-    for rows in groups.values():
-        at = np.asarray(rows)
-        yield at, [np.stack([np.asarray(c.iat[i], dtype=float) for i in rows]) for c in columns]
+    for lengths, every in groups.items():
+        step = max(1, POINTS // max(1, sum(lengths)))
+        for k in range(0, len(every), step):
+            rows = every[k : k + step]
+            yield np.asarray(rows), [np.stack([np.asarray(c.iat[i], dtype=float) for i in rows]) for c in columns]
 
 
 def row_kernel(fn: Callable[..., np.ndarray], *columns: str | Column, min_points: int = 1) -> Column:
