@@ -1,6 +1,7 @@
 """Waves, distances, clustering and repair on small planted data."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,29 @@ def test_clusterings_find_planted_groups(spark, planted):
     assert C.choose_best(scores).first().k == 2
 
 
+def test_own_sums_are_enough_for_medoids(spark):
+    """Clusters of very different sizes, one of one wave, and waves without a cluster."""
+    rng = np.random.default_rng(3)
+    label = lambda i: None if i % 50 == 7 else 2 if i == 11 else int(i % 10 == 0)
+    w = spark.createDataFrame([(i, label(i), rng.normal(size=5).tolist()) for i in range(300)], "sample_id long, label int, wave array<double>").cache()
+    key = lambda df: {r.label: (r.medoid, pytest.approx(r.scatter), r["size"]) for r in df.collect()}
+    assert key(C.medoids(C.own_sums(w, "euclidean"))) == key(C.medoids(P.cluster_sums(w, "euclidean")))
+    blocks = {r.label: r._k for r in P._own_blocks(w).collect()}
+    assert blocks[0] > 4 * blocks[1] > 0 and blocks[2] == 1 and None not in blocks
+
+
+def test_kernels_get_a_bounded_number_of_points():
+    from cadencia.operators.rows import POINTS, stacked
+
+    one = pd.Series([np.full(64, float(i)) for i in range(3000)])
+    two = pd.Series([np.full(64 if i % 3 else 10, -float(i)) for i in range(3000)])
+    seen = []
+    for at, (x, y) in stacked([one, two]):
+        assert x.size + y.size <= POINTS and (x[:, 0] == at).all() and (y[:, 0] == -at).all()
+        seen += at.tolist()
+    assert sorted(seen) == list(range(3000))
+
+
 def test_kmedoids_computes_a_set_of_members_once(spark):
     """Three planted groups and a lone wave against all pairs on the driver."""
     rng = np.random.default_rng(4)
