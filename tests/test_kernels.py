@@ -105,6 +105,37 @@ def test_warping_distances(features):
     assert np.allclose(N.distance("dtw", x, x), 0)
 
 
+@pytest.mark.parametrize("features", [1, 2])
+def test_all_warping_distances(features):
+    """In steps of fewer rows than there are; each pair of a table with itself once."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(N.SIDE + 3, 6, features)), rng.normal(size=(4, 8, features))
+    for metric, gammas in (("dtw", [1.0]), ("softdtw", [1e-4, 0.05, 0.3, 2.0, 1e3])):
+        for gamma in gammas:
+            soft = gamma if metric == "softdtw" else None
+            want = np.array([[naive_dtw(a, b, soft) for b in y] for a in x])
+            assert np.allclose(N.distances(metric, x, y, gamma), want if soft else want**0.5, rtol=1e-11, atol=1e-11)
+            own = N.distances(metric, x, x, gamma)
+            assert np.array_equal(own[: N.SIDE, N.SIDE :], own[N.SIDE :, : N.SIDE].T)
+            assert np.allclose(own[:2, :5], [[N.distance(metric, a[None], b[None], gamma)[0] for b in x[:5]] for a in x[:2]], rtol=1e-11, atol=1e-11)
+    bad = x.copy()
+    bad[1, 2] = np.nan
+    d = N.distances("softdtw", bad, y, 0.3)
+    assert np.isnan(d[1]).all() and np.isfinite(d[[0, 2]]).all()
+
+
+def test_soft_dtw_takes_few_exponentials(monkeypatch):
+    """Not one per cell where a gamma is large enough, wherever the waves lie."""
+    rng = np.random.default_rng(6)
+    x = 100 + rng.normal(size=(N.SIDE, 64, 1)) / 8
+    taken, exp = [], np.exp
+    monkeypatch.setattr(N.np, "exp", lambda v, **k: (taken.append(np.size(v)), exp(v, **k))[1])
+    d = N.distances("softdtw", x, x, 0.1)
+    assert sum(taken) < 0.05 * len(x) ** 2 * 64 * 64
+    monkeypatch.undo()
+    assert np.allclose(d[:3, 5], [naive_dtw(a, x[5], 0.1) for a in x[:3]], rtol=1e-9, atol=1e-9)
+
+
 def test_first_component():
     w = np.sin(np.linspace(0, 3, 50)) + 0.2
     x = np.outer([1.0, 1.0, 1.0], w)
