@@ -395,6 +395,59 @@ def test_blocks_do_not_grow_with_the_waves(spark):
     assert P.n_blocks_for(few) == P.n_blocks_for(many)
 
 
+def test_many_warped_waves_have_more_blocks(spark):
+    """A pair of large blocks would be computed while the other cores wait."""
+    n = 30_000
+    w = spark.range(n).select(F.col("id").alias("sample_id"), F.lit(0).alias("label"), F.array(F.lit(1.0), F.lit(2.0)).alias("wave"))
+    assert P.n_blocks_for(w, "softdtw") >= 1.9 * P.n_blocks_for(w) and P.n_blocks_for(w.limit(2000), "dtw") == P.n_blocks_for(w.limit(2000))
+
+
+@pytest.fixture(scope="module")
+def unclear(spark):
+    """Waves without groups, an id that comes twice, one that is missing."""
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(3)), rng.normal(size=12)) for i in range(70)]
+    rows += [rows[0], (5, rows[5][1], rng.normal(size=12)), (None, 1, rng.normal(size=12))]
+    return frame(spark, rows)
+
+
+def test_stored_distances_give_the_same_sums(spark, unclear):
+    at = P.placed(unclear.select("sample_id", "wave"))
+    stored = P.stored_distances(at, "softdtw", gamma=0.1)
+    lab = at.withColumn("label", (F.coalesce("sample_id", F.lit(1)) % 3).cast("int"))
+    for same in (False, True):
+        want = P.cluster_sums(lab.select("sample_id", "label", "wave"), "softdtw", gamma=0.1, same_only=same, n_blocks=3)
+        a, b = (s.toPandas().sort_values(["sample_id", "label", "other"], ignore_index=True)[want.columns] for s in (want, P.stored_sums(lab, stored, same_only=same)))
+        assert len(a) == (71 if same else 71 * 3)
+        pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-9, atol=1e-9)
+    # two labellings at once
+    two = lab.withColumn("_set", F.lit(0)).unionByName(lab.withColumns({"_set": F.lit(1), "label": F.lit(7)}))
+    got = P.stored_sums(two, stored, same_only=True)
+    assert got.where("label = 7").agg(F.sum("n")).first()[0] == 73 * 72 and got.where("label < 7").agg(F.sum("n")).first()[0] == a["n"].sum()
+    stored.unpersist()
+
+
+def test_grid_computes_pairs_once_per_gamma(spark, unclear, monkeypatch):
+    """Every k, start, round and score reads the same distances, and finds what it
+    finds without them."""
+    made, sums = [], []
+    monkeypatch.setattr(C, "stored_distances", lambda *a, **k: (made.append(k), P.stored_distances(*a, **k))[1])
+    monkeypatch.setattr(C, "cluster_sums", lambda w, m, **k: (sums.append(m), P.cluster_sums(w, m, **k))[1])
+    cols = ["k", "gamma", "silhouette", "davies_bouldin"]
+    w = unclear.where("sample_id IS NOT NULL")
+    got = C.grid_search(w, [2, 3], [0.1, 0.3], n_init=2).toPandas()
+    assert len(made) == 2 and "softdtw" not in sums
+    monkeypatch.setattr(C, "placed", lambda w: None)
+    want = C.grid_search(w, [2, 3], [0.1, 0.3], n_init=2).toPandas()
+    assert len(made) == 2 and "softdtw" in sums
+    pd.testing.assert_frame_equal(got[cols], want[cols], rtol=1e-9)
+
+
+def test_distances_that_take_too_much_disk_are_not_stored(unclear, monkeypatch):
+    monkeypatch.setattr(P, "STORED_BYTES", 4 * 72 * 72)
+    assert P.placed(unclear) is None and P.placed(unclear.where("sample_id > 5")) is not None
+
+
 def test_folded_tiles_of_near_equal_and_unlabelled_waves(spark):
     """More waves than a tile holds, far from the origin, some alike to the tenth
     digit, some without a cluster."""
