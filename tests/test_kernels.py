@@ -1,5 +1,7 @@
 """Kernels against closed forms and plain recomputation."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -124,6 +126,28 @@ def test_all_warping_distances(features):
     assert np.isnan(d[1]).all() and np.isfinite(d[[0, 2]]).all()
 
 
+@pytest.mark.parametrize("n, m, features", [(64, 64, 1), (9, 7, 2), (7, 9, 1), (1, 5, 1), (1, 1, 1)])
+def test_dtw_of_all_rows_is_that_of_pairs(n, m, features):
+    """To the last digit, also beside values that are not finite."""
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(N.SIDE + 5, n, features)), rng.normal(size=(N.SIDE + 2, m, features))
+    y[0], x[1, 0], y[2, -1], y[3] = x[0, :1], np.nan, -np.inf, y[3] * 1e200
+    with np.errstate(all="ignore"):
+        want = np.stack([N.dtw(np.repeat(r[None], len(y), axis=0), y) for r in x])
+        assert np.array_equal(N.distances("dtw", x, y), want, equal_nan=True)
+
+
+def test_dtw_of_all_rows_repeats_no_rows():
+    """What a tile takes stays in a core's own cache: two tables of half the
+    places each and the costs, no row per pair."""
+    x = np.random.default_rng(9).normal(size=(N.SIDE, 64, 1))
+    tracemalloc.start()
+    N.distances("dtw", x, x.copy())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * 64 * N.SIDE**2 * 8
+
+
 def test_soft_dtw_takes_few_exponentials(monkeypatch):
     """Not one per cell where a gamma is large enough, wherever the waves lie."""
     rng = np.random.default_rng(6)
