@@ -160,6 +160,18 @@ def test_soft_dtw_takes_few_exponentials(monkeypatch):
     assert np.allclose(d[:3, 5], [naive_dtw(a, x[5], 0.1) for a in x[:3]], rtol=1e-9, atol=1e-9)
 
 
+def test_product_form_writes_the_tables_of_its_tile():
+    """Cells and weights go to the tables made once for all tiles of a size."""
+    x, y = np.random.default_rng(11).normal(size=(2, N.SIDE, 64)) / 8
+    made = N._diagonals(64, 64, N.SIDE, N.SIDE)
+    tracemalloc.start()
+    d = N._soft_grid(x, y, 0.1, made)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(d, N._soft_grid(x, y, 0.1, made))  # nothing is left of the tile before
+    assert peak < 4 * 64 * N.SIDE**2 * 8
+
+
 def test_first_component():
     w = np.sin(np.linspace(0, 3, 50)) + 0.2
     x = np.outer([1.0, 1.0, 1.0], w)
