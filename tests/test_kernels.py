@@ -148,6 +148,20 @@ def test_dtw_of_all_rows_repeats_no_rows():
     assert peak < 4 * 64 * N.SIDE**2 * 8
 
 
+def test_soft_dtw_of_all_rows_at_a_small_gamma():
+    """As that of pairs, without a row per pair, also where some waves are equal."""
+    rng = np.random.default_rng(10)
+    x, y = rng.normal(size=(2, N.SIDE, 64, 1)) / 8
+    y[:5] = x[:5]
+    want = np.stack([N.soft_dtw(np.repeat(r[None], len(y), axis=0), y, 5e-5) for r in x])
+    tracemalloc.start()
+    d = N.distances("softdtw", x, y, 5e-5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(d, want, rtol=1e-12, atol=1e-15)
+    assert peak < 8 * 64 * N.SIDE**2 * 8
+
+
 def test_soft_dtw_takes_few_exponentials(monkeypatch):
     """Not one per cell where a gamma is large enough, wherever the waves lie."""
     rng = np.random.default_rng(6)
